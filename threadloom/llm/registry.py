@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec, token_counts
+from . import exact_dedup, mixing, sentencepiece_codec, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece_codec": sentencepiece_codec.query,
+        "op3_source_mixing": mixing.query,
+        "op4_exact_dedup": exact_dedup.query,
+        "op7_simhash_near_dedup": simhash.query,
         "op9_token_counts": token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}

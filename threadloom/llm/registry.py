@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepiece_codec, simhash, token_counts
+from . import exact_dedup, language_id, mixing, quality_rules, quality_trees, sentencepiece_codec, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece_codec": sentencepiece_codec.query,
+        "op2_quality_rules": quality_rules.query,
         "op3_source_mixing": mixing.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_language_id": language_id.query,
+        "op6_toxicity": toxicity.query,
         "op7_simhash_near_dedup": simhash.query,
         "op9_token_counts": token_counts.query,
+        "op10_quality_trees": quality_trees.query,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, quality_rules, quality_trees, sentencepiece_codec, simhash, token_counts, toxicity
+from . import exact_dedup, language_id, mixing, pseudonyms, quality_rules, quality_trees, sentencepiece_codec, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_language_id": language_id.query,
         "op6_toxicity": toxicity.query,
         "op7_simhash_near_dedup": simhash.query,
+        "op8_pii_pseudonyms": pseudonyms.query,
         "op9_token_counts": token_counts.query,
         "op10_quality_trees": quality_trees.query,
     }

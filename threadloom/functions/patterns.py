@@ -123,10 +123,11 @@ def under_path(path: Column, prefix: str) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct folded runs of three characters."""
-    # an array of characters, because substr walks the text from its start each time
+    # shifted copies are zipped: each is made once, while substr walks the text from its start each time
     chars = F.filter(F.split(fold(text), ""), lambda c: c != "")
-    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(chars[i], chars[i + 1], chars[i + 2]))
-    return F.when(F.size(chars) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    tail = lambda k: F.slice(chars, k, F.greatest(F.size(chars), F.lit(1)))
+    runs = F.zip_with(F.zip_with(chars, tail(2), F.concat), tail(3), F.concat)
+    return F.coalesce(F.array_distinct(F.array_compact(runs)), F.array().cast("array<string>"))
 
 
 def literal_trigrams(literal: str) -> list[str]:

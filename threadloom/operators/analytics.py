@@ -73,8 +73,9 @@ def trigram_candidates(postings: DataFrame, groups: list[list[str]]) -> DataFram
 
 def phrase_rows(messages: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
     """(id, session_id, seq, phrase): the informative phrases of each message, once each."""
-    words = tokens(user_request_body(F.col("content")))
-    per = messages.select("id", "session_id", "seq", F.explode(F.array_distinct(ngrams(words, least, most))).alias("phrase"))
+    # a column of its own: inside the windows' lambdas the expression would run once a window
+    split = messages.select("id", "session_id", "seq", tokens(user_request_body(F.col("content"))).alias("w")).filter(F.size("w") >= least)
+    per = split.select("id", "session_id", "seq", F.explode(F.array_distinct(ngrams(F.col("w"), least, most))).alias("phrase"))
     return per.filter(informative(F.col("phrase")))
 
 
@@ -97,9 +98,9 @@ def repeated_phrases(messages: DataFrame, min_matches: int = 2, least: int = 2,
         F.min(F.struct("session_id", "seq")).alias("first"),
     )
     kept = support.filter(F.col("matches") >= min_matches).withColumn("words", phrase_words(F.col("phrase")))
-    longer = kept.filter(F.col("words") > least)
+    longer = kept.filter(F.col("words") > least).withColumn("w", F.split("phrase", " "))
     inside = longer.select(
-        F.explode(ngrams(F.split("phrase", " "), least, most)).alias("phrase"), "words", "matches", "__sum", "__xor"
+        F.explode(ngrams(F.col("w"), least, most)).alias("phrase"), "words", "matches", "__sum", "__xor"
     ).filter(phrase_words(F.col("phrase")) < F.col("words")).select("phrase", "matches", "__sum", "__xor").distinct()
     groups = kept.join(inside, ["phrase", "matches", "__sum", "__xor"], "left_anti")
     out = groups.orderBy(F.desc("matches"), F.desc("words"), "phrase")

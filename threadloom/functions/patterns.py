@@ -126,7 +126,8 @@ def trigrams(text: Column) -> Column:
     # shifted copies are zipped: each is made once, while substr walks the text from its start each time
     chars = F.filter(F.split(fold(text), ""), lambda c: c != "")
     tail = lambda k: F.slice(chars, k, F.greatest(F.size(chars), F.lit(1)))
-    runs = F.zip_with(F.zip_with(chars, tail(2), F.concat), tail(3), F.concat)
+    join = lambda a, b: F.concat(a, b)
+    runs = F.zip_with(F.zip_with(chars, tail(2), join), tail(3), join)
     return F.coalesce(F.array_distinct(F.array_compact(runs)), F.array().cast("array<string>"))
 
 

@@ -14,12 +14,12 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "3g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -77,12 +77,12 @@ def newton(histogram: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
     ``histogram`` has (source, size, n) with size > 0. The tilt of a source at
     its cap is the least that caps all its documents.
     """
-    span = histogram.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
-    high = F.log(F.lit(cap)) * F.col("mean") / F.col("least")
+    span = histogram.groupBy(F.col("source").alias("__span")).agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
+    high = F.coalesce(F.log(F.lit(cap)) * F.col("mean") / F.col("least"), F.lit(0.0))
     state = cut(
-        targets.join(span, targets["source"].eqNullSafe(span["source"]), "left").drop(span["source"]).select(
+        targets.join(span, F.col("source").eqNullSafe(F.col("__span")), "left").select(
             "source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"),
-            F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("low"), F.coalesce(high, F.lit(0.0)).alias("high"), F.lit(False).alias("done"),
+            F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("low"), high.alias("high"), F.lit(False).alias("done"),
         )
     )
     for _ in range(STEPS):
@@ -92,7 +92,7 @@ def newton(histogram: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
         words = F.col("h.n") * F.col("h.size")
         sums = (
             h.join(s.filter(~F.col("done")), F.col("h.source").eqNullSafe(F.col("s.source")))
-            .groupBy(F.col("s.source").alias("source"))
+            .groupBy(F.col("s.source").alias("__sums"))
             .agg(F.sum(words * F.least(raw, F.lit(cap))).alias("value"), F.sum(F.when(raw < cap, words * raw * x).otherwise(0.0)).alias("slope"))
         )
         gap = F.col("value") - F.col("target")
@@ -101,7 +101,7 @@ def newton(histogram: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
         step = F.col("tilt") - F.when(F.col("slope") > 0, gap / F.col("slope"))
         # a step out of the bracket is replaced by its middle
         moved = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
-        joined = state.join(sums, state["source"].eqNullSafe(sums["source"]), "left").drop(sums["source"])
+        joined = state.join(sums, F.col("source").eqNullSafe(F.col("__sums")), "left")
         bracketed = joined.select(
             "source", "source_size", "target", "mean", "tilt", "value", "slope",
             F.when(F.col("value").isNull(), F.col("low")).otherwise(low).alias("low"),
@@ -141,7 +141,7 @@ def copies_of(rows: DataFrame, cap: float = CAP, group_rows: int = GROUP_ROWS) -
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     counts = cut(sizes)
     tilts = newton(histogram, cut(capped_targets(counts.select("source", "source_size"), cap)), cap)
-    plan = cut(tilts.join(counts.select(F.col("source").alias("__s"), "n_docs"), tilts["source"].eqNullSafe(F.col("__s"))).drop("__s"))
+    plan = cut(tilts.join(counts.select(F.col("source").alias("__s"), "n_docs"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"))
     r, p = rows.alias("r"), plan.alias("p")
     rate = F.least(F.exp(F.least(F.col("p.tilt") * F.col("r.size") / F.col("p.mean"), F.lit(50.0))), F.lit(cap))
     salt = F.xxhash64(F.lit(7), F.col("r.doc_key"))

@@ -95,7 +95,7 @@ def with_tool_names(events: DataFrame) -> DataFrame:
 def titles(events: DataFrame) -> DataFrame:
     """(path, first_user, last_user): a file's first and last substantive user texts."""
     order = F.struct("line_no", "part")
-    user = events.filter((F.col("role") == "user") & (F.col("kind") != "harness_notice") & substantive(F.col("content")))
+    user = events.filter((F.col("role") == "user") & (F.coalesce("kind", F.lit("")) != "harness_notice") & substantive(F.col("content")))
     return user.groupBy("path").agg(F.min_by("content", order).alias("first_user"), F.max_by("content", order).alias("last_user"))
 
 

@@ -28,7 +28,7 @@ class Parsed:
 
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(path, mtime, line_no, line, v): lines of all files below ``path``, bad bytes replaced."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     whole = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
     split = whole.select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return split.withColumns({"line_no": F.col("line_no").cast("bigint"), "v": F.try_parse_json("line")})
@@ -388,7 +388,7 @@ def pi(spark: SparkSession, path: str, provider: str = "pi") -> Parsed:
 
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, mtime, line_no, line, v): whole files as one line each."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return read.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.lit(0).cast("bigint").alias("line_no"), F.col("value").alias("line"), F.try_parse_json("value").alias("v")
     )

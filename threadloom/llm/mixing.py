@@ -75,14 +75,15 @@ def newton(histogram: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
     """(source, source_size, target, mean, tilt): the multiplier of each source.
 
     ``histogram`` has (source, size, n) with size > 0. The tilt of a source at
-    its cap is the least that caps all its documents.
+    its cap is the least that caps all its documents; it needs no steps.
     """
     span = histogram.groupBy(F.col("source").alias("__span")).agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
     high = F.coalesce(F.log(F.lit(cap)) * F.col("mean") / F.col("least"), F.lit(0.0))
+    capped = F.col("target") >= F.lit(cap) * F.col("source_size")
     state = cut(
         targets.join(span, F.col("source").eqNullSafe(F.col("__span")), "left").select(
             "source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"),
-            F.lit(0.0).alias("tilt"), F.lit(-1e4).alias("low"), high.alias("high"), F.lit(False).alias("done"),
+            F.when(capped, high).otherwise(0.0).alias("tilt"), F.lit(-1e4).alias("low"), high.alias("high"), capped.alias("done"),
         )
     )
     for _ in range(STEPS):

@@ -26,8 +26,8 @@ class Parsed:
     file_edits: DataFrame
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(path, mtime, line_no, line, v): lines of all files below ``path``, bad bytes replaced."""
+def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
+    """(path, mtime, line_no, line, v): lines of all files below ``path`` (or of a list), bad bytes replaced."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     whole = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
     split = whole.select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))

@@ -180,6 +180,9 @@ def claude(spark: SparkSession, path: str) -> Parsed:
     text = F.when(message.isNotNull(), content_text(v, "$.message.content")).otherwise(F.coalesce(trimmed(text_at(v, "$.content")), F.lit("")))
     role = F.coalesce(text_at(v, "$.message.role"), text_at(v, "$.type"))
     result = F.filter(array_at(v, "$.message.content"), lambda b: text_at(b, "$.type") == "tool_result")
+    # what is used again and again is a column, so it is planned and computed once
+    raw = raw.withColumns({"__ts": ts, "__text": text, "__role": role, "__result": result})
+    ts, text, role, result = F.col("__ts"), F.col("__text"), F.col("__role"), F.col("__result")
     notice = F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)) | text.rlike(r"^<(task-notification|local-command-(stdout|stderr|caveat)>)")
     no_args = text.contains("<command-name>") & (F.trim(N.tag_content(text, "command-args")) == "")
     skip = no_args | (F.lower(text) == "resume cancelled")
@@ -229,7 +232,8 @@ def codex(spark: SparkSession, path: str) -> Parsed:
     raw = lines(spark, path)
     ts, kind = time_at(v, "$.timestamp"), text_at(v, "$.payload.type")
     item = text_at(v, "$.type") == "response_item"
-    role, text = text_at(v, "$.payload.role"), content_text(v, "$.payload.content")
+    raw = raw.withColumns({"__ts": ts, "__kind": kind, "__role": text_at(v, "$.payload.role"), "__text": content_text(v, "$.payload.content")})
+    ts, kind, role, text = F.col("__ts"), F.col("__kind"), F.col("__role"), F.col("__text")
     injected = F.lit(False)
     for head in _INJECTED:
         injected = injected | F.startswith(F.ltrim(text), F.lit(head))

@@ -93,3 +93,17 @@ def test_rows_and_plan(spark):
     assert len({r["text"] for r in out.collect()}) == 1
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_values_beside_digits_and_capitals(spark):
+    card, iban, phone = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "+49 30 1234567"
+    alone = {v: run(spark, [v])[0][0] for v in (card, iban, phone, "4111111111111111", "2024-02-29")}
+    cases = [
+        (card, "{} 12/27"), (card, "{} 123"), ("4111111111111111", "item 17 {}"), ("4111111111111111", "{} 2024 99"), (card, "ID12 {}"), (card, "DE12 {} 22"),
+        (iban, "{} BIC: COBADEFF"), (iban, "{} EUR"), (iban, "{} 17"), (iban, "{}-5"), (phone, "{} 2024"), ("2024-02-29", "{}T10:00:00Z"), (card, "1 2 3 {}"),
+    ]
+    out = run(spark, [form.format(v) for v, form in cases])
+    assert [(t, n) for t, n, _ in out] == [(form.format(alone[v]), 1) for v, form in cases]
+    several = run(spark, [f"{phone} {card} {iban} {card}", f"{iban} TOKEN: abcdefgh1", f"{card} jo@example.com"])
+    assert [(n, k) for _, n, k in several] == [(4, "card,iban,phone"), (2, "iban,secret"), (2, "card,email")]
+    assert several[0][0] == f"{alone[phone]} {alone[card]} {alone[iban]} {alone[card]}"

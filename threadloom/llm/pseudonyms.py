@@ -1,7 +1,9 @@
 """Personal data replaced by format-preserving Feistel pseudonyms, in DataFrame functions only.
 
-One pattern finds candidates; each is validated by its kind. Valid numbers and
-dates are permuted by a keyed Feistel network within their own format:
+One pattern finds candidates. A run of digits and separators may hold several
+values next to other numbers: the kinds are tried at each of its tokens, by their
+lengths and groups, and each is validated. Valid numbers and dates are permuted
+by a keyed Feistel network within their own format:
 
 * card: all digits but the last are permuted, then the Luhn digit is set anew;
 * phone: the digits after the country code; social security number: all digits;
@@ -40,20 +42,52 @@ DATE_SIDE = 270
 
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
-#: Kind: pattern, in order of precedence.
-PATTERNS = {
+_END = _NO_WORD_AFTER
+
+#: Length of an IBAN: its countries (the registry, and countries that use the format without being in it).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BF BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+_IBAN = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + ")" + _END
+
+#: Kinds without a validation: pattern, in order of precedence.
+PLAIN = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "secret": _NO_WORD_BEFORE + r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+\-]{8,}",
     "access_key": _NO_WORD_BEFORE + r"AKIA[0-9A-Z]{16}" + _NO_WORD_AFTER,
     "hex_key": _NO_WORD_BEFORE + r"(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}" + _NO_WORD_AFTER,
-    "iban": _NO_WORD_BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}" + _NO_WORD_AFTER,
-    "ip": r"(?<![\p{L}\p{N}_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}_])",
-    "date": _NO_WORD_BEFORE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _NO_WORD_AFTER,
-    "ssn": r"(?<![\p{L}\p{N}_\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_\-])",
-    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _NO_WORD_AFTER,
-    "card": _NO_WORD_BEFORE + r"[0-9](?:[ \-]?[0-9]){12,18}" + _NO_WORD_AFTER,
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+# a run of digits and separators up to the end of a token, and one that an IBAN leads; they hold
+# any number of values, and an address or a named secret after them isn't part of them
+_RUN_END = r"[0-9](?:T(?=[0-9])|(?![\p{L}\p{N}_])(?![\p{L}\p{N}._%+\-]*+@))"
+_RUN = r"(?:(?<![\p{L}\p{N}_+])[+(]|[.\-]|(?<![\p{L}\p{N}_]))[0-9][0-9 .\-()/+]{5,}" + _RUN_END
+_LED = _NO_WORD_BEFORE + _IBAN + r"(?!(?<=PASSWORD|PASSWD|PWD|SECRET|TOKEN|APIKEY|API)[\"'=: \-])(?:[0-9 .\-()/+]*" + _RUN_END + ")?"
+ANY = "|".join(f"(?:{p})" for p in [*PLAIN.values(), _LED, _RUN])
+
+#: Kind, what must not stand before, pattern; the first valid one at a place is taken. A card's usual
+#: groups and unbroken numbers come before its other lengths; of phones the shortest with enough digits,
+#: and after one in short groups those short groups that may belong to it.
+_MORE = r"(?:(?<=[ .\-][0-9]{2,4})(?:[ .\-](?![0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9]))[0-9]{2,4}(?![\p{L}\p{N}_])){1,2})"
+_ABROAD = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4})"
+INSIDE = [
+    ("access_key", "[0-9A-Za-z]", r"AKIA[0-9A-Z]{16}" + _END),
+    ("iban", "[0-9A-Za-z]", _IBAN),
+    ("ip", "[0-9A-Za-z.]", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}_])"),
+    ("date", "[0-9A-Za-z]", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:(?=T)|" + _END + ")"),
+    ("ssn", "[0-9A-Za-z\\-]", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_\-])"),
+    ("phone", "[0-9A-Za-z+]", r"(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})" + _END),
+    *[("phone", "[0-9A-Za-z+]", _ABROAD + f"{{{k}}}" + _END + more) for k in range(1, 5) for more in (_MORE, _MORE.replace("{1,2}", "{1}"), "")],
+    *[("card", "[0-9A-Za-z]", p + _END) for p in (r"[0-9]{4}(?:[ \-][0-9]{4}){3}", r"[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}", r"[0-9]{13,19}")],
+    *[("card", "[0-9A-Za-z]", rf"[0-9](?:[ \-]?[0-9]){{{n - 1}}}" + _END) for n in range(19, 12, -1)],
+]
+
+#: Longer than any value of INSIDE with what follows it.
+WINDOW = 64
 
 
 #: What names a secret; a text without a digit or an @ can only hold one of these.
@@ -68,10 +102,6 @@ def worth_searching(text: Column) -> Column:
     return text.rlike("[0-9@]") | F.contains(text, F.lit("AKIA")) | ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & named)
 
 
-def whole(kind: str) -> str:
-    return f"^(?:{PATTERNS[kind]})$"
-
-
 # --- keyed functions --------------------------------------------------------
 
 
@@ -274,16 +304,65 @@ KINDS = {
 }
 
 
-def kind_of(m: Column) -> Column:
-    """The kind of a match, null if it isn't valid."""
-    out = None
-    for kind, (valid, _) in KINDS.items():
-        fits = m.rlike(whole(kind))
-        fits = fits & valid(m) if valid else fits
-        out = F.when(fits, F.lit(kind)) if out is None else out.when(fits, F.lit(kind))
+def plain_kind(m: Column) -> Column:
+    """The kind of a match that needs no validation, null for a run of digits."""
+    out = F.when(F.lit(False), F.lit(""))
+    for kind, pattern in PLAIN.items():
+        out = out.when(m.rlike(f"^(?:{pattern})$"), F.lit(kind))
     return out
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def value_at(run: Column, at: Column) -> Column:
+    """struct(kind, value) of the first valid value of INSIDE that starts at ``at``, or null."""
+
+    def checked(kind: str):
+        valid = KINDS[kind][0] or (lambda v: F.lit(True))
+        return lambda v: F.when((v != "") & valid(v), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    def first(w: Column, before: Column) -> Column:
+        found = []
+        for kind, barred, pattern in INSIDE:
+            may = ~before.rlike(barred) & F.substring(w, 1, 1).rlike(HEADS[kind])
+            found.append(F.when(may, bound(F.regexp_extract(w, f"^(?:{pattern})", 0), checked(kind))))
+        return F.coalesce(*found)
+
+    return bound(F.struct(run.substr(at, F.lit(WINDOW)).alias("w"), F.when(at > 1, run.substr(at - 1, F.lit(1))).otherwise("").alias("b")), lambda x: first(x["w"], x["b"]))
+
+
+#: How values of a kind of INSIDE begin.
+HEADS = {"access_key": "A", "iban": "[A-Z]", "ip": "[0-9]", "date": "[0-9]", "ssn": "[0-9]", "phone": "[0-9+(]", "card": "[0-9]"}
+
+
+def pieces_of(run: Column) -> Column:
+    """A run's parts in order, array of struct(kind, value); kind is null for what stays.
+
+    Values are looked for at the start of each token, and on after the end of each one found.
+    """
+    tokens = F.regexp_extract_all(run, F.lit(r"[+(]|[0-9A-Z]+|[^0-9A-Z+(]+"), F.lit(0))
+    part = lambda kind, value: F.array(F.struct(kind.cast("string").alias("kind"), value.alias("value")))
+
+    def step(acc: Column, token: Column) -> Column:
+        here, n = acc["at"], F.length(token)
+        skip = F.struct((here + n).alias("at"), acc["end"].alias("end"), acc["out"].alias("out"))
+
+        def taken(v: Column) -> Column:
+            stays = F.when(here > acc["end"], part(F.lit(None), run.substr(acc["end"], here - acc["end"]))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+            return F.when(v.isNull(), skip).otherwise(
+                F.struct((here + n).alias("at"), (here + F.length(v["value"])).alias("end"), F.concat(acc["out"], stays, part(v["kind"], v["value"])).alias("out"))
+            )
+
+        return F.when((here < acc["end"]) | ~token.rlike("^[0-9A-Z+(]"), skip).otherwise(bound(value_at(run, here), taken))
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("end"), F.array().cast("array<struct<kind:string,value:string>>").alias("out"))
+    finish = lambda acc: F.concat(acc["out"], part(F.lit(None), run.substr(acc["end"], F.length(run))))
+    return F.aggregate(tokens, start, step, finish)
+
+
 def replaced(key: Column, kind: Column, m: Column) -> Column:
     out = None
     for k, (_, make) in KINDS.items():
@@ -298,14 +377,15 @@ def pseudonymise(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     text = F.col("__text")
     none = F.array().cast("array<string>")
     found = source.withColumn("__m", F.when(worth_searching(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
-    sorted_out = found.withColumn("__k", F.transform(F.coalesce("__m", none), kind_of))
-    any_valid = F.exists("__k", lambda x: x.isNotNull())
-    fresh = F.zip_with("__m", "__k", lambda m, kind: F.when(kind.isNull(), m).otherwise(replaced(k, kind, m)))
+    # a match is a list of parts: one, or those of a run
+    parts = lambda m: bound(plain_kind(m), lambda k: F.when(k.isNull(), pieces_of(m)).otherwise(F.array(F.struct(k.alias("kind"), m.alias("value")))))
+    sorted_out = found.withColumn("__k", F.transform(F.coalesce("__m", none), parts))
+    valid = F.filter(F.transform(F.flatten("__k"), lambda x: x["kind"]), lambda x: x.isNotNull())
+    fresh = F.transform("__k", lambda ps: F.array_join(F.transform(ps, lambda x: F.when(x["kind"].isNull(), x["value"]).otherwise(replaced(k, x["kind"], x["value"]))), ""))
     pieces = F.zip_with(F.split(text, ANY, -1), fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    valid = F.filter("__k", lambda x: x.isNotNull())
     return sorted_out.select(
         *keep,
-        F.when(any_valid, F.array_join(pieces, "")).otherwise(text).alias(text_col),
+        F.when(F.size(valid) > 0, F.array_join(pieces, "")).otherwise(text).alias(text_col),
         F.size(valid).cast("bigint").alias("n_private"),
         F.array_join(F.array_sort(F.array_distinct(valid)), ",").alias("kinds"),
     )

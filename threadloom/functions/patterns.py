@@ -21,6 +21,10 @@ POSIX = {
 }
 
 
+#: An escape with its operands: code points, properties, classes and anchors, or a punctuation mark.
+ESCAPE = r"\\(?:x\{[^}]*\}|x[0-9A-Fa-f]{2}|[pP]\{[^}]*\}|[pP][A-Za-z]|[dDwWsSbBAzntrfvhH]|[^A-Za-z0-9])"
+
+
 class PatternError(ValueError):
     """The pattern is not in the dialect."""
 
@@ -77,14 +81,17 @@ def regex_match(pattern: str, text: Column) -> Column:
 def required_literals(pattern: str) -> list[str] | None:
     """Literals of which a match must have one: runs of plain letters of each top alternative.
 
-    None if some alternative has no run of three or more; then no prefilter is
-    safe. Anything optional, grouped or in a class ends a run.
+    None if some alternative has no run of three or more, or an escape isn't a known
+    one; then no prefilter is safe. Anything optional, grouped or in a class ends a
+    run, and escapes and counts go with their operands.
     """
     if re.search(r"[()\[\]]|\(\?", pattern):
         return None
+    if re.search(r"\\[A-Za-z0-9]", re.sub(ESCAPE, "\0", pattern, flags=re.S)):
+        return None
     found = []
     for alternative in pattern.split("|"):
-        runs = re.findall(r"(?:\w| (?! ))+", re.sub(r"\\.|.[*?{]|\{[^}]*\}|[.^$+]", "\0", alternative))
+        runs = re.findall(r"(?:\w| (?! ))+", re.sub(rf"(?s:(?:{ESCAPE}|.)(?:[*?]|\{{[^}}]*\}})|{ESCAPE}|\{{[^}}]*\}}|[.^$+])", "\0", alternative))
         best = max(runs, key=len, default="")
         if len(best) < 3 or not best.isascii():
             return None

@@ -46,6 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_numbers(df: DataFrame) -> Column:
+    """The number of each row: ``__row`` of a table that has it, else one that holds within a single scan."""
+    return F.col("__row") if "__row" in df.columns else F.monotonically_increasing_id()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``__row``, numbered once and cut, so each later read has the same numbers.
+
+    The numbers of a scan follow its file splits, which change with the cores at hand.
+    """
+    return cut(df.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

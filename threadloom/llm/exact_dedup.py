@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, numbered, row_numbers
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -229,11 +229,11 @@ def screen_rows(rows: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, screen_digests: int = SCREEN_DIGESTS) -> DataFrame:
     """One row per row of ``df``: row, doc_key, digest, last (rank that stays), n.
 
-    ``row`` numbers the rows (``df`` must be a deterministic read, such as a
-    table); ``rank`` orders equal texts by (id, row).
+    ``row`` is ``__row`` of a numbered table, else the rows are numbered here and
+    the number holds only within the result; ``rank`` orders equal texts by (id, row).
     """
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_key"), normalised(F.col(text_col)).alias("norm"))
-    digested = numbered.withColumn("digest", digest(F.col("norm")))
+    marked = df.select(row_numbers(df).alias("row"), F.col(id_col).alias("doc_key"), normalised(F.col(text_col)).alias("norm"))
+    digested = marked.withColumn("digest", digest(F.col("norm")))
     rank = F.struct("doc_key", "row").alias("rank")
     rows = cut(digested.select("row", "doc_key", "digest"))
     old = F.pmod(F.xxhash64(F.lit(3), F.col("row")), F.lit(2)) == 0
@@ -247,7 +247,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     out = rows.join(groups, "digest").select("row", "doc_key", "digest", "last", "n")
     if collided.isEmpty():
         return out
-    mixed = digested.join(collided, "digest", "left_semi")
+    mixed = cut(digested.join(collided, "digest", "left_semi"))
     apart = mixed.groupBy("digest", "norm").agg(F.max(rank).alias("last"), F.count("*").alias("n"))
     exact = mixed.select("row", "doc_key", "digest", "norm").join(apart, ["digest", "norm"]).select("row", "doc_key", "digest", "last", "n")
     return out.join(collided, "digest", "left_anti").unionByName(exact)
@@ -283,5 +283,6 @@ FROM t
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without the earlier copies of equal texts."""
-    dropped = classes(docs).filter(F.col("row") != F.col("last.row")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    dropped = classes(rows).filter(F.col("row") != F.col("last.row")).select(F.col("row").alias("__row"))
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, documents
+from .common import WORD_PATTERN, cut, documents, numbered
 
 #: No document is taken more often than this.
 CAP = 3.0
@@ -191,7 +191,7 @@ def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, each as often as it is taken."""
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    keyed = numbered(docs)
     rows = keyed.select(F.col("__row").alias("doc_key"), "source", word_count(F.col("text")).alias("size"))
     taken = copies_of(rows).filter("copies > 0").select(F.col("doc_key").alias("__row"), F.col("copies").alias("__copies"))
     return repeat_rows(keyed.join(taken, "__row").select(*docs.columns, "__copies"), "__copies")

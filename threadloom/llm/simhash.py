@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, plain_strings, text_slices
+from .common import cut, documents, numbered, plain_strings, row_numbers, text_slices
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -291,8 +291,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row per row of ``df``: row, doc_key, fp, component (least id of its class), first_row."""
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_key"), F.col(text_col).alias("text"))
-    marked = cut(fingerprints(numbered, keep=("row", "doc_key")))
+    rows = df.select(row_numbers(df).alias("row"), F.col(id_col).alias("doc_key"), F.col(text_col).alias("text"))
+    marked = cut(fingerprints(rows, keep=("row", "doc_key")))
     # null ids come last
     rank = F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "row")
     nodes = cut(marked.groupBy("fp").agg(F.min(rank).alias("least")))
@@ -316,5 +316,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the least id."""
-    dropped = near_groups(docs).filter(F.col("row") != F.col("first_row")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    dropped = near_groups(rows).filter(F.col("row") != F.col("first_row")).select(F.col("row").alias("__row"))
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)

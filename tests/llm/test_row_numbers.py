@@ -24,7 +24,8 @@ def test_splits_change_between_scans(spark, tmp_path, monkeypatch, module):
         return out
 
     for m in (common, module):
-        monkeypatch.setattr(m, "cut", cut)
+        if hasattr(m, "cut"):
+            monkeypatch.setattr(m, "cut", cut)
     try:
         docs = spark.read.parquet(str(tmp_path / "docs"))
         assert sorted(map(tuple, module.stage(spark, docs, "").collect())) == expected

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles at once.
 SLICE_BYTES = 6 << 20
 
+#: Rows of numbers up to which one side of a join is broadcast (some 50 MB).
+BROADCAST_ROWS = 1_000_000
+
 #: The characters that end a word: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
@@ -32,31 +35,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one, which only a local master can share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="threadloom-")
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks) a temporary folder of the driver is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="threadloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def row_numbers(df: DataFrame) -> Column:
-    """The number of each row: ``__row`` of a table that has it, else one that holds within a single scan."""
-    return F.col("__row") if "__row" in df.columns else F.monotonically_increasing_id()
+def row_numbers(row_col: str | None) -> Column:
+    """The number of each row: the column ``row_col``, else one that holds within a single scan."""
+    return F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``__row``, numbered once and cut, so each later read has the same numbers.
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with its rows numbered once and cut, so each later read has the same numbers; and the number's column.
 
-    The numbers of a scan follow its file splits, which change with the cores at hand.
+    The numbers of a scan follow its file splits, which change with the cores at
+    hand. The column's name is one that no column of ``df`` begins with.
     """
-    return cut(df.withColumn("__row", F.monotonically_increasing_id()))
+    name = "__row"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return cut(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever characters those have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, cut, and marked for broadcast if it has at most ``bound`` rows (a few numbers each)."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= bound else held
+
+
+def without_rows(rows: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
+    """``rows`` but for those whose ``number`` is in ``dropped``; texts are shuffled only when those are many."""
+    return rows.join(small_side(dropped), number, "left_anti")
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """Join by ``key``, of which one value may have very many rows in ``big``: they are spread over ``parts`` tasks by ``spread``."""
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(F.lit(17), spread), F.lit(parts)).cast("int"))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

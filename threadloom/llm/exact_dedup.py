@@ -19,7 +19,10 @@ The query deals the table into a snapshot and a batch by the hash of the id and
 merges the groups of both; which rows come first doesn't change the result.
 
 Results at the edges: a null text counts as empty, and empty texts are equal;
-of equal texts with equal ids one row is kept; a null id is the smallest.
+very long texts are hashed and compared whole; of equal texts with equal ids (a
+repeated row) one row is kept; a null id is the smallest; no other column is
+read, whatever its name, and stages return them as they are; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, numbered, row_numbers
+from .common import columns_of, cut, documents, numbered, row_numbers, without_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -226,13 +229,16 @@ def screen_rows(rows: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("__key", filter_key(F.col("digest"))).mapInArrow(run, rows.schema)
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, screen_digests: int = SCREEN_DIGESTS) -> DataFrame:
+def classes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, screen_digests: int = SCREEN_DIGESTS, row_col: str | None = None
+) -> DataFrame:
     """One row per row of ``df``: row, doc_key, digest, last (rank that stays), n.
 
-    ``row`` is ``__row`` of a numbered table, else the rows are numbered here and
-    the number holds only within the result; ``rank`` orders equal texts by (id, row).
+    ``row`` is the column ``row_col`` of a numbered table; without it the rows are
+    numbered here, and the number holds only within the result: it is not compared
+    between scans. ``rank`` orders equal texts by (id, row).
     """
-    marked = df.select(row_numbers(df).alias("row"), F.col(id_col).alias("doc_key"), normalised(F.col(text_col)).alias("norm"))
+    marked = df.select(row_numbers(row_col).alias("row"), F.col(id_col).alias("doc_key"), normalised(F.col(text_col)).alias("norm"))
     digested = marked.withColumn("digest", digest(F.col("norm")))
     rank = F.struct("doc_key", "row").alias("rank")
     rows = cut(digested.select("row", "doc_key", "digest"))
@@ -283,6 +289,6 @@ FROM t
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without the earlier copies of equal texts."""
-    rows = numbered(docs)
-    dropped = classes(rows).filter(F.col("row") != F.col("last.row")).select(F.col("row").alias("__row"))
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    rows, number = numbered(docs)
+    dropped = classes(rows, row_col=number).filter(F.col("row") != F.col("last.row")).select(F.col("row").alias(number))
+    return without_rows(rows, dropped, number).select(*columns_of(docs))

@@ -13,8 +13,10 @@ bounded size, so that the words taken stay next to the words asked for.
 
 Results at the edges: a null or empty text has size 0 and is taken 0 times; a
 source without words has target 0; a null source is a source of its own, the
-last; equal rows are rounded alike but for ties, which the row's hash and place
-in its group settle; an empty table gives an empty result.
+last; a document longer than its source's target is taken at most as often as
+the words owed allow; equal rows are rounded alike but for ties, which the row's
+hash and place in its group settle; a null id is an id of its own; no other
+column is read, whatever its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, documents, numbered
+from .common import WORD_PATTERN, columns_of, cut, documents, numbered, small_side
 
 #: No document is taken more often than this.
 CAP = 3.0
@@ -191,7 +193,8 @@ def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, each as often as it is taken."""
-    keyed = numbered(docs)
-    rows = keyed.select(F.col("__row").alias("doc_key"), "source", word_count(F.col("text")).alias("size"))
-    taken = copies_of(rows).filter("copies > 0").select(F.col("doc_key").alias("__row"), F.col("copies").alias("__copies"))
-    return repeat_rows(keyed.join(taken, "__row").select(*docs.columns, "__copies"), "__copies")
+    keyed, number = numbered(docs)
+    rows = keyed.select(F.col(number).alias("doc_key"), "source", word_count(F.col("text")).alias("size"))
+    copies = f"{number}copies"
+    taken = copies_of(rows).filter("copies > 0").select(F.col("doc_key").alias(number), F.col("copies").alias(copies))
+    return repeat_rows(keyed.join(small_side(taken), number).select(*columns_of(docs), copies), copies)

@@ -1,8 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule is a statistic and a fixed list of cutoffs, laxest first. Labelled
-documents that pass the base rules are the holdout; a good one that a cutoff
-rejects is a false rejection. Per stratum (band of lengths) and rule, cutoffs
+documents that pass the base rules are the holdout, one for each distinct text
+(letter case aside), because copies are no separate trials; a good one that a
+cutoff rejects is a false rejection. Per stratum (band of lengths) and rule, cutoffs
 are tested in order: with k of n good holdout documents rejected, a cutoff is
 certified while P(Binomial(n, limit) <= k) <= level, which is to say while the
 exact (Clopper-Pearson) upper bound of its false-rejection rate is within the
@@ -14,9 +15,12 @@ documents. Among certified cutoffs, the laxest one that catches most of the bad
 holdout documents at least cost is used; without a certified cutoff a rule is
 off, so strata with few labels reject nothing beyond the base rules.
 
-Results at the edges: a null text has no words, so the base rules reject it;
-rows without label, or with a null one, are judged but not learned from; several
-labels of one document count one by one.
+Results at the edges: a null text has no words, so the base rules reject it; an
+empty one likewise; texts are read whole, a very long one in a slice of its own;
+rows without label, or with a null one, are judged but not learned from; repeated
+rows are judged alike and are one trial; a text with labels that contradict one
+another counts as good, so the bound errs to the side of keeping; no column but
+id and text is read, whatever its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,9 +58,14 @@ RULES: dict[str, tuple[str, int, list[float]]] = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 
+#: A hash of the text in lower case: what rows of one trial have in common.
+TEXT_KEY = "__text_key"
+
+
 def counts(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` and COUNTS of each row."""
-    source = df.select(*keep, F.col(text_col).alias("__text"))
+    """``keep``, TEXT_KEY and COUNTS of each row."""
+    source = df.select(*keep, F.xxhash64(F.lower(F.col(text_col))).alias(TEXT_KEY), F.col(text_col).alias("__text"))
+    keep = (*keep, TEXT_KEY)
     kinds = dict(source.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +137,17 @@ def rejecting(name: str, sign: int, cutoffs: list[float]) -> Column:
     return total
 
 
+def holdout(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """COUNTS and label of the labelled rows that pass the base rules, one row for each distinct text."""
+    marks = labels.filter(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("label"))
+    rows = stats.filter(~base_failed()).join(marks, "doc_id")
+    first = F.min(F.struct("doc_id", *COUNTS)).alias("s")
+    return rows.groupBy(TEXT_KEY).agg(first, F.max("label").alias("label")).select("s.*", "label")
+
+
 def certify(stats: DataFrame, labels: DataFrame, label_col: str = "quality", limit: float = LIMIT, error: float = ERROR) -> dict[tuple[int, str], float]:
     """Cutoffs in use by (band, rule). Only the table of counts comes to the driver."""
-    held = stats.filter(~base_failed()).join(labels.filter(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).alias("label")), "doc_id")
+    held = holdout(stats, labels, label_col)
     places = F.array(*[F.struct(F.lit(r).alias("rule"), rejecting(*spec).alias("place")) for r, spec in RULES.items()])
     table = held.select(band(F.col("n_words")).alias("band"), "label", F.explode(places).alias("r")).groupBy("band", "label", "r.rule", "r.place").count().collect()
     level = error / (len(BANDS) * len(RULES))

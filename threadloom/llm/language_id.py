@@ -1,7 +1,8 @@
 """Language ID with language-bitmask n-gram filters.
 
-At most ``FIT_ROWS`` labelled documents, the least by a hash of the id, give the
-character n-grams (2 to 4, within words and their blanks) of each language. A
+At most ``FIT_ROWS`` labelled documents of each language, chosen by a hash of the
+id (so a rare language is learned at any size of the corpus), give the character
+n-grams (2 to 4, within words and their blanks) of each language. A
 language's profile holds the ``PROFILE`` commonest n-grams whose rate in it is
 at least ``SHARE`` of the highest rate in any language. All profiles go into one
 bit-sliced Bloom filter: a slot is a bitmask of languages, an n-gram's ``PROBES``
@@ -15,7 +16,10 @@ languages' counts. Distinct words of a slice are looked up once.
 
 Results at the edges: a null text, and one without a letter, is ``und`` with
 score 0; if nothing could be learned all are ``und``; a text with letters but
-no known n-gram takes the language with most learned documents, score 0.
+no known n-gram takes the language with most learned documents, score 0. Texts
+are read whole; repeated rows get equal results; a repeated id brings all its
+rows to the counts; no column but id, text and (to learn) lang is read, whatever
+its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, encode_words, id_remainder, list_parts, plain_strings, segment_sums, text_slices
+from .common import documents, encode_words, id_remainder, list_parts, plain_strings, segment_sums, small_side, text_slices
 
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 PROFILE = 40_000
 SHARE = 0.25
 SLOTS = 1 << 20
@@ -158,20 +162,45 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def language_sample(ids: DataFrame, fit_rows: int) -> tuple[DataFrame, list[str]]:
+    """At most ``fit_rows`` of the distinct (doc_id, lang) of each language, and the languages, commonest first.
+
+    Those whose hash has the most leading zeros are taken, as many zeros as it
+    needs; each zero more halves the rows, so a language with more rows than the
+    bound gives half of it or more. Counts by (language, zeros) decide, so no
+    language is sorted or held in one task, and a rare one is taken whole.
+    """
+    h = F.xxhash64(F.lit(11), F.col("doc_id"))
+    zeros = F.when(h < 0, 0).when(h == 0, 64).otherwise(64 - F.length(F.bin(h)))
+    marked = ids.distinct().withColumn("zeros", zeros.cast("int"))
+    table = marked.groupBy("lang", "zeros").count().collect()  # at most 65 rows a language
+    total: dict[str, int] = {}
+    for r in table:
+        total[r["lang"]] = total.get(r["lang"], 0) + r["count"]
+    least = {lang: 0 for lang in total}
+    left = dict(total)
+    for r in sorted(table, key=lambda r: r["zeros"]):
+        if left[r["lang"]] > fit_rows:
+            left[r["lang"]] -= r["count"]
+            least[r["lang"]] = r["zeros"] + 1
+    langs = sorted(total, key=lambda lang: (-total[lang], lang))
+    cut_at = ids.sparkSession.createDataFrame([(k, v) for k, v in least.items()], "lang string, least int")
+    return marked.join(cut_at, "lang").filter(F.col("zeros") >= F.col("least")).select("doc_id", "lang"), langs
+
+
 def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS, profile: int = PROFILE) -> LanguageFilter:
     """Filters learned from the rows (doc_id, text, lang) for which ``learn`` holds."""
-    chosen = bounded_sample(docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang"), "doc_id", fit_rows)
-    # at most fit_rows ids, so they can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates()), "doc_id")
-    langs = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    ids = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    chosen, langs = language_sample(ids, fit_rows)
+    rows = docs.select("doc_id", "text").join(small_side(chosen), "doc_id")
     counted = gram_counts(rows.select("lang", "text"))
     rate = counted.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     near = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= F.lit(SHARE) * F.col("top"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     held = near.withColumn("place", place).filter(F.col("place") <= profile).select("lang", "gram").toArrow()
     grams, names = held["gram"].to_numpy().view(np.uint64), np.array(held["lang"].to_pylist(), dtype=object)
-    profiles = {r["lang"]: grams[names == r["lang"]] if len(grams) else grams for r in langs}
-    return LanguageFilter.build(profiles, langs[0]["lang"] if langs else UND)
+    profiles = {lang: grams[names == lang] if len(grams) else grams for lang in langs}
+    return LanguageFilter.build(profiles, langs[0] if langs else UND)
 
 
 def predict(df: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

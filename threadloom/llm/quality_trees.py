@@ -8,8 +8,11 @@ of a level. All trees are flattened into arrays (feature, threshold, child,
 value), which tasks walk for all documents of a slice at once.
 
 Results at the edges: a null text counts as empty and is scored like any other;
-without labelled rows every score is the prior 0.5; null labels and ids are not
-learned from; repeated rows get equal scores.
+very long texts are read whole, in a slice of their own; without labelled rows
+every score is the prior 0.5; null ids and labels other than 0 and 1 are not
+learned from; repeated rows get equal scores; no column but id and text is read,
+whatever its name, and the stage returns them as they are; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -149,15 +152,20 @@ def feature_rows(df: DataFrame, keep: tuple[str, ...], text_col: str = "text") -
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Forest:
-    """Trees fitted on the labelled documents for whose ``doc_id`` ``learn`` holds."""
-    known = labels.filter(learn & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("y"))
+    """Trees fitted on the labelled documents for whose ``doc_id`` ``learn`` holds.
+
+    At most ``fit_rows`` labels are drawn, and of the rows that have their ids (an
+    id may be repeated) at most ``fit_rows`` bring their features to the driver.
+    """
+    known = labels.filter(learn & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y"))
     chosen = bounded_sample(known, "doc_id", fit_rows)
     # at most fit_rows pairs of numbers, so they can be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    table = feature_rows(rows, ("doc_id", "y")).toArrow()
-    order = np.lexsort((table["y"].to_numpy(), table["doc_id"].to_numpy()))
+    table = feature_rows(rows, ("doc_id", "y")).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "y", "features").limit(fit_rows).toArrow()
     x = np.array(table["features"].combine_chunks().values if table.num_rows else []).reshape(-1, len(FEATURES))
-    return fit(x[order], table["y"].to_numpy()[order].astype(np.float64))
+    y = table["y"].to_numpy().astype(np.float64)
+    order = np.lexsort((*x.T[::-1], y, table["doc_id"].to_numpy()))
+    return fit(x[order], y[order])
 
 
 def score(df: DataFrame, model: Forest, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", cut_score: float = CUT_SCORE) -> DataFrame:

@@ -16,8 +16,11 @@ the share of toxic ones among labelled rows of the learning folds.
 P and U are bounded samples (``FIT_TOXIC``, ``FIT_OTHER`` rows, least by a hash
 of the id); scoring looks up each distinct word of a slice once.
 
-Results at the edges: null and empty texts are scored by the bias alone; with
-no toxic row to learn from every score is 0; repeated rows get equal scores.
+Results at the edges: null and empty texts are scored by the bias alone; very
+long texts are read whole, in a slice of their own; with no toxic row to learn
+from every score is 0; labels other than 0 and 1 are not learned from; repeated
+rows get equal scores; no column but id and text is read, whatever its name; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -200,12 +203,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
     both = toxic.select("doc_id", F.lit(True).alias("positive")).unionByName(other.select("doc_id", F.lit(False).alias("positive")))
     # at most fit_toxic + fit_other ids, so they can be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("doc_id", "text", "positive")
-    n_p, n_u = min(fit_toxic, n_toxic), max(1, other.count())
+    # an id may be of several rows: all are counted, but only bounded numbers of rows come to the driver
+    size = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
+    n_p, n_u = max(1, size.get(True, 0)), max(1, size.get(False, 0))
     rate_p, rate_u = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
     counted = feature_documents(rows).filter((F.col("p") >= LEAST_TOXIC_DOCS) & (rate_p >= LEAST_RATIO * rate_u))
     best = counted.orderBy(F.desc(F.col("p") * F.log(rate_p / rate_u)), "feature").limit(FEATURES).select("feature").toArrow()
     names = np.sort(best["feature"].to_numpy().view(np.uint64))
-    table = known_features(rows, names).toArrow()
+    found = known_features(rows, names)
+    drawn = lambda which, n: found.filter(which).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "places", "counts").limit(n)
+    table = drawn("positive", fit_toxic).unionByName(drawn("NOT positive", fit_other)).toArrow()
     if not table.num_rows or not len(names):
         return empty
     table = table.sort_by([("doc_id", "ascending"), ("positive", "ascending")]).combine_chunks()

@@ -114,7 +114,7 @@ def test_fuzzy_members():
 def test_requests_that_cannot_match_are_refused():
     for bad in (
         lambda: search.SearchRequest(query=" "), lambda: search.SearchRequest(mode="regex"), lambda: search.SearchRequest(query="ab", mode="fuzzy", limit=5),
-        lambda: search.SearchRequest(query="abc", mode="fuzzy"), lambda: search.SearchRequest(match_chars=5), lambda: search.SearchRequest(window="latest"),
+        lambda: search.SearchRequest(query="abc", mode="fuzzy", limit=None), lambda: search.SearchRequest(match_chars=5), lambda: search.SearchRequest(window="latest"),
         lambda: search.SearchRequest(query="a", argument_path="/x"), lambda: MessageFilters(sequence=(1, 2)), lambda: MessageFilters(providers=()),
         lambda: SessionFilters(parent="p", session_kinds=("user",)), lambda: MessageFilters(kinds=("nonsense",)),
     ):

@@ -65,6 +65,34 @@ def test_follow_takes_new_files_once(spark, tmp_path):
         q = ingest.follow(spark, "claude", str(folder), store, checkpoint, batches.append)
         assert q.awaitTermination(90)
     assert contents(spark, store) == full(spark, folder) and len(batches) == 2
+    # a refresh of the same store has nothing left to parse
+    assert ingest.refresh(spark, {"claude": str(folder)}, store) == {"new": 0, "changed_file": 0, "changed_parser": 0, "current": 2}
+
+
+def test_snapshots_and_failed_runs(spark, tmp_path, monkeypatch):
+    folder, store = tmp_path / "logs", str(tmp_path / "store")
+    folder.mkdir()
+    put(folder, "A", session_lines("A")[:2], 1000)
+    ingest.refresh(spark, {"claude": str(folder)}, store)
+    first, rows = ingest.snapshot(spark, store), contents(spark, store)
+    put(folder, "A", session_lines("A"), 2000)
+    put(folder, "B", session_lines("B"), 2000)
+    # a run that dies before its manifest changes nothing
+    monkeypatch.setattr(ingest, "publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.refresh(spark, {"claude": str(folder)}, store)
+    monkeypatch.undo()
+    assert contents(spark, store) == rows and ingest.snapshot(spark, store) == first
+    assert ingest.refresh(spark, {"claude": str(folder)}, store)["new"] == 1
+    assert contents(spark, store) == full(spark, folder)
+    # the old snapshot is still whole, and of two runs one wins
+    old = ingest.stored(spark, store, "messages", first)
+    assert sorted(map(tuple, old.select("session_id", "seq", "kind", "content").collect())) == rows
+    with pytest.raises(FileExistsError):
+        ingest.publish(spark, store, {}, first)
+    assert ingest.refresh(spark, {"claude": str(folder)}, store, policy="before_query", max_age_seconds=3600) == dict.fromkeys(["new", "changed_file", "changed_parser", "current"], 0)
+    assert ingest.vacuum(spark, store, keep=1)
+    assert contents(spark, store) == full(spark, folder) and ingest.manifests(spark, store) == [ingest.snapshot(spark, store)]
 
 
 def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):

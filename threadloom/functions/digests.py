@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,43 @@ def framed_digest(*fields: Column) -> Column:
     return F.sha2(framed(*fields), 256)
 
 
-def rows_digest(df: DataFrame, order: list[str], fields: list[str], chunk: int = 10_000) -> DataFrame:
-    """One row (digest, n): digests of row digests in ``order``, combined in chunks of ``chunk`` rows.
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``rank`` from 0 in ``order``: places within ranges of the order, after the rows of the ranges before.
 
-    The order's ranks are dealt into chunks, so no task holds more than a chunk;
-    the digest of the chunk digests, in order, is the result.
+    The ranges are cut before they are counted, so both readings see the same ones.
+    No task holds more than a range.
     """
-    from pyspark.sql import Window
+    from ..sources.session import cut
+
+    held = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = held.groupBy("__part").count()
+    # a row a range
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return held.withColumn("__place", place).join(starts, "__part").withColumn("rank", F.col("__place") + F.col("__start")).drop("__part", "__place", "__start")
+
+
+def _joined(place: str, chunk: int) -> tuple[Column, Column]:
+    """The chunk of a place, and the digest of a chunk's digests in order."""
+    inside = F.transform(F.array_sort(F.collect_list(F.struct(place, "d"))), lambda x: x["d"])
+    return F.floor(F.col(place) / chunk).alias("above"), F.sha2(F.array_join(inside, ""), 256).alias("d")
 
+
+def rows_digest(df: DataFrame, order: list[str], fields: list[str], chunk: int = 10_000) -> DataFrame:
+    """One row (digest, n): a tree of SHA-256 over the row digests in ``order``, ``chunk`` of them a node.
+
+    Nodes are cut by the rows' ranks in the whole result and ties of the order are
+    settled by the row digests, so the digest is the same on any partitioning; no
+    task holds more than a node. There are two levels at least.
+    """
     keyed = df.select(*order, framed_digest(*[F.col(c) for c in fields]).alias("d"))
-    ranged = keyed.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    within = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    chunks = within.groupBy("part", F.floor((F.col("place") - 1) / chunk).alias("chunk")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "d"))), lambda x: x["d"]), ""), 256).alias("d"), F.count("*").alias("n")
-    )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk", "d"))), lambda x: x["d"]), "")
-    return chunks.agg(F.sha2(joined, 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    level = ranked(keyed, [*order, "d"]).select("rank", "d")
+    n = level.count()
+    above, d = _joined("rank", chunk)
+    level = level.groupBy(above).agg(d).withColumnRenamed("above", "rank")
+    nodes = -(-n // chunk)
+    while nodes > chunk:
+        level = level.groupBy(above).agg(d).withColumnRenamed("above", "rank")
+        nodes = -(-nodes // chunk)
+    return level.agg(d, F.lit(n).cast("bigint").alias("n")).select(F.col("d").alias("digest"), "n")

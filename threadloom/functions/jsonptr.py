@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -32,3 +33,16 @@ def value_at(text: Column, pointer: str, under: tuple[str, ...] = ("args",)) ->
     found = F.variant_get(F.try_parse_json(text), variant_path([*under, *parse(pointer)]), "variant")
     raw = F.schema_of_variant(found) == "STRING"
     return F.when(raw, F.try_variant_get(found, "$", "string")).otherwise(F.to_json(found))
+
+
+def plain_value(pointer: str | None, text: str | None, under: tuple[str, ...] = ("args",)) -> str | None:
+    """``value_at`` of one text, for pointers that differ from row to row."""
+    if pointer is None or text is None:
+        return None
+    try:
+        found = json.loads(text)
+        for t in [*under, *parse(pointer)]:
+            found = found[int(t)] if isinstance(found, list) else found[t]
+    except (ValueError, KeyError, IndexError, TypeError):
+        return None
+    return found if isinstance(found, str) else json.dumps(found, ensure_ascii=False, separators=(",", ":"))

@@ -141,3 +141,10 @@ def trigrams(text: Column) -> Column:
 def literal_trigrams(literal: str) -> list[str]:
     folded = fold_literal(literal)
     return list(dict.fromkeys(folded[i : i + 3] for i in range(len(folded) - 2)))
+
+
+def regex_trigrams(pattern: str) -> list[list[str]] | None:
+    """Groups of folded trigrams: a match has all of some group. None if the pattern demands none."""
+    literals = required_literals(pattern) if not re.search(r"\(\?\w*i", pattern) else None
+    groups = [literal_trigrams(x) for x in literals or []]
+    return groups if groups and all(groups) else None

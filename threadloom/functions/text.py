@@ -34,6 +34,21 @@ def fold_literal(text: str) -> str:
     return "".join(c.lower() for c in text).replace("ς", "σ")
 
 
+def unfolded_place(text: Column, place: Column) -> Column:
+    """The 0-based place in the text of a 0-based place in ``fold(text)``; a letter that folds to several has them all.
+
+    Only where folding changes the length are the letters walked.
+    """
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def step(acc: Column, c: Column) -> Column:
+        upto = acc["upto"] + F.length(fold(c))
+        return F.when(upto <= place, F.struct(upto.alias("upto"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(2**30).alias("upto"), acc["n"].alias("n")))
+
+    walked = F.aggregate(letters, F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), step)["n"]
+    return F.when(F.length(fold(text)) == F.length(text), place.cast("int")).otherwise(walked)
+
+
 def contains_caseless(text: Column, query: str) -> Column:
     """Whether the text has the query, caseless; null text: false; empty query: true if not null."""
     return F.coalesce(F.contains(fold(text), F.lit(fold_literal(query))), F.lit(False))
@@ -188,7 +203,8 @@ def transcript_line(ts: Column, role: Column, text: Column) -> Column:
     return F.concat(head, F.lit("\n"), text)
 
 
-_CODE_WORDS = "import from def class return if elif else for while try except with async await".split()
+#: Words that a line of code begins with.
+CODE_WORDS = "import from def class return if elif else for while try except with async await".split()
 
 
 def prose_only(text: Column) -> Column:
@@ -202,7 +218,7 @@ def prose_only(text: Column) -> Column:
         fence = bare.startswith("```")
         word = F.lower(F.regexp_extract(bare, r"^[\p{IsAlphabetic}\p{N}_]*", 0))
         code = (
-            word.isin(_CODE_WORDS)
+            word.isin(CODE_WORDS)
             | bare.rlike(r"^(\{|\[|</|#)")
             | bare.rlike(r"(?U)^[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*\s*=")
             | bare.rlike(r"(?U)^[\p{IsAlphabetic}\p{N}_]+\s*\(")

@@ -206,3 +206,9 @@ def run(
         relationship_hints(sessions, list(relationships)) if relationships else None,
         hashlib.sha256(policy.encode()).hexdigest(),
     )
+
+
+def child_sessions(sessions: DataFrame) -> DataFrame:
+    """(parent, child): sessions with the sessions that were started from them, where both are known."""
+    pairs = sessions.select(F.col("parent_session_id").alias("parent"), F.col("id").alias("child")).filter(F.col("parent").isNotNull())
+    return pairs.join(sessions.select(F.col("id").alias("parent")), "parent", "left_semi")

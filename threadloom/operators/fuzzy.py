@@ -147,3 +147,25 @@ def densest_start(places: list[int], width: int) -> int:
         if high - low + 1 > best:
             best, at = high - low + 1, places[low]
     return at
+
+
+def densest(places: Column, width: int) -> Column:
+    """struct(first, last): the first and last place in the window of ``width`` that begins at a place and holds most of them, the first such."""
+    held = lambda p: F.filter(places, lambda q: (q >= p) & (q < p + width))
+    windows = F.transform(places, lambda p: F.struct(F.size(held(p)).alias("n"), (-p).alias("back"), F.array_max(held(p)).alias("last")))
+    best = F.array_max(windows)
+    return F.struct((-best["back"]).cast("bigint").alias("first"), best["last"].cast("bigint").alias("last"))
+
+
+def match_ranges(places: Column) -> Column:
+    """Array of struct(start, end): half-open ranges of neighbouring places."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        own = F.array(F.struct(p.cast("bigint").alias("start"), (p + 1).cast("bigint").alias("end")))
+        grown = F.array(F.struct(last["start"].alias("start"), (p + 1).cast("bigint").alias("end")))
+        joins = (F.size(acc) > 0) & (last["end"] == p)
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, own))
+
+    return F.aggregate(places, none, step)

@@ -16,7 +16,7 @@ from ..functions.text import basename, slash_command, truncate_for_display
 BOOKKEEPING = ("/exit", "/clear", "/compact", "resume cancelled", "i'll start by studying")
 
 EVENTS = (
-    "path string, line_no bigint, part int, role string, kind string, ts timestamp, tool_name string, tool_call_id string, content string, "
+    "path string, line_no decimal(38,0), part int, role string, kind string, ts timestamp, tool_name string, tool_call_id string, content string, "
     "authorship string, authority string, event_id string, in_transcript boolean"
 )
 
@@ -219,3 +219,16 @@ def finished(events: DataFrame, sessions: DataFrame, provider: str) -> tuple[Dat
 
 def file_name(path: Column) -> Column:
     return basename(path)
+
+
+def with_repo_roots(sessions: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sessions with ``repo_root``: the longest of the known ``roots`` (path) that the working folder is or lies below.
+
+    Every folder above the working folder is looked up by equality, so no prefix is compared with all roots.
+    """
+    parts = F.split(F.regexp_replace("cwd", "/+$", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    folders = sessions.filter(F.col("cwd").isNotNull()).select("id", F.explode(above).alias("path"))
+    known = roots.select(F.regexp_replace("path", "/+$", "").alias("path")).distinct()
+    found = folders.join(known, "path").groupBy("id").agg(F.max_by("path", F.length("path")).alias("__root"))
+    return sessions.join(found, "id", "left").withColumn("repo_root", F.coalesce("__root", "repo_root")).drop("__root")

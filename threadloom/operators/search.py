@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonptr, refs
 from ..functions.digests import rows_digest
-from ..functions.patterns import prefiltered_regex, to_java
-from ..functions.text import contains_caseless, fold, fold_literal, select_lines, snippet
-from . import fuzzy
+from ..functions.patterns import literal_trigrams, prefiltered_regex, regex_trigrams, to_java
+from ..functions.text import contains_caseless, fold, fold_literal, select_lines, snippet, truncate_for_display, unfolded_place
+from . import analytics, fuzzy
 from .filters import FilterError, MessageFilters, SessionFilters
 
 FIELDS = ("content", "tool_name", "tool_argument")
@@ -33,8 +33,8 @@ class SearchRequest:
     field: str = "content"
     argument_path: str | None = None
     filters: MessageFilters = attribute(default_factory=MessageFilters)
-    #: None or 0: unlimited, which fuzzy search may not be.
-    limit: int | None = None
+    #: Rows of a page. None or 0: unlimited, which only ``search_batches`` and lazy results may be.
+    limit: int | None = 50
     offset: int = 0
     #: "first" or "latest" rows of the one session.
     window: str = "first"
@@ -131,8 +131,10 @@ def evidence(rows: DataFrame, request: SearchRequest) -> DataFrame:
         none = F.lit(None).cast("bigint")
         return rows.withColumns({"match_start": none, "match_end": none})
     if request.mode == "literal":
-        at = F.locate(fold_literal(request.query), fold(text))
-        start, end = at - 1, at - 1 + len(request.query)
+        folded = fold_literal(request.query)
+        at = F.locate(folded, fold(text))
+        # a match that ends inside the folding of a letter has the whole letter
+        start, end = unfolded_place(text, at - 1), unfolded_place(text, at - 2 + len(folded)) + 1
     elif request.mode == "regex":
         java = F.lit(to_java(request.query))
         at = F.regexp_instr(text, java)
@@ -140,11 +142,16 @@ def evidence(rows: DataFrame, request: SearchRequest) -> DataFrame:
         end = start + F.coalesce(F.length(F.regexp_substr(text, java)), F.lit(0))
     else:
         start, end = F.array_min("fuzzy_places"), F.array_max("fuzzy_places") + 1
+        rows = rows.withColumn("match_ranges", fuzzy.match_ranges(F.col("fuzzy_places")))
     out = rows.withColumns({"match_start": start.cast("bigint"), "match_end": end.cast("bigint")})
     if request.match_chars is None:
         return out
     width = request.match_chars
     size, first, last = F.length(text), F.col("match_start"), F.col("match_end")
+    if request.mode == "fuzzy":
+        # letters of a fuzzy match may be far apart: the view shows where most of them are
+        out = out.withColumn("__dense", fuzzy.densest(F.col("fuzzy_places"), width))
+        first, last = F.col("__dense.first"), F.col("__dense.last") + 1
     shown = F.least(last - first, F.lit(width))
     left = F.least(F.greatest(first - F.floor((width - shown) / 2), F.lit(0)), F.greatest(size - width, F.lit(0)))
     out = out.withColumn("view_start", left.cast("bigint"))
@@ -157,7 +164,7 @@ def evidence(rows: DataFrame, request: SearchRequest) -> DataFrame:
             "view_before": F.col("view_start") > 0,
             "view_after": F.col("view_start") + width < size,
         }
-    )
+    ).drop("__dense")
 
 
 def field_view(rows: DataFrame, request: SearchRequest) -> DataFrame:
@@ -189,6 +196,65 @@ def context_rows(messages: DataFrame, hits: DataFrame, before: int, after: int)
     return marked.withColumn("__near", F.max("__hit").over(reach)).filter("__near = 1").withColumn("is_match", F.col("__hit").isNotNull()).drop("__hit", "__near")
 
 
+def read_session(messages: DataFrame, session_id: str, filters: MessageFilters | None = None, newest_first: bool = False) -> DataFrame:
+    """One session's rows that the filters leave, in order of sequence; the session's filter reaches the scan."""
+    own = messages.filter(F.col("session_id") == session_id)
+    kept = filters.apply(own) if filters else own
+    return kept.orderBy(F.desc("seq") if newest_first else "seq")
+
+
+def timeline(messages: DataFrame, request: SearchRequest, preview_chars: int = 160) -> DataFrame:
+    """(session_id, seq, ts, role, kind, tool_name, preview) of matching rows, by time and undated ones last; ``window`` latest turns the order round."""
+    rows = matching(messages, request)
+    preview = truncate_for_display(F.coalesce("field_text", F.lit("")), preview_chars)
+    newest = request.window == "latest"
+    order = [F.desc_nulls_last("ts"), F.desc("session_id"), F.desc("seq")] if newest else [F.asc_nulls_last("ts"), "session_id", "seq"]
+    out = rows.select("session_id", "seq", "ts", "role", "kind", "tool_name", preview.alias("preview")).orderBy(*order)
+    out = out.offset(request.offset) if request.offset else out
+    return out.limit(request.limit) if request.limit else out
+
+
+def inspect(sessions: DataFrame, messages: DataFrame, edits: DataFrame | None = None, preview_chars: int = 160) -> DataFrame:
+    """A row for each session: counts by role and kind, its span, first and last rows of a person, references and files touched.
+
+    All counts come from one aggregate of messages and one of edits, so any number
+    of sessions is inspected in one run; filter the sessions to inspect few.
+    """
+    own = messages.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    human = (F.col("role") == "user") & (F.coalesce("kind", F.lit("")) == "conversation")
+    preview = truncate_for_display(F.coalesce("content", F.lit("")), preview_chars)
+    counted = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    per = own.groupBy("session_id").agg(
+        F.count("*").alias("messages"),
+        *[counted(F.col("role") == r).alias(f"{r}_rows") for r in ("user", "assistant", "tool", "slash")],
+        counted(F.col("kind") == "tool_call").alias("tool_calls"), counted(F.col("kind") == "tool_result").alias("tool_results"),
+        F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
+        F.min_by(F.when(human, preview), F.when(human, F.col("seq"))).alias("first_request"), F.max_by(F.when(human, preview), F.when(human, F.col("seq"))).alias("last_request"),
+        F.sum(F.size(refs.extract(F.coalesce("content", F.lit(""))))).alias("references"),
+    )
+    out = sessions.select("id", "title", "cwd", "repo_root", "parent_session_id", "parse_warning").join(per.withColumnRenamed("session_id", "id"), "id", "left")
+    if edits is not None:
+        touched = edits.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("edits"), F.countDistinct("file_path").alias("files"))
+        out = out.join(touched, "id", "left")
+    return out.fillna(0, [c for c in ("messages", "tool_calls", "tool_results", "references", "edits", "files", "user_rows", "assistant_rows", "tool_rows", "slash_rows") if c in out.columns])
+
+
+def indexed(messages: DataFrame, postings: DataFrame, request: SearchRequest, sessions: DataFrame | None = None) -> DataFrame:
+    """``matching`` of a content search by way of the trigram index: only messages with the trigrams that a match needs are read and tested.
+
+    A query that needs none (a short literal, an optional pattern, a fuzzy one) tests all rows.
+    """
+    groups = None
+    if request.query is not None and request.field == "content":
+        if request.mode == "regex":
+            groups = regex_trigrams(request.query)
+        elif request.mode == "literal":
+            groups = [literal_trigrams(request.query)] if len(request.query) > 2 else None
+    if groups:
+        messages = messages.join(analytics.trigram_candidates(postings, groups), "id", "left_semi")
+    return matching(messages, request, sessions)
+
+
 def context_of(messages: DataFrame, session_id: str, seq: int, before: int, after: int) -> DataFrame:
     """Rows around one message, in order; the filter reaches the scan."""
     return messages.filter((F.col("session_id") == session_id) & F.col("seq").between(seq - before, seq + after)).orderBy("seq")
@@ -234,7 +300,9 @@ def enriched(rows: DataFrame, request: SearchRequest, sessions: DataFrame | None
 
 
 def search(messages: DataFrame, request: SearchRequest, sessions: DataFrame | None = None) -> Page:
-    """One page; with a limit, at most limit + 1 rows come to the driver."""
+    """One page; at most limit + 1 rows come to the driver."""
+    if not request.limit:
+        raise FilterError("a page has a limit; all hits come from search_batches")
     found = page(matching(messages, request, sessions), request)
     rows = enriched(found, request, sessions).collect()
     order = (lambda r: (r["session_id"], r["seq"])) if request.mode != "fuzzy" else None
@@ -320,13 +388,16 @@ def rank_sessions(sessions: DataFrame, query: str, now: Column, current_repo: st
         ("title", F.col("title"), weights.title), ("summary", F.col("summary"), weights.summary), ("path", F.col("cwd"), weights.path),
         ("path", F.col("repo_root"), weights.path), ("preview", F.col("preview_text"), weights.preview), ("transcript", F.col("transcript_text"), weights.other),
     ]
-    has = lambda text, needle: F.coalesce(F.contains(fold(text), F.lit(needle)), F.lit(False))
+    # each field is folded once, as a column of its own; a field with the query has its words
+    sessions = sessions.withColumns({f"__f{i}": fold(text) for i, (_, text, _) in enumerate(fields)})
+    has = lambda i, needle: F.coalesce(F.contains(F.col(f"__f{i}"), F.lit(needle)), F.lit(False))
+    sessions = sessions.withColumns({f"__h{i}": F.array(has(i, folded), *[has(i, w) for w in words]) for i in range(len(fields))})
     scores, tokens_in = [], {w: F.lit(False) for w in words}
-    for _, text, weight in fields:
-        part = F.when(has(text, folded), weight).otherwise(0)
-        for w in words:
-            part = part + F.when(has(text, w), weights.token_bonus).otherwise(0)
-            tokens_in[w] = tokens_in[w] | has(text, w)
+    for i, (_, _, weight) in enumerate(fields):
+        part = F.when(F.col(f"__h{i}")[0], weight).otherwise(0)
+        for k, w in enumerate(words, 1):
+            part = part + F.when(F.col(f"__h{i}")[k], weights.token_bonus).otherwise(0)
+            tokens_in[w] = tokens_in[w] | F.col(f"__h{i}")[k]
         scores.append(part)
     every = F.lit(True)
     for w in words:
@@ -345,7 +416,7 @@ def rank_sessions(sessions: DataFrame, query: str, now: Column, current_repo: st
         text = F.when(F.col(f"__s{i}") == top, fields[i][1]).otherwise(text)
     total = F.col("__match") + F.when(F.col("__all"), weights.all_tokens_bonus).otherwise(0) + recency + repo
     made = out.withColumns({"score": total.cast("bigint"), "match_source": source, "match_snippet": snippet(text, query, snippet_chars)})
-    return made.drop("__all", "__match", *[f"__s{i}" for i in range(len(scores))])
+    return made.drop("__all", "__match", *[f"__{k}{i}" for i in range(len(scores)) for k in "sfh"])
 
 
 def search_sessions(sessions: DataFrame, query: str, now: Column, filters: SessionFilters = SessionFilters(), limit: int = 50, **options) -> DataFrame:

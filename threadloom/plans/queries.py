@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, jsonptr, patterns, refs, text
 from ..functions.digests import framed_digest
-from ..operators import analysis, analytics, classify, files, fuzzy, search
+from ..operators import analysis, analytics, classify, files, fuzzy, normalize, search
 from ..operators.filters import FileQuery, MessageFilters, PathScope, SessionFilters, attributable_human
 from ..sources import sinks
 from ..sources import tables as T
 from ..streaming import windows
+from . import sqlapi
 
 QUERIES: dict[str, tuple] = {}
 
@@ -53,7 +54,7 @@ WITH s AS (SELECT 'user:' || user_id AS id, user_id, min(ts) AS created_at, max(
                   '/home/u' || user_id % 7 || '/p' || user_id % 3 AS cwd, '/home/u' || user_id % 7 AS repo_root,
                   'session of user ' || user_id AS title,
                   CASE WHEN user_id % 3 = 0 THEN 'user:' || (user_id + 1) END AS parent_session_id,
-                  CASE WHEN count(*) < 5 THEN 'few events' END AS parse_warning
+                  CASE WHEN count(*) < 60 THEN 'few events' END AS parse_warning
            FROM events GROUP BY user_id)
 """
 
@@ -66,6 +67,12 @@ WITH e AS (SELECT 'o:' || l_orderkey AS session_id, l_linenumber AS seq, l_shipd
 
 FOLD = "translate(lower({}), 'ς', 'σ')"
 
+#: Lines of a text: none of an empty one, a last newline ends the last line, carriage returns before newlines go.
+_LINES = "CASE WHEN {0} = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(regexp_replace({0}, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '\\r$', '')) END"
+
+#: White space as Unicode has it.
+_BLANK = "[\\s\\x0b\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
 
 def plain_time(c: str) -> Column:
     """A zoned time as the tables' zone-less one."""
@@ -132,6 +139,50 @@ def search_regex_prefiltered(spark, d):
     return search.matching(T.conversation_messages(spark, d), r).select("session_id", "seq")
 
 
+@query("search_regex_repetition", MESSAGES + "SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND regexp_matches(content, 'en.{0,12}ation|t{2,300}e|\\x74hen[a-z]{1,4}')")
+def search_regex_repetition(spark, d):
+    r = search.SearchRequest(query=r"en.{0,12}ation|t{2,300}e|\x74hen[a-z]{1,4}", mode="regex")
+    return search.matching(T.conversation_messages(spark, d), r).select("session_id", "seq")
+
+
+@query("search_indexed_regex", MESSAGES + "SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND regexp_matches(content, 'ation .*ing|ment[a-z]')")
+def search_indexed_regex(spark, d):
+    m = T.conversation_messages(spark, d)
+    return search.indexed(m, analytics.trigram_postings(m), search.SearchRequest(query="ation .*ing|ment[a-z]", mode="regex")).select("session_id", "seq")
+
+
+@query("search_indexed_literal", MESSAGES + f"SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND contains({FOLD.format('content')}, 'ation')")
+def search_indexed_literal(spark, d):
+    m = T.conversation_messages(spark, d)
+    return search.indexed(m, analytics.trigram_postings(m), search.SearchRequest(query="ATION")).select("session_id", "seq")
+
+
+@query("read_session", EVENT_MESSAGES + "SELECT seq, tool_name FROM m WHERE session_id = 'user:7'")
+def read_session(spark, d):
+    return search.read_session(T.event_messages(spark, d), "user:7").select("seq", "tool_name")
+
+
+@query("timeline", EVENT_MESSAGES + "SELECT session_id, seq, ts FROM m WHERE contains(tool_name, 'err') ORDER BY ts, session_id, seq LIMIT 40 OFFSET 5")
+def timeline(spark, d):
+    r = search.SearchRequest(query="err", field="tool_name", limit=40, offset=5)
+    return search.timeline(T.event_messages(spark, d), r).select("session_id", "seq", plain_time("ts"))
+
+
+@query("inspect_sessions", SESSIONS + """
+, k AS (SELECT user_id, count(*) AS messages, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id)
+SELECT s.id, s.title, k.messages, k.messages AS tool_calls, 0::BIGINT AS user_rows, k.first_at, k.last_at FROM s JOIN k USING (user_id)""")
+def inspect_sessions(spark, d):
+    out = search.inspect(T.event_sessions(spark, d), T.event_messages(spark, d))
+    return out.select("id", "title", "messages", "tool_calls", "user_rows", plain_time("first_at"), plain_time("last_at"))
+
+
+@query("inspect_files", EDITS + "SELECT session_id AS id, count(*) AS edits, count(DISTINCT file_path) AS files FROM e GROUP BY session_id")
+def inspect_files(spark, d):
+    e = T.lineitem_edits(spark, d)
+    s = T.shaped(e.select(F.col("session_id").alias("id")).distinct(), T.SESSIONS)
+    return search.inspect(s, spark.createDataFrame([], T.MESSAGES), e).select("id", "edits", "files")
+
+
 _FUZZY = "thing"
 _FUZZY_SQL = "".join("[^{0}]*[{0}]".format(fuzzy.letter_class(c)) for c in _FUZZY)
 
@@ -171,13 +222,12 @@ def search_evidence(spark, d):
     return rows.select("session_id", "seq", "match_start", "match_end", "view_start", "match_view", "marker_start", "marker_end")
 
 
-@query("search_field_view", MESSAGES + """
-, l AS (SELECT *, list_slice(string_split(content, chr(10)), 1, 2) AS x FROM m WHERE kind <> 'harness_notice' AND content <> '' AND NOT contains(content, chr(13)) AND NOT ends_with(content, chr(10)))
-SELECT session_id, seq, substr(array_to_string(x, chr(10)), 1, 60) AS field_view, length(array_to_string(x, chr(10))) > 60 OR length(array_to_string(x, chr(10))) < length(content) AS field_after FROM l""")
+@query("search_field_view", MESSAGES + f"""
+, l AS (SELECT *, list_slice({_LINES.format('content')}, 1, 2) AS x FROM m WHERE kind <> 'harness_notice' AND content IS NOT NULL), v AS (SELECT *, coalesce(array_to_string(x, chr(10)), '') AS head FROM l)
+SELECT session_id, seq, substr(head, 1, 60) AS field_view, length(head) > 60 OR length(head) < length(content) AS field_after FROM v""")
 def search_field_view(spark, d):
     r = search.SearchRequest(lines=2, view_chars=60)
-    rows = search.matching(T.conversation_messages(spark, d), r).filter("content <> '' AND NOT contains(content, '\r') AND NOT endswith(content, '\n')")
-    return search.field_view(rows, r).select("session_id", "seq", "field_view", "field_after")
+    return search.field_view(search.matching(T.conversation_messages(spark, d), r), r).select("session_id", "seq", "field_view", "field_after")
 
 
 @query("search_context", MESSAGES + f"""
@@ -226,9 +276,14 @@ def search_session_ranked(spark, d):
     return search.rank_sessions(T.document_transcripts(spark, d), "On The", F.lit(datetime(2026, 1, 1, tzinfo=UTC))).select("id", "score")
 
 
-@query("search_session_top")
+@query("search_session_top", """
+WITH d AS (SELECT doc_id, lower(split_part(coalesce(text, ''), chr(10), 1)) AS title, lower(split_part(coalesce(text, ''), chr(10), 2)) AS summary, lower('/src/' || coalesce(source, '')) AS cwd, lower(coalesce(lang, '')) AS repo, lower(coalesce(text, '')) AS body FROM documents),
+f AS (SELECT doc_id, unnest([{'o': 0, 'n': 'title', 'w': 600, 't': title}, {'o': 1, 'n': 'summary', 'w': 450, 't': summary}, {'o': 2, 'n': 'path', 'w': 350, 't': cwd}, {'o': 3, 'n': 'path', 'w': 350, 't': repo}, {'o': 4, 'n': 'transcript', 'w': 100, 't': body}]) AS x FROM d),
+g AS (SELECT doc_id, x.o AS o, x.n AS n, contains(x.t, 'the') AS a, contains(x.t, 'thing') AS b, x.w * contains(x.t, 'the thing')::INT + 40 * (contains(x.t, 'the')::INT + contains(x.t, 'thing')::INT) AS s FROM f)
+SELECT doc_id AS id, (sum(s) + CASE WHEN bool_or(a) AND bool_or(b) THEN 150 ELSE 0 END)::BIGINT AS score, arg_max(n, s * 10 - o) AS match_source FROM g GROUP BY doc_id HAVING sum(s) > 0 ORDER BY score DESC, id LIMIT 20""")
 def search_session_top(spark, d):
-    return search.search_sessions(T.document_transcripts(spark, d).withColumn("parent_session_id", F.lit(None)), "the thing", F.current_timestamp(), limit=20).select("id", "score", "match_source", "match_snippet")
+    docs = T.document_transcripts(spark, d).withColumn("parent_session_id", F.lit(None).cast("string"))
+    return search.search_sessions(docs, "the thing", F.lit(datetime(2026, 1, 1, tzinfo=UTC)), limit=20).select("id", "score", "match_source")
 
 
 # --- structural filters -----------------------------------------------------
@@ -243,15 +298,32 @@ def _session_query(name: str, where: str, filters: SessionFilters):
 _DAY = lambda y, m, dd: datetime(y, m, dd, tzinfo=UTC)
 _session_query("filter_user_sessions", "parent_session_id IS NULL", SessionFilters(session_kinds=("user",)))
 _session_query("filter_subagents", "parent_session_id IS NOT NULL", SessionFilters(session_kinds=("subagent",)))
-_session_query("filter_no_session_kind", "false", SessionFilters(session_kinds=()))
 _session_query("filter_warnings", "parse_warning IS NOT NULL", SessionFilters(warnings_only=True))
 _session_query("filter_parent", "parent_session_id = 'user:4'", SessionFilters(parent="user:4"))
 _session_query("filter_workspace", "cwd = '/home/u3' OR starts_with(cwd, '/home/u3/') OR repo_root = '/home/u3'", SessionFilters(paths=PathScope(workspace="/home/u3/")))
-_session_query("filter_path_component", "false", SessionFilters(paths=PathScope(workspace="/home/u")))
+_session_query("filter_path_component", "cwd = '/home/u3/p1'", SessionFilters(paths=PathScope(workspace="/home/u3/p1")))
 _session_query("filter_exclusions", "id NOT IN ('user:1', 'user:2') AND NOT starts_with(cwd, '/home/u2/')", SessionFilters(exclude_ids=("user:1", "user:2"), paths=PathScope(exclude_workspace=("/home/u2",))))
 _session_query("filter_span_overlap", "updated_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-10'", SessionFilters(bounds=dates.resolve("2024-01-05", "2024-01-09")))
 
 
+@query("filter_no_session_kind", SESSIONS + "SELECT 'none' AS kinds, 0::BIGINT AS sessions UNION ALL SELECT 'user', count(*) FROM s WHERE parent_session_id IS NULL UNION ALL SELECT 'all', count(*) FROM s")
+def filter_no_session_kind(spark, d):
+    s = T.event_sessions(spark, d)
+    made = {"none": (), "user": ("user",), "all": ("user", "subagent")}
+    counts = [SessionFilters(session_kinds=k).apply(s).agg(F.lit(name).alias("kinds"), F.count("*").alias("sessions")) for name, k in made.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("repo_roots", SESSIONS + """
+, r AS (SELECT '/home/u' || r_regionkey AS path FROM region UNION ALL SELECT '/home/u1/p' || r_regionkey FROM region)
+SELECT s.id, coalesce(arg_max(r.path, length(r.path)), '') AS repo_root FROM s LEFT JOIN r ON s.cwd = r.path OR starts_with(s.cwd, r.path || '/') GROUP BY s.id""")
+def repo_roots(spark, d):
+    r = T.table(spark, d, "region")
+    roots = r.select(F.concat(F.lit("/home/u"), F.col("r_regionkey").cast("string"), F.lit("/")).alias("path")).unionByName(r.select(F.concat(F.lit("/home/u1/p"), F.col("r_regionkey").cast("string")).alias("path")))
+    s = T.event_sessions(spark, d).withColumn("repo_root", F.lit(None).cast("string"))
+    return normalize.with_repo_roots(s, roots).select("id", F.coalesce("repo_root", F.lit("")).alias("repo_root"))
+
+
 @query("list_sessions", SESSIONS + "SELECT id, title, message_count FROM s ORDER BY updated_at DESC, id LIMIT 50")
 def list_sessions(spark, d):
     return search.list_sessions(T.event_sessions(spark, d)).select("id", "title", "message_count")
@@ -300,8 +372,7 @@ def attributable(spark, d):
 
 @query("child_sessions", SESSIONS + "SELECT p.id AS parent, c.id AS child FROM s c JOIN s p ON c.parent_session_id = p.id")
 def child_sessions(spark, d):
-    s = T.event_sessions(spark, d)
-    return s.select(F.col("parent_session_id").alias("parent"), F.col("id").alias("child")).join(s.select(F.col("id").alias("parent")), "parent")
+    return analysis.child_sessions(T.event_sessions(spark, d))
 
 
 # --- aggregation ------------------------------------------------------------
@@ -389,24 +460,33 @@ def parser_health(spark, d):
     return analytics.parser_health(T.event_sessions(spark, d), {"codex": "2"})
 
 
-@query("index_status", """
-WITH dd AS (SELECT doc_id, source || '/' || doc_id AS p, n_chars FROM documents), ii AS (SELECT p, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n FROM dd WHERE doc_id % 5 <> 0),
-d2 AS (SELECT * FROM dd WHERE doc_id % 11 <> 0)
-SELECT count(d2.p) AS discovered, count(ii.p) AS indexed, count(*) FILTER (ii.p IS NULL) AS unindexed, count(*) FILTER (ii.p IS NOT NULL AND d2.p IS NOT NULL AND ii.n <> d2.n_chars) AS changed,
-       count(*) FILTER (d2.p IS NULL) AS retained_missing FROM d2 FULL JOIN ii ON d2.p = ii.p""")
+_FILES = """
+WITH dd AS (SELECT coalesce(source, '') || '/' || doc_id AS p, n_chars AS n FROM documents),
+ii AS (SELECT coalesce(source, '') || '/' || d.doc_id AS p, d.n_chars + coalesce(l.toxic, 0) AS n FROM labels l JOIN documents d USING (doc_id) UNION ALL SELECT 'page/' || page_id, strlen(html) FROM pages)
+"""
+
+
+def discovered_and_indexed(spark, d):
+    """Files found: the documents; files indexed: those with a label, of another size where it is toxic, and the pages, which have vanished."""
+    docs, size = T.table(spark, d, "documents"), F.col("n_chars").cast("bigint")
+    p = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("source_path")
+    found = docs.select(p, F.lit(1).alias("mtime_ns"), size.alias("size_bytes"))
+    labelled = docs.join(T.table(spark, d, "labels"), "doc_id").select(p, F.lit(1).alias("mtime_ns"), (size + F.coalesce("toxic", F.lit(0))).alias("size_bytes"))
+    gone = T.table(spark, d, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("source_path"), F.lit(1).alias("mtime_ns"), F.octet_length("html").cast("bigint").alias("size_bytes"))
+    return found, labelled.unionByName(gone)
+
+
+@query("index_status", _FILES + """
+SELECT count(dd.p) AS discovered, count(ii.p) AS indexed, count(*) FILTER (ii.p IS NULL) AS unindexed, count(*) FILTER (ii.p IS NOT NULL AND dd.p IS NOT NULL AND ii.n <> dd.n) AS changed,
+       count(*) FILTER (dd.p IS NULL) AS retained_missing FROM dd FULL JOIN ii ON dd.p = ii.p""")
 def index_status(spark, d):
-    docs = T.table(spark, d, "documents")
-    p = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path")
-    found = docs.filter("doc_id % 11 <> 0").select(p, F.lit(1).alias("mtime_ns"), F.col("n_chars").alias("size_bytes"))
-    have = docs.filter("doc_id % 5 <> 0").select(p, F.lit(1).alias("mtime_ns"), (F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("size_bytes"))
-    return analytics.index_status(found, have)
+    return analytics.index_status(*discovered_and_indexed(spark, d))
 
 
-@query("unindexed_files", "SELECT source || '/' || doc_id AS source_path FROM documents WHERE doc_id % 5 = 0")
+@query("unindexed_files", _FILES + "SELECT p AS source_path FROM dd WHERE p NOT IN (SELECT p FROM ii)")
 def unindexed_files(spark, d):
-    docs = T.table(spark, d, "documents")
-    p = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path")
-    return analytics.unindexed(docs.select(p), docs.filter("doc_id % 5 <> 0").select(p))
+    found, have = discovered_and_indexed(spark, d)
+    return analytics.unindexed(found.select("source_path"), have.select("source_path"))
 
 
 @query("bm25", MESSAGES + f"""
@@ -518,55 +598,60 @@ def file_versions(spark, d):
     return files.versions(T.lineitem_edits(spark, d)).select("session_id", "file_path", F.col("seq").cast("int").alias("seq"), F.col("version").cast("bigint").alias("version"))
 
 
-@query("file_contents", EDITS + """, o AS (SELECT DISTINCT session_id, seq FROM e)
-SELECT session_id, 'f' AS file_path, row_number() OVER (PARTITION BY session_id ORDER BY seq)::BIGINT AS version, 'start' || string_agg(' v' || seq, '') OVER (PARTITION BY session_id ORDER BY seq) AS content FROM o""")
+@query("file_contents", EDITS + """, o AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq, file_path) AS n FROM e)
+SELECT session_id, 'f' AS file_path, n AS version, 'start' || string_agg(' v' || n, '') OVER (PARTITION BY session_id ORDER BY n) AS content FROM o""")
 def file_contents(spark, d):
     """Every order as a file: a snapshot, then edits that each append a word."""
-    e = T.lineitem_edits(spark, d).dropDuplicates(["session_id", "seq"])
-    first = F.min("seq").over(Window.partitionBy("session_id"))
-    word = F.concat(F.lit(" v"), F.col("seq").cast("string"))
-    before = F.lag("seq").over(Window.partitionBy("session_id").orderBy("seq"))
-    old = F.concat(F.lit("v"), before.cast("string"))
+    e = T.lineitem_edits(spark, d)
+    numbered = e.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "file_path")).cast("bigint"))
+    n = F.col("seq")
+    word = F.concat(F.lit(" v"), n.cast("string"))
+    old = F.concat(F.lit("v"), (n - 1).cast("string"))
     edit = F.array(F.struct(old.alias("old"), F.concat(old, word).alias("new"), F.lit(False).alias("replace_all")))
-    own = e.withColumns({"file_path": F.lit("f"), "new_content": F.when(F.col("seq") == first, F.concat(F.lit("start"), word)), "edits": F.when(F.col("seq") != first, edit)})
+    own = numbered.withColumns({"file_path": F.lit("f"), "new_content": F.when(n == 1, F.concat(F.lit("start"), word)), "edits": F.when(n > 1, edit)})
     return files.all_versions(own).select("session_id", "file_path", F.col("version").cast("bigint").alias("version"), "content")
 
 
 # --- text, references, digests ----------------------------------------------
 
 
-@query("text_functions", """
-SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS compact,
-       CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 40 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 37) || '...' END AS short,
-       len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::BIGINT AS lines, array_to_string(list_slice(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1, 2), chr(10)) AS head
-FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT contains(text, chr(13))""")
+@query("text_functions", f"""
+WITH c AS (SELECT doc_id, text, trim(regexp_replace(text, '{_BLANK}+', ' ', 'g')) AS c, {_LINES.format('text')} AS l FROM documents)
+SELECT doc_id, c AS compact, CASE WHEN length(c) <= 40 THEN c ELSE substr(c, 1, 37) || '...' END AS short, CASE WHEN text IS NOT NULL THEN len(l) END::BIGINT AS lines,
+       CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(list_slice(l, 1, 2), chr(10)), '') END AS head FROM c""")
 def text_functions(spark, d):
     t = F.col("text")
-    docs = T.table(spark, d, "documents").filter("text IS NOT NULL AND text <> '' AND NOT contains(text, '\r')")
-    return docs.select("doc_id", text.compact_whitespace(t).alias("compact"), text.truncate_for_display(t, 40).alias("short"), text.count_lines(t).alias("lines"), text.select_lines(t, 2).alias("head"))
+    return T.table(spark, d, "documents").select("doc_id", text.compact_whitespace(t).alias("compact"), text.truncate_for_display(t, 40).alias("short"), text.count_lines(t).alias("lines"), text.select_lines(t, 2).alias("head"))
 
 
-@query("text_snippets", """
-WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents WHERE text IS NOT NULL AND text <> ''), p AS (SELECT *, strpos(translate(lower(c), 'ς', 'σ'), 'the') AS pos FROM c)
-SELECT doc_id, CASE WHEN pos > 0 THEN (CASE WHEN pos > 11 THEN '...' ELSE '' END) || substr(c, greatest(pos - 10, 1), least(pos + 12, length(c)) - greatest(pos - 10, 1) + 1) || (CASE WHEN pos + 12 < length(c) THEN '...' ELSE '' END)
+@query("text_snippets", f"""
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '{_BLANK}+', ' ', 'g')) AS c FROM documents), p AS (SELECT *, strpos({FOLD.format('c')}, 'the') AS pos FROM c)
+SELECT doc_id, CASE WHEN coalesce(c, '') = '' THEN '(no snippet available)'
+       WHEN pos > 0 THEN (CASE WHEN pos > 11 THEN '...' ELSE '' END) || substr(c, greatest(pos - 10, 1), least(pos + 12, length(c)) - greatest(pos - 10, 1) + 1) || (CASE WHEN pos + 12 < length(c) THEN '...' ELSE '' END)
        WHEN length(c) <= 20 THEN c ELSE substr(c, 1, 17) || '...' END AS snippet FROM p""")
 def text_snippets(spark, d):
-    return T.table(spark, d, "documents").filter("text IS NOT NULL AND text <> ''").select("doc_id", text.snippet(F.col("text"), "The", 20).alias("snippet"))
+    return T.table(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), "The", 20).alias("snippet"))
 
 
-@query("text_highlight", "SELECT doc_id, regexp_replace(text, '(?i)(tion|ing)', '[[\\1]]', 'g') AS marked FROM documents WHERE regexp_matches(text, '(?i)tion|ing')")
+@query("text_highlight", "SELECT doc_id, regexp_replace(text, '(?i)(the thing|thing)', '[[\\1]]', 'g') AS marked FROM documents")
 def text_highlight(spark, d):
-    docs = T.table(spark, d, "documents").filter(text.contains_caseless(F.col("text"), "tion") | text.contains_caseless(F.col("text"), "ing"))
-    return docs.select("doc_id", F.regexp_replace("text", "(?iu)(tion|ing)", "[[$1]]").alias("marked"))
+    return T.table(spark, d, "documents").select("doc_id", text.highlight(F.col("text"), "the thing").alias("marked"))
 
 
-@query("text_csv", "SELECT doc_id, CASE WHEN contains(text, chr(10)) OR contains(text, ',') OR contains(text, '\"') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS cell FROM documents WHERE NOT regexp_matches(text, '^[-=+@\\t\\r]') AND NOT contains(text, chr(13))")
+@query("text_csv", """
+WITH g AS (SELECT doc_id, CASE WHEN regexp_matches(text, '^[-=+@\\t\\r]') THEN chr(39) || text ELSE text END AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '[",\\n\\r]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS cell FROM g""")
 def text_csv(spark, d):
-    docs = T.table(spark, d, "documents").filter(~F.col("text").rlike("^[-=+@\t\r]") & ~F.contains("text", F.lit("\r")))
-    return docs.select("doc_id", text.csv_escape(F.col("text")).alias("cell"))
+    return T.table(spark, d, "documents").select("doc_id", text.csv_escape(F.col("text")).alias("cell"))
 
 
-@query("text_prose")
+@query("text_prose", f"""
+WITH l AS (SELECT doc_id, x, i, ltrim(x) AS bare FROM (SELECT doc_id, unnest({_LINES.format("coalesce(text, '')")}) AS x, generate_subscripts({_LINES.format("coalesce(text, '')")}, 1) AS i FROM documents)),
+f AS (SELECT *, starts_with(bare, '```') AS fence, coalesce(sum(starts_with(bare, '```')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l),
+k AS (SELECT doc_id, i, x FROM f WHERE NOT fence AND NOT inside AND NOT starts_with(x, '    ') AND NOT starts_with(x, chr(9))
+      AND lower(regexp_extract(bare, '^[\\pL\\pN_]*', 0)) NOT IN ({", ".join(repr(w) for w in text.CODE_WORDS)})
+      AND NOT regexp_matches(bare, '^(\\{{|\\[|</|#)') AND NOT regexp_matches(bare, '^[\\pL_][\\pL\\pN_]*\\s*=') AND NOT regexp_matches(bare, '^[\\pL\\pN_]+\\s*\\('))
+SELECT d.doc_id, coalesce(p.prose, '') AS prose FROM documents d LEFT JOIN (SELECT doc_id, string_agg(x || chr(10), '' ORDER BY i) AS prose FROM k GROUP BY doc_id) p USING (doc_id)""")
 def text_prose(spark, d):
     return T.table(spark, d, "documents").select("doc_id", text.prose_only(F.coalesce("text", F.lit(""))).alias("prose"))
 
@@ -582,10 +667,20 @@ def page_refs(spark, d):
     return found.select("page_id", F.col("r.value").alias("value"), F.col("r.host").alias("host"))
 
 
-@query("ref_summary", "SELECT page_id, '2 urls' AS summary FROM pages")
+@query("ref_summary", """
+WITH r AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN url ELSE url || ' and ' || url || '/more' END AS t, page_id % 3 AS n FROM pages)
+SELECT page_id, CASE n WHEN 0 THEN '' WHEN 1 THEN 'url' ELSE '2 urls' END AS summary FROM r""")
 def ref_summary(spark, d):
-    both = F.concat(F.lit("see "), "url", F.lit(" and www.example.org, not main.rs:12 or src/lib.py."))
-    return T.table(spark, d, "pages").select("page_id", refs.summary(refs.extract(both)).alias("summary"))
+    n = F.col("page_id") % 3
+    t = F.when(n == 0, F.lit("no address, but main.rs:12 and src/lib.py")).when(n == 1, F.concat(F.lit("see "), "url", F.lit(" "))).otherwise(F.concat(F.lit("see "), "url", F.lit(" and "), "url", F.lit("/more.")))
+    return T.table(spark, d, "pages").select("page_id", refs.summary(refs.extract(t)).alias("summary"))
+
+
+@query("page_html_refs")
+def page_html_refs(spark, d):
+    """Addresses in whole pages; held against a plain version in the tests."""
+    found = T.table(spark, d, "pages").select("page_id", F.explode(refs.extract(F.coalesce("html", F.lit("")))).alias("r"))
+    return found.select("page_id", F.col("r.value").alias("value"), F.col("r.normalized_value").alias("normalized_value"))
 
 
 @query("framed_digest", "SELECT event_id, sha256(strlen(event_type) || ':' || event_type || CASE WHEN props IS NULL THEN '-' ELSE strlen(props) || ':' || props END) AS digest FROM events")
@@ -593,7 +688,11 @@ def framed(spark, d):
     return T.table(spark, d, "events").select("event_id", framed_digest(F.col("event_type"), F.col("props")).alias("digest"))
 
 
-@query("result_digest")
+@query("result_digest", MESSAGES + """
+, r AS (SELECT session_id, seq, sha256(strlen(session_id) || ':' || session_id || strlen(seq::VARCHAR) || ':' || seq || strlen(role) || ':' || role || strlen(kind) || ':' || kind || CASE WHEN content IS NULL THEN '-' ELSE strlen(content) || ':' || content END) AS d FROM m),
+k AS (SELECT d, row_number() OVER (ORDER BY session_id, seq, d) - 1 AS rank FROM r),
+c AS (SELECT rank // 10000 AS node, sha256(string_agg(d, '' ORDER BY rank)) AS d FROM k GROUP BY node)
+SELECT sha256(coalesce(string_agg(d, '' ORDER BY node), '')) AS digest, (SELECT count(*) FROM m) AS n FROM c""")
 def result_digest(spark, d):
     return search.result_digest(T.conversation_messages(spark, d))
 
@@ -613,11 +712,13 @@ def render_csv(spark, d):
     return sinks.rendered(T.conversation_messages(spark, d).select("session_id", "seq", "role"), "csv")
 
 
-@query("upsert_sessions", "SELECT user_id, 'new' AS state FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 4 = 0) UNION ALL SELECT DISTINCT user_id, 'old' FROM events WHERE user_id % 4 NOT IN (0, 1)")
+@query("upsert_sessions", """SELECT c_custkey AS user_id, 'new' AS state FROM customer UNION ALL
+SELECT DISTINCT user_id, 'old' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) AND user_id NOT IN (SELECT s_suppkey FROM supplier)""")
 def upsert(spark, d):
-    users = T.table(spark, d, "events").select("user_id").distinct()
-    gone = users.filter("user_id % 4 = 1")
-    return sinks.upsert_sessions(users.withColumn("state", F.lit("old")), users.filter("user_id % 4 = 0").withColumn("state", F.lit("new")), "user_id", gone)
+    """Users as stored sessions, customers as fresh ones, suppliers as those that are gone."""
+    users = T.table(spark, d, "events").select("user_id").distinct().withColumn("state", F.lit("old"))
+    fresh = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("new").alias("state"))
+    return sinks.upsert_sessions(users, fresh, "user_id", T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id")))
 
 
 # --- event time -------------------------------------------------------------
@@ -664,7 +765,7 @@ relational("sql_local_supplier", """SELECT n_name, round(sum(l_extendedprice * (
 WHERE r_name = 'ASIA' GROUP BY n_name""")
 relational("sql_forecast_revenue", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24")
 relational("sql_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-relational("sql_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+relational("sql_not_exists", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 relational("sql_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 relational("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 relational("sql_grouping_sets", "SELECT n_regionkey, n_name, count(*) AS n FROM nation GROUP BY GROUPING SETS ((n_regionkey), (n_name), ())")
@@ -672,11 +773,40 @@ relational("sql_ranking", "SELECT * FROM (SELECT o_custkey, o_orderkey, CAST(ran
 relational("sql_window_frames", "SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first FROM events")
 relational("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 relational("sql_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-relational("sql_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
-relational("sql_full_join", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 40) c FULL JOIN supplier ON c_custkey = s_suppkey")
+relational("sql_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
+relational("sql_full_join", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
 relational("sql_scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 relational("sql_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 relational("sql_filter_aggregate", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS large, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus HAVING count(*) > 3")
 relational("sql_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE t > 500000) SELECT c_name, round(t, 2) AS t FROM top JOIN customer ON c_custkey = o_custkey")
 relational("sql_string_agg", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 relational("sql_theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+relational("sql_right_join", "SELECT s_suppkey, c_custkey FROM supplier RIGHT JOIN customer ON s_suppkey = c_custkey")
+relational("sql_natural_join", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region)")
+relational("sql_using_join", "SELECT k, n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) JOIN (SELECT r_regionkey AS k, r_name FROM region) USING (k)")
+relational("sql_range_frame", "SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM orders")
+relational("sql_window_values", """SELECT event_id, CAST(ntile(4) OVER w AS BIGINT) AS quarter, last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last,
+       nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, lead(event_id, 2) OVER w AS later, CAST(dense_rank() OVER w AS BIGINT) AS place
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+relational("sql_nulls_order", "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey ORDER BY s_suppkey DESC NULLS LAST, c_custkey LIMIT 30 OFFSET 90")
+relational("sql_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events")
+relational("sql_json_unnest", "SELECT n_regionkey, json_array_length(to_json(list(n_name)))::BIGINT AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(json_array_length(to_json(collect_list(n_name))) AS BIGINT) AS n FROM nation GROUP BY n_regionkey")
+relational("sql_strings", "SELECT p_partkey, upper(p_name) AS u, substr(p_name, 2, 3) AS s, replace(p_name, 'a', '_') AS r, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS padded, length(p_name) AS n, instr(p_name, 'e') AS at FROM part WHERE p_name LIKE '%a%' AND p_name NOT LIKE 'z_'", "SELECT p_partkey, upper(p_name) AS u, substr(p_name, 2, 3) AS s, replace(p_name, 'a', '_') AS r, lpad(CAST(p_partkey AS STRING), 8, '0') AS padded, CAST(length(p_name) AS BIGINT) AS n, CAST(instr(p_name, 'e') AS BIGINT) AS at FROM part WHERE p_name LIKE '%a%' AND p_name NOT LIKE 'z_'")
+relational("sql_scalars", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'done') AS st, abs(o_custkey - 700) AS a, greatest(o_custkey, 100) AS g, least(o_custkey, 100) AS l, CASE WHEN o_totalprice > 1e5 THEN 'high' ELSE 'low' END AS c FROM orders")
+relational("sql_dates", "SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, date_trunc('month', o_orderdate) = o_orderdate AS first_day FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'")
+relational("sql_try_cast", "SELECT event_id, TRY_CAST(event_type AS BIGINT) AS none, TRY_CAST(CAST(user_id AS VARCHAR) AS BIGINT) AS u FROM events", "SELECT event_id, TRY_CAST(event_type AS BIGINT) AS none, TRY_CAST(CAST(user_id AS STRING) AS BIGINT) AS u FROM events")
+
+
+def guarded(name: str, sql: str, spark_sql: str):
+    """A statement that goes through the guard, over registered views of messages."""
+
+    @query(name, sql)
+    def run(spark, d):
+        sqlapi.register(spark, {"conversation_messages": T.conversation_messages(spark, d), "event_calls": T.event_messages(spark, d)})
+        return sqlapi.checked(spark, spark_sql)
+
+
+guarded("sql_contains_caseless", MESSAGES + f"SELECT id FROM m WHERE contains({FOLD.format('content')}, 'tion')", "SELECT id FROM conversation_messages WHERE contains_caseless(content, 'TION')")
+guarded("sql_text_regexp", MESSAGES + "SELECT id FROM m WHERE regexp_matches(content, '^[A-Z][a-z]+ th')", "SELECT id FROM conversation_messages WHERE text_regexp('^[A-Z][a-z]+ th', content)")
+guarded("sql_json_pointer", EVENT_MESSAGES + "SELECT id, json_extract(content, '$.args.k')::VARCHAR AS k FROM m", "SELECT id, json_pointer('/k', content) AS k FROM event_calls")
+guarded("sql_fuzzy_score", MESSAGES + f"SELECT id FROM m WHERE regexp_matches(content, '(?s)^{_FUZZY_SQL}')", "SELECT id FROM conversation_messages WHERE fuzzy_score('thing', content) IS NOT NULL")

@@ -1,20 +1,31 @@
 """Read-only SQL over registered views.
 
-One statement, a query, that reads registered views only. Spark parses it; what
-it parses to is asked for its kind and for the relations it reads, so nothing
-here parses SQL again. Literals compared with a column of known values are
-checked against them, because a misspelt kind would give an empty result.
+One statement, a query, that reads registered views only. Spark parses it; the
+parsed plan is walked before anything of it is resolved or read, so nothing here
+parses SQL again. What the plan may hold is listed: kinds of nodes, views that
+``register`` named, names that the statement itself defines, Spark's built-in
+functions but for those that reach outside the query, and this module's own.
+Literals compared with a column of known values are checked against them,
+because a misspelt kind would give an empty result.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsonptr
+from ..functions.patterns import to_java
+from ..operators import fuzzy
 from ..operators.filters import AccessScope
 from ..sources.tables import AUTHORSHIPS, KINDS, PROVIDERS, ROLES
 
@@ -45,10 +56,64 @@ class QueryResult:
     truncated: bool
 
 
+#: Names of registered views by session.
+_VIEWS: dict[str, set[str]] = {}
+
+#: Nodes that a query's parsed plan may have.
+NODES = set(
+    """Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Limit Offset Distinct Deduplicate Union Intersect Except SubqueryAlias
+    UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith WithWindowDefinition UnresolvedHaving UnresolvedPivot Pivot Unpivot UnresolvedUnpivot
+    Generate OneRowRelation UnresolvedInlineTable ResolvedInlineTable LocalRelation UnresolvedTableValuedFunction UnresolvedTVFAliases Sample Tail Window Expand UnresolvedHint
+    UnresolvedGroupingAnalytics""".split()
+)
+
+#: Built-in functions that call code, read session or file state, or tell of the machine.
+OUTSIDE = set(
+    """reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog
+    current_database current_schema version spark_partition_id monotonically_increasing_id raise_error assert_true uuid rand randn random randstr shuffle""".split()
+)
+
+#: Functions that may stand for a table.
+TABLE_FUNCTIONS = set("explode explode_outer posexplode posexplode_outer inline inline_outer stack range json_tuple variant_explode variant_explode_outer".split())
+
+#: This module's functions, see ``register_functions``.
+OWN_FUNCTIONS = ("contains_caseless", "text_regexp", "json_pointer", "fuzzy_score")
+
+
 def register(spark: SparkSession, tables: dict[str, DataFrame], scope: AccessScope = AccessScope()) -> None:
     scope.check_raw_sql()
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+    _VIEWS.setdefault(_session(spark), set()).update(n.lower() for n in tables)
+    register_functions(spark)
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Search by SQL: contains_caseless(text, query), text_regexp(pattern, text), json_pointer(pointer, content), fuzzy_score(query, text).
+
+    The first two are expressions that Spark inlines. A pattern of text_regexp is
+    one of Java's with Unicode classes; where it is a literal, statements with
+    look-around and back-references are refused. The last two work on Arrow batches.
+    """
+    folded = "translate(lower({}), 'ς', 'σ')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION contains_caseless(t STRING, q STRING) RETURNS BOOLEAN RETURN coalesce(contains({folded.format('t')}, {folded.format('q')}), false)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION text_regexp(p STRING, t STRING) RETURNS BOOLEAN RETURN coalesce(t RLIKE ('(?U)' || p), false)")
+
+    @F.pandas_udf("string")
+    def json_pointer(pointer: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([jsonptr.plain_value(p, c) for p, c in zip(pointer, content)], dtype=object)
+
+    @F.pandas_udf("bigint")
+    def fuzzy_score(query: pd.Series, text: pd.Series) -> pd.Series:
+        found = [fuzzy.match(q, t) if q else None for q, t in zip(query, text)]
+        return pd.Series([f[0] if f else None for f in found], dtype="Int64")
+
+    spark.udf.register("json_pointer", json_pointer)
+    spark.udf.register("fuzzy_score", fuzzy_score)
 
 
 def _mask(sql: str) -> str:
@@ -66,6 +131,69 @@ def check_vocabulary(sql: str) -> None:
                 raise SqlRefused(f"{m[1]} has no value {value!r}" + (f"; it is stored as {close[0]!r}" if close else f"; values: {', '.join(known)}"))
 
 
+def _items(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.length())]
+
+
+def _walk(node, seen: list) -> None:
+    """All nodes of a parsed plan and of its expressions, subqueries and common tables."""
+    seen.append(node)
+    for part in ("children", "innerChildren", "expressions"):
+        if hasattr(node, part):
+            try:
+                found = _items(getattr(node, part)())
+            except (Py4JError, TypeError):
+                continue
+            for child in found:
+                if child.getClass().getName().startswith("org.apache.spark.sql.catalyst"):
+                    _walk(child, seen)
+    name = node.getClass().getSimpleName()
+    if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery", "FunctionTableSubqueryArgumentExpression"):
+        if name != "InSubquery":
+            _walk(node.plan(), seen)
+
+
+def check_plan(spark: SparkSession, plan) -> None:
+    """Raises SqlRefused unless all that the parsed plan holds is listed."""
+    seen: list = []
+    _walk(plan, seen)
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    is_plan = [n for n in seen if ".plans.logical." in n.getClass().getName() or n.getClass().getSimpleName() in ("UnresolvedRelation",) or _is_plan(spark, n)]
+    own = set(_VIEWS.get(_session(spark), ()))
+    for n in is_plan:
+        kind = n.getClass().getSimpleName().rstrip("$")
+        if kind not in NODES:
+            raise SqlRefused(f"a query may not have {kind}")
+        if kind == "UnresolvedWith":
+            own |= {c._1().lower() for c in _items(n.cteRelations())}
+    for n in seen:
+        kind = n.getClass().getSimpleName().rstrip("$")
+        if kind == "UnresolvedRelation":
+            parts = [str(x) for x in _items(n.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in own:
+                raise SqlRefused(f"no registered view {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            parts = [str(x) for x in _items(n.name())]
+            if len(parts) != 1 or parts[0].lower() not in TABLE_FUNCTIONS:
+                raise SqlRefused(f"no table function {'.'.join(parts)}")
+        elif kind == "UnresolvedFunction":
+            parts = [str(x) for x in _items(n.nameParts())]
+            name = parts[0].lower()
+            builtin = catalyst.analysis.FunctionRegistry.builtin().functionExists(catalyst.FunctionIdentifier(name))
+            if len(parts) != 1 or name in OUTSIDE or not (builtin or name in OWN_FUNCTIONS):
+                raise SqlRefused(f"no function {'.'.join(parts)}")
+            if name == "text_regexp":
+                first = _items(n.arguments())[0]
+                if first.getClass().getSimpleName() == "Literal":
+                    to_java(str(first.value()))
+        elif kind == "UnresolvedHint" or "Identifier" in kind and kind.endswith("Clause"):
+            raise SqlRefused(f"a query may not have {kind}")
+
+
+def _is_plan(spark: SparkSession, node) -> bool:
+    return spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(node)
+
+
 def checked(spark: SparkSession, sql: str) -> DataFrame:
     """The query as a DataFrame; raises SqlRefused for anything else."""
     body = _mask(sql).strip()
@@ -73,18 +201,14 @@ def checked(spark: SparkSession, sql: str) -> DataFrame:
         raise SqlRefused("no statement")
     if ";" in body.rstrip("; \n\t"):
         raise SqlRefused("one statement at a time")
-    if not re.match(r"(?is)[\s(]*(select|with|values|from|table)\b", body):
-        raise SqlRefused("only queries are allowed")
-    if re.search(r"(?i)\b(parquet|csv|json|text|orc|avro|binaryfile)\s*\.\s*[`\"]", body):
-        raise SqlRefused("files can't be read by path")
     check_vocabulary(sql)
     text = sql.strip().rstrip("; \n\t")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    kind = plan.getClass().getSimpleName()
-    if "Command" in kind or "Insert" in kind or kind.startswith(("Create", "Drop", "Alter", "Delete", "Update", "Merge")):
-        raise SqlRefused("only queries are allowed")
-    out = spark.sql(text)
-    return out
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise SqlRefused(f"not a query: {str(e).splitlines()[0][:200]}") from None
+    check_plan(spark, plan)
+    return spark.sql(text)
 
 
 def unique_names(df: DataFrame) -> DataFrame:
@@ -97,17 +221,71 @@ def unique_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def query(spark: SparkSession, sql: str, limit: int = DEFAULT_LIMIT, offset: int = 0, max_cell_chars: int | None = None, scope: AccessScope = AccessScope()) -> QueryResult:
-    """At most limit rows (0: all), and whether there were more."""
-    scope.check_raw_sql()
+def _shown(spark: SparkSession, sql: str, offset: int, max_cell_chars: int | None) -> DataFrame:
     df = unique_names(checked(spark, sql))
     df = df.offset(offset) if offset else df
     if max_cell_chars is not None:
         df = df.select(*[F.substring(F.col(f"`{c}`"), 1, max_cell_chars).alias(c) if k == "string" else F.col(f"`{c}`") for c, k in df.dtypes])
-    rows = (df.limit(limit + 1) if limit else df).collect()
-    more = bool(limit) and len(rows) > limit
-    cell = lambda v: f"<blob {len(v)} bytes>" if isinstance(v, (bytes, bytearray)) else v
-    return QueryResult(df.columns, [[cell(v) for v in r] for r in (rows[:limit] if more else rows)], more)
+    return df
+
+
+def _cells(row) -> list:
+    return [f"<blob {len(v)} bytes>" if isinstance(v, (bytes, bytearray)) else v for v in row]
+
+
+def query(
+    spark: SparkSession, sql: str, limit: int = DEFAULT_LIMIT, offset: int = 0, max_cell_chars: int | None = None, scope: AccessScope = AccessScope(), timeout_seconds: float | None = None
+) -> QueryResult:
+    """At most ``limit`` rows, and whether there were more; all rows come from ``query_batches``.
+
+    After ``timeout_seconds`` the query's jobs are cancelled and TimeoutError raised.
+    """
+    scope.check_raw_sql()
+    if limit <= 0:
+        raise SqlRefused("a page has a limit; all rows come from query_batches")
+    df = _shown(spark, sql, offset, max_cell_chars)
+    rows = collected(df.limit(limit + 1), timeout_seconds)
+    return QueryResult(df.columns, [_cells(r) for r in rows[:limit]], len(rows) > limit)
+
+
+def collected(df: DataFrame, timeout_seconds: float | None = None) -> list:
+    """The rows of a small result; its jobs are cancelled when the time is up."""
+    if timeout_seconds is None:
+        return df.collect()
+    context, group = df.sparkSession.sparkContext, f"threadloom-{uuid.uuid4().hex}"
+    out: dict = {}
+
+    def run() -> None:
+        context.setJobGroup(group, "query with a time limit", interruptOnCancel=True)
+        try:
+            out["rows"] = df.collect()
+        except Exception as e:  # told to the caller below
+            out["error"] = e
+
+    worker = InheritableThread(target=run, session=df.sparkSession)
+    worker.start()
+    worker.join(timeout_seconds)
+    if worker.is_alive():
+        context.cancelJobGroup(group)
+        worker.join()
+        if "rows" not in out:
+            raise TimeoutError(f"the query took longer than {timeout_seconds} s")
+    if "error" in out:
+        raise out["error"]
+    return out["rows"]
+
+
+def query_batches(spark: SparkSession, sql: str, batch_rows: int = 1000, scope: AccessScope = AccessScope()) -> Iterator[list[list]]:
+    """All rows in batches; one partition at a time comes to the driver."""
+    scope.check_raw_sql()
+    held: list[list] = []
+    for row in _shown(spark, sql, 0, None).toLocalIterator():
+        held.append(_cells(row))
+        if len(held) == batch_rows:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def schema(spark: SparkSession, tables: list[str] | None = None) -> list[dict]:

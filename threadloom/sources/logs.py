@@ -2,8 +2,8 @@
 
 Logs are read schemaless: a line is a variant, null if it isn't JSON, and what a
 format knows of it is taken by path. All parsing is columns; state that runs
-over a file's lines is in ``operators.normalize``. A file's lines come from one
-task; files are parallel.
+over a file's lines is in ``operators.normalize``. Files are parallel, and so are
+the splits of a large one.
 """
 
 from __future__ import annotations
@@ -27,11 +27,17 @@ class Parsed:
 
 
 def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    """(path, mtime, line_no, line, v): lines of all files below ``path`` (or of a list), bad bytes replaced."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    whole = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
-    split = whole.select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return split.withColumns({"line_no": F.col("line_no").cast("bigint"), "v": F.try_parse_json("line")})
+    """(path, mtime, line_no, line, v): lines of all files below ``path`` (or of a list), bad bytes replaced.
+
+    A large file is split, so its lines come from several tasks. ``line_no`` orders
+    the lines of a file: its split's first byte, then the place within the split.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    split = F.col("_metadata.file_block_start").cast("decimal(18,0)") * F.lit(2**62).cast("decimal(19,0)")
+    order = (split + F.monotonically_increasing_id().cast("decimal(19,0)")).cast("decimal(38,0)")
+    return read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), order.alias("line_no"), F.col("value").alias("line"), F.try_parse_json("value").alias("v")
+    )
 
 
 def text_at(v: Column, path: str) -> Column:

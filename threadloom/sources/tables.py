@@ -97,7 +97,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("b").cast("timestamp").alias("last_message_at"),
             F.col("n").alias("message_count"),
             F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("user:"), (F.col("user_id") + 1).cast("string"))).alias("parent_session_id"),
-            F.when(F.col("n") < 5, F.lit("few events")).alias("parse_warning"),
+            F.when(F.col("n") < 60, F.lit("few events")).alias("parse_warning"),
         ),
         SESSIONS,
     )

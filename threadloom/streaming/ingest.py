@@ -1,20 +1,30 @@
 """Incremental ingest: what changed since last time, and its sessions replaced as wholes.
 
 State is a table of files seen (path, time, size, parser version). A refresh
-compares it with the folder, parses the new and changed files, and swaps their
+compares it with the folder, parses the new and changed files, and replaces their
 sessions in tables dealt out by session; files that have vanished keep their
 rows. The result is the one a full parse gives, because a changed file is parsed
 anew and a session is replaced whole.
 
+Nothing that is stored is ever overwritten. A refresh writes the buckets it
+touches into folders of its own and then one manifest, which names the folders
+of all tables; the manifest with the highest number is the store. So all tables
+change at once, a run that dies leaves no trace but unused folders, of two runs
+at a time the second fails instead of losing the first one's rows, and a reader
+that holds a manifest's number (``snapshot``) sees the same rows in every step.
+
 ``follow`` does the same for a folder that gets new files, as a stream: Spark's
-checkpoint knows the files it has taken, and every micro-batch is one refresh.
+checkpoint knows the files it has taken, and every micro-batch is one refresh
+of the same store, files seen included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import time
+import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +40,13 @@ PARSE_VERSION = "1"
 TABLES = {"sessions": (SESSIONS, "id"), "messages": (MESSAGES, "session_id"), "transcripts": (TRANSCRIPTS, "session_id"), "file_edits": (FILE_EDITS, "session_id")}
 
 
-def discover(spark: SparkSession, provider: str, path: str, glob: str = "*.json*") -> DataFrame:
+#: File names of the formats that are not JSON lines or JSON alone.
+GLOBS = {"aistudio": "*.{json,md}"}
+
+
+def discover(spark: SparkSession, provider: str, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Files below ``path`` with time and size; contents are not read."""
+    glob = glob or GLOBS.get(provider, "*.json*")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return read.select(
         F.lit(provider).alias("provider"), F.col("path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.lit(PARSE_VERSION).alias("parse_version")
@@ -56,29 +71,81 @@ def merged_seen(discovered: DataFrame, seen: DataFrame) -> DataFrame:
     return gone.unionByName(discovered.select(*gone.columns))
 
 
-def stored(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """A table of the store; empty before the first refresh."""
+# --- the store: immutable folders and numbered manifests ---------------------
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def manifests(spark: SparkSession, store: str) -> list[int]:
+    """Numbers of the store's manifests, in order."""
+    fs, folder = _fs(spark, f"{store}/_manifests")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+
+def snapshot(spark: SparkSession, store: str) -> int:
+    """The number of the present manifest, 0 before the first refresh; give it to ``stored`` for steps that must agree."""
+    return max(manifests(spark, store), default=0)
+
+
+def manifest(spark: SparkSession, store: str, at: int | None = None) -> dict[str, dict[str, str]]:
+    """By table, the folder of each bucket."""
+    at = snapshot(spark, store) if at is None else at
+    if not at:
+        return {}
+    row = spark.read.text(f"{store}/_manifests/{at:010d}.json", wholetext=True).first()
+    return json.loads(row[0])
+
+
+def publish(spark: SparkSession, store: str, held: dict[str, dict[str, str]], after: int) -> int:
+    """Make ``held`` the store, if ``after`` is still its manifest; raises FileExistsError if another run was faster.
+
+    The file is written under a name of its own and renamed, so nobody reads half of it.
+    """
+    fs, target = _fs(spark, f"{store}/_manifests/{after + 1:010d}.json")
+    _, aside = _fs(spark, f"{store}/_manifests/_{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(json.dumps(held, sort_keys=True).encode())
+    out.close()
+    if fs.exists(target) or not fs.rename(aside, target):
+        fs.delete(aside, False)
+        raise FileExistsError(f"manifest {after + 1} of {store} is there already")
+    return after + 1
+
+
+def stored(spark: SparkSession, store: str, name: str, at: int | None = None) -> DataFrame:
+    """A table of the store, by default the present one; empty before the first refresh."""
     schema = SEEN if name == "files_seen" else TABLES[name][0]
-    try:
-        found = spark.read.parquet(f"{store}/{name}")
-    except AnalysisException:
+    folders = sorted(set(manifest(spark, store, at).get(name, {}).values()))
+    if not folders:
         return spark.createDataFrame([], schema)
-    return found.drop("bucket")
+    return spark.read.schema(schema).parquet(*folders)
+
 
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-def replace_sessions(spark: SparkSession, store: str, name: str, fresh: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> None:
-    """Swap the sessions ``ids`` (session_id) of a table; only their buckets are rewritten."""
+
+def replaced_buckets(spark: SparkSession, store: str, name: str, fresh: DataFrame, ids: DataFrame, held: dict[str, dict[str, str]], run: str) -> dict[str, str]:
+    """Folders of a table in which the sessions ``ids`` (session_id) are replaced by ``fresh``; only their buckets are written."""
     key = TABLES[name][1]
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    touched = ids.select(F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
-    old = stored(spark, store, name).withColumn("bucket", bucket)
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids.select(F.col("session_id").alias(key)), key, "left_anti")  # at most ``buckets`` rows
-    rows = kept.unionByName(fresh.withColumn("bucket", bucket)).repartition("bucket").sortWithinPartitions("bucket", key)
-    # the rows to write are read from what is overwritten, so they are set aside first
-    aside = f"{store}/_aside_{name}"
-    rows.write.mode("overwrite").parquet(aside)
-    again = spark.read.parquet(aside)
-    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{store}/{name}")
+    old = held.get(name, {})
+    touched = sorted(r[0] for r in ids.select(_bucket("session_id").alias("b")).distinct().collect())  # at most BUCKETS numbers
+    folders = [old[str(b)] for b in touched if str(b) in old]
+    rows = fresh
+    if folders:
+        kept = spark.read.schema(TABLES[name][0]).parquet(*folders).join(ids.select(F.col("session_id").alias(key)), key, "left_anti")
+        rows = kept.select(*fresh.columns).unionByName(fresh)
+    place = f"{store}/{name}/{run}"
+    rows.withColumn("bucket", _bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(place)
+    fs, _ = _fs(spark, place)
+    made = {str(b): f"{place}/bucket={b}" for b in touched if fs.exists(_fs(spark, f"{place}/bucket={b}")[1])}
+    return {b: f for b, f in old.items() if int(b) not in touched} | made
 
 
 def parse_files(spark: SparkSession, provider: str, paths: list[str]) -> logs.Parsed:
@@ -86,60 +153,108 @@ def parse_files(spark: SparkSession, provider: str, paths: list[str]) -> logs.Pa
     return logs.PARSERS[provider](spark, paths)
 
 
-def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False) -> dict[str, int]:
+def apply(spark: SparkSession, provider: str, paths: list[str], store: str, found: DataFrame) -> int:
+    """Parse files, replace their sessions and note the files ``found`` as seen, all in one new manifest; returns its number.
+
+    A session that a file no longer names goes with it.
+    """
+    at = snapshot(spark, store)
+    held = manifest(spark, store, at)
+    run = f"run-{at + 1:010d}-{uuid.uuid4().hex[:8]}"
+    parsed = parse_files(spark, provider, paths)
+    named = spark.createDataFrame([(p,) for p in paths], "source_path string")
+    superseded = stored(spark, store, "sessions", at).join(named, "source_path", "left_semi").select(F.col("id").alias("session_id"))
+    aside = f"{store}/_ids/{run}"
+    superseded.unionByName(parsed.sessions.select(F.col("id").alias("session_id"))).distinct().write.parquet(aside)
+    ids = spark.read.parquet(aside)
+    after = {name: replaced_buckets(spark, store, name, getattr(parsed, name), ids, held, run) for name in TABLES}
+    seen = f"{store}/files_seen/{run}"
+    merged_seen(found, stored(spark, store, "files_seen", at)).write.parquet(seen)
+    after["files_seen"] = {"0": seen}
+    return publish(spark, store, after, at)
+
+
+def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0) -> dict[str, int]:
     """Bring the store up to date; returns how many files were in each state.
 
-    policy ``existing_only`` leaves the store as it is. Only names of changed
-    files come to the driver, a file listing as Spark's own reader keeps it.
+    policy ``existing_only`` leaves the store as it is; ``before_query`` does if its
+    manifest is younger than ``max_age_seconds``. Of a listing only the names of
+    changed files come to the driver, where Spark's reader keeps them as well.
     """
     counts = {"new": 0, "changed_file": 0, "changed_parser": 0, "current": 0}
-    if policy == "existing_only":
-        return counts
-    if policy not in ("auto", "before_query"):
+    if policy not in ("auto", "before_query", "existing_only"):
         raise ValueError("policy is auto, before_query or existing_only")
+    if policy == "existing_only" or policy == "before_query" and age_seconds(spark, store) < max_age_seconds:
+        return counts
     for provider, path in roots.items():
         found = discover(spark, provider, path)
         seen = stored(spark, store, "files_seen")
         states = changes(found, seen.limit(0) if full else seen)
-        listed = states.select("source_path", "state").collect()
-        for r in listed:
-            counts[r["state"]] += 1
-        paths = sorted(r["source_path"] for r in listed if r["state"] != "current")
-        if not paths:
-            continue
-        apply(spark, provider, paths, store)
-        everything = merged_seen(found, seen)
-        aside = f"{store}/_aside_files_seen"
-        everything.write.mode("overwrite").parquet(aside)
-        spark.read.parquet(aside).write.mode("overwrite").parquet(f"{store}/files_seen")
+        for r in states.groupBy("state").count().collect():
+            counts[r["state"]] += r["count"]
+        paths = sorted(r[0] for r in states.filter("state <> 'current'").select("source_path").collect())
+        if paths:
+            apply(spark, provider, paths, store, found)
     return counts
 
 
-def apply(spark: SparkSession, provider: str, paths: list[str], store: str) -> None:
-    """Parse files and swap in their sessions; a session that a file no longer names goes with it."""
-    parsed = parse_files(spark, provider, paths)
-    before = stored(spark, store, "sessions")
-    named = spark.createDataFrame([(p,) for p in paths], "source_path string")
-    superseded = before.join(named, "source_path", "left_semi").select(F.col("id").alias("session_id"))
-    ids = superseded.unionByName(parsed.sessions.select(F.col("id").alias("session_id"))).distinct()
-    aside = f"{store}/_aside_ids"
-    ids.write.mode("overwrite").parquet(aside)
-    ids = spark.read.parquet(aside)
-    for name in ("messages", "transcripts", "file_edits", "sessions"):
-        replace_sessions(spark, store, name, getattr(parsed, name), ids)
+def age_seconds(spark: SparkSession, store: str) -> float:
+    """How long ago the store changed; infinite before the first refresh."""
+    at = snapshot(spark, store)
+    if not at:
+        return float("inf")
+    fs, path = _fs(spark, f"{store}/_manifests/{at:010d}.json")
+    return max(0.0, time.time() - fs.getFileStatus(path).getModificationTime() / 1000)
+
+
+def vacuum(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
+    """Delete what none of the last ``keep`` manifests names, older manifests included; returns the folders deleted.
+
+    Not to be run next to a refresh, whose folders no manifest names yet.
+    """
+    if keep < 1:
+        raise ValueError("the present manifest is always kept")
+    numbers = manifests(spark, store)
+    runs = {f.split("/bucket=")[0].rsplit("/", 1)[1] for n in numbers[-keep:] for table in manifest(spark, store, n).values() for f in table.values()}
+    gone = []
+    for name in [*TABLES, "files_seen", "_ids"]:
+        fs, folder = _fs(spark, f"{store}/{name}")
+        for f in fs.listStatus(folder) if fs.exists(folder) else ():
+            if f.getPath().getName() not in runs:
+                gone.append(f.getPath().toString())
+                fs.delete(f.getPath(), True)
+    for n in numbers[:-keep]:
+        fs, path = _fs(spark, f"{store}/_manifests/{n:010d}.json")
+        fs.delete(path, False)
+    return gone
 
 
 def follow(spark: SparkSession, provider: str, path: str, store: str, checkpoint: str, after: Callable[[int], None] | None = None):
     """A stream over files that arrive below ``path``; stops when it has taken all there are now."""
     arriving = (
-        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(path)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", GLOBS.get(provider, "*.json*"))
+        .load(path)
     )
 
     def take(batch: DataFrame, number: int) -> None:
-        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())
-        if paths:
-            apply(batch.sparkSession, provider, paths, store)
+        spark = batch.sparkSession
+        take_files(spark, provider, (r["path"] for r in batch.select("path").distinct().collect()), store)
         if after:
             after(number)
 
     return arriving.select("path").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def take_files(spark: SparkSession, provider: str, paths: Iterable[str], store: str) -> None:
+    """Those of the files that the store hasn't seen as they are; a batch that runs twice changes nothing the second time."""
+    paths = sorted(paths)
+    if not paths:
+        return
+    found = discover(spark, provider, paths, "*")
+    fresh = changes(found, stored(spark, store, "files_seen")).filter("state <> 'current'").select("source_path")
+    left = sorted(r[0] for r in fresh.collect())
+    if left:
+        apply(spark, provider, left, store, found)

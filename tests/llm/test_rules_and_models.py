@@ -89,6 +89,73 @@ def test_verdicts_without_labels(spark):
     assert got == {1: (True, False), 2: (False, True), 3: (True, False)}
 
 
+def at_most(k, n, p):
+    """P(Binomial(n, p) <= k), term by term."""
+    term = total = (1 - p) ** n
+    for j in range(k):
+        term *= (n - j) / (j + 1) * p / (1 - p)
+        total += term
+    return total
+
+
+def brute_verdicts(texts, labels):
+    """base_failed and kept of each text by plain counting: {id: text}, [(id, label)]."""
+    stats = {}
+    for i, t in texts.items():
+        n, chars, symbols, dup, repeats = brute_counts(t)
+        upper = sum(c.isupper() for c in t or "")
+        lines = sum(1 for line in (t or "").split("\n") if words_of(line))
+        w, c = max(n, 1), max(chars, 1)
+        share = {"symbol_share": symbols / c, "upper_share": upper / c, "repeat_share": repeats / w, "dup_line_share": dup / max(lines, 1), "mean_word": chars / w}
+        stats[i] = (n, n < 50 or 100 * repeats > 50 * n, share)
+    band = lambda n: sum(n >= b for b in R.BANDS) - 1
+    trials = {}
+    for i, y in sorted(labels):
+        if i in stats and not stats[i][1]:
+            key = (texts[i] or "").lower()
+            first, label = trials.get(key, (i, 0))
+            trials[key] = (first, max(label, y))
+    over = lambda rule, cutoff, share: share[R.RULES[rule][0]] > cutoff if R.RULES[rule][1] > 0 else share[R.RULES[rule][0]] < cutoff
+    level, limit = R.ERROR / (len(R.BANDS) * len(R.RULES)), R.LIMIT / len(R.RULES)
+    chosen = {}
+    for b in range(len(R.BANDS)):
+        held = [(stats[i][2], y) for i, y in trials.values() if band(stats[i][0]) == b]
+        n_good, n_bad = sum(y for _, y in held), sum(1 - y for _, y in held)
+        for rule, (_, _, cutoffs) in R.RULES.items():
+            best = 0.0
+            for cutoff in cutoffs:
+                k = sum(y and over(rule, cutoff, x) for x, y in held)
+                if k >= n_good or at_most(k, n_good, limit) > level:
+                    break
+                caught = sum((not y) and over(rule, cutoff, x) for x, y in held)
+                worth = (caught / n_bad if n_bad else 0.0) - R.COST * k / max(n_good, 1)
+                if worth > best + 1e-12:
+                    best, chosen[b, rule] = worth, cutoff
+    return {i: (failed, not failed and not any(b == band(n) and over(rule, c, x) for (b, rule), c in chosen.items())) for i, (n, failed, x) in stats.items()}, chosen
+
+
+def test_verdicts_equal_brute_force(spark):
+    rnd = random.Random(12)
+    vocab = [f"word{i}" for i in range(300)]
+    texts, labels = {}, []
+    for i in range(2600):
+        bad = rnd.random() < 0.15
+        words = [rnd.choice(vocab) + ("###$$" if bad and rnd.random() < 0.6 else "") for _ in range(rnd.randint(55, 120))]
+        texts[i] = " ".join(words)
+        labels.append((i, 0 if bad else 1))
+    for i in range(200):  # copies are no trials of their own
+        texts[3000 + i] = texts[i].upper() if i % 2 else texts[i]
+        labels.append((3000 + i, 0))
+    texts |= {4000: None, 4001: "", 4002: "few words"}
+    want, chosen = brute_verdicts(texts, labels)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stats = R.counts(df).cache()
+    cutoffs = R.certify(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert cutoffs == pytest.approx(chosen) and len(chosen) > 0
+    assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in R.judge(stats, cutoffs).collect()} == want
+    assert R.holdout(stats, spark.createDataFrame(labels, "doc_id long, quality int")).count() == len({t.lower() for i, t in texts.items() if t and i < 4000})
+
+
 # --- mixing -----------------------------------------------------------------
 
 
@@ -233,16 +300,166 @@ def test_unlabelled_fit_recovers_the_positives():
 
 
 def test_language_bits_equal_one_filter_a_language():
+    """Bits, rates and verdicts against a set of slots for each language."""
     rnd = np.random.default_rng(3)
     profiles = {f"l{i:02d}": rnd.integers(0, 2**63, 300).astype(np.uint64) for i in range(70)}  # more than one word of bits
     f = L.LanguageFilter.build(profiles, "l00")
+    slots = {name: {int(x) for s in L.slots_of(g) for x in s} for name, g in profiles.items()}
+    probe = np.concatenate([rnd.integers(0, 2**63, 400).astype(np.uint64), *[g[:20] for g in profiles.values()]])
+    places = L.slots_of(probe)
     for i, name in enumerate(f.langs):
-        slots = L.slots_of(profiles[name])
-        found = np.full(300, ~np.uint64(0))
-        for s in slots:
+        found = ~np.zeros(len(probe), dtype=np.uint64)
+        for s in places:
             found &= f.masks[i // 64][s]
-        assert ((found >> np.uint64(i % 64)) & np.uint64(1)).all()
-    assert (f.false_rate < 0.01).all()
+        own = ((found >> np.uint64(i % 64)) & np.uint64(1)).astype(bool)
+        assert own.tolist() == [all(int(s[k]) in slots[name] for s in places) for k in range(len(probe))]
+        assert f.false_rate[i] == pytest.approx((len(slots[name]) / L.SLOTS) ** L.PROBES)
+
+
+def test_language_predictions_equal_counting(spark):
+    """Hits by language, less what false positives give, from plain loops over n-grams."""
+    words = {"aa": ["bakat", "tokan", "banok"], "bb": ["shurz", "zhurk", "krush"], "cc": ["éloï", "çaé", "oué"]}
+    profiles = {k: np.unique(L.word_grams(v)[0]) for k, v in words.items()}
+    f = L.LanguageFilter.build(profiles, "bb")
+    f.false_rate[:] = [0.2, 0.1, 0.3]
+    slots = {k: {int(x) for s in L.slots_of(g) for x in s} for k, g in profiles.items()}
+    texts = ["bakat tokan", "Shurz bakat bakat", "éloï, oué! krush", "xyz", "12 34", "", "bakat " * 3000]
+    names, scores = f.predict(pa.array(texts))
+    for text, name, score in zip(texts, names, scores.tolist()):
+        hits, n = Counter(), 0
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for g in L.word_grams([w])[0]:
+                n += 1
+                at = [int(s[0]) for s in L.slots_of(np.array([g]))]
+                hits.update(k for k in words if all(x in slots[k] for x in at))
+        if not n:
+            assert (name, score) == ("und", 0.0)
+            continue
+        kept = {k: max(0.0, (hits[k] - n * r) / (1 - r)) for k, r in zip(f.langs, [0.2, 0.1, 0.3])}
+        best = max(f.langs, key=lambda k: kept[k])
+        total = sum(kept.values())
+        assert name == (best if total else "bb") and score == pytest.approx(kept[best] / total if total else 0.0)
+
+
+def test_each_language_has_its_own_sample(spark):
+    ids = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare").when(F.col("id") % 3 == 0, "mid").otherwise("hot").alias("lang"))
+    chosen, langs = L.language_sample(ids.unionByName(ids), 200)
+    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    assert langs == ["hot", "mid", "rare"] and sizes["rare"] == 3
+    assert all(60 <= sizes[k] <= 200 for k in ("hot", "mid")) and chosen.distinct().count() == sum(sizes.values())
+
+
+def test_toxic_features_equal_a_plain_version():
+    texts = ["Bad bad words", "", None, "Worse-badly é9", "badge " * 500]
+    text, place, n, n_words = X.text_features(pa.array([t or "" for t in texts]), None)
+    own = lambda w: set(X.word_features([w])[0].tolist())
+    for i, t in enumerate(texts):
+        words = set(re.findall(r"[^\W_]+", (t or "").lower()))
+        want = Counter(f for w in words for f in own(w))
+        assert dict(zip(place[text == i].tolist(), n[text == i].tolist())) == want and n_words[i] == len(words)
+    # a word has itself and its beginnings of 3 to 6 letters, and a beginning differs from the same whole word
+    assert len(own("badger")) == 5 and len(own("bad") & own("badger")) == 1 and len(own("ab")) == 1
+
+
+def plain_nnpu(x, length, positive, prior, steps):
+    """The same optimiser over a dense matrix, its gradient taken by finite differences of the risk."""
+    theta = np.zeros(x.shape[1] + 2)
+    theta[-1] = np.log(prior / (1 - prior))
+    m, v, turned = np.zeros_like(theta), np.zeros_like(theta), 0
+    soft = lambda z: np.logaddexp(0.0, z)
+
+    def parts(t):
+        z = x @ t[:-2] + t[-2] * length + t[-1]
+        return prior * soft(-z[positive]).mean(), soft(z[~positive]).mean() - prior * soft(z[positive]).mean()
+
+    for t in range(1, steps + 1):
+        low = parts(theta)[1] < 0
+        turned += low
+        goal = (lambda th: -parts(th)[1]) if low else (lambda th: sum(parts(th)))
+        grad = np.array([(goal(theta + e) - goal(theta - e)) / 2e-6 for e in np.eye(len(theta)) * 1e-6])
+        grad[:-1] += 2e-5 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        theta -= 0.05 * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return theta, turned
+
+
+def test_risk_and_turned_gradient_equal_a_plain_version():
+    rnd = np.random.default_rng(5)
+    n, k = 60, 6
+    x = np.where(rnd.random((n, k)) < 0.4, 1.0, 0.0)
+    positive = np.arange(n) < 30
+    x[positive, 0] = 1.0
+    x[~positive, 0] = 0.0  # U can be told from P: the risk of negatives falls below zero
+    length = rnd.random(n)
+    row, place = np.nonzero(x)
+    want, turned = plain_nnpu(x, length, positive, 0.5, 120)
+    w, by_length, bias = X.fit_nnpu(row, place, x[row, place], length, positive, k, 0.5, steps=120)
+    assert turned > 5
+    assert np.append(w, [by_length, bias]) == pytest.approx(want, abs=2e-3)
+
+
+def plain_split(binned, g, h, bins, l2=1.0, least=2.0):
+    best = (1e-6, None, None)
+    whole = g.sum() ** 2 / (h.sum() + l2)
+    for f in range(binned.shape[1]):
+        for b in range(bins - 1):
+            left = binned[:, f] <= b
+            lh, rh = h[left].sum(), h[~left].sum()
+            if lh < least or rh < least:
+                continue
+            gain = g[left].sum() ** 2 / (lh + l2) + g[~left].sum() ** 2 / (rh + l2) - whole
+            if gain > best[0] + 1e-12:
+                best = (gain, f, b)
+    return best
+
+
+def test_splits_and_leaves_equal_a_plain_search():
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(300, 4)).round(1)
+    y = ((x[:, 1] > 0.2) ^ (rnd.random(300) < 0.1)).astype(float)
+    forest = Q.fit(x, y, trees=3, depth=2, bins=8)
+    edges = Q.bin_edges(x, 8)
+    binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1)
+    score = np.full(300, forest.base)
+    for root in forest.roots:
+        p = 1 / (1 + np.exp(-score))
+        g, h = p - y, p * (1 - p)
+
+        def check(node, rows, depth):
+            gain, f, b = plain_split(binned[rows], g[rows], h[rows], 8) if depth < 2 else (0, None, None)
+            if f is None:
+                assert forest.left[node] == node
+                assert forest.value[node] == pytest.approx(-0.15 * g[rows].sum() / (h[rows].sum() + 1.0))
+                score[rows] += forest.value[node]
+                return
+            assert (forest.feature[node], forest.threshold[node]) == (f, pytest.approx(edges[f][b]))
+            left = binned[rows, f] <= b
+            check(forest.left[node], rows[left], depth + 1)
+            check(forest.right[node], rows[~left], depth + 1)
+
+        check(root, np.arange(300), 0)
+    assert forest.raw(x) == pytest.approx(score)
+
+
+def test_repeated_ids_stay_within_the_bounds(spark):
+    """An id of many rows must not bring more rows to the driver than the bound."""
+    df = spark.range(600).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("some toxic words "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 7, 7)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = Q.fit
+    Q.fit = lambda x, y: seen.append(len(y)) or real(x, y)
+    try:
+        Q.fit_on(df, labels, F.lit(True), fit_rows=50)
+    finally:
+        Q.fit = real
+    assert seen == [50]
+    real_fit = X.fit_nnpu
+    X.fit_nnpu = lambda *a, **k: seen.append(len(a[4])) or real_fit(*a, **k)
+    try:
+        X.fit_on(df, labels, F.lit(True), fit_toxic=20, fit_other=30)
+    finally:
+        X.fit_nnpu = real_fit
+    assert len(seen) < 3 or seen[1] <= 50
 
 
 EDGE = [(1, None, "en", "s"), (2, "", None, None), (3, "1234 !!", "en", "s"), (4, "plain words here", "en", "s"), (4, "plain words here", "en", "s"), (None, "no id", "de", "s"), (5, "mot " * 20000, "fr", "s")]

@@ -1,5 +1,6 @@
 """Exact and near dedup against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -72,6 +73,25 @@ def test_fuse_filter(n):
         assert n * factor <= len(f.table) < n * factor + f.segment
 
 
+def test_batches_against_a_stored_snapshot(spark, tmp_path):
+    rows = sample(90)
+    old, new = rows[:50], rows[50:] + rows[10:20]
+    frame = lambda r: spark.createDataFrame(r, SCHEMA)
+    path = str(tmp_path / "snapshot")
+    assert X.save_snapshot(frame(old), path, bucket_digests=8) > 1
+    stored, fresh = defaultdict(list), defaultdict(list)
+    for part, held in ((old, stored), (new, fresh)):
+        for i, t, *_ in part:
+            held[norm(t)].append(i)
+    for _ in range(2):  # the filters outlive a batch
+        got = {r["text_sha256"]: (r["batch_id"], r["n"], r["stored_id"]) for r in X.screen_batch(spark, path, frame(new)).collect()}
+        assert got == {hashlib.sha256(t.encode()).hexdigest(): (max(ids), len(ids), max(stored[t]) if t in stored else None) for t, ids in fresh.items()}
+    assert X.screen_batch(spark, path, frame(new).limit(0)).count() == 0
+    empty = str(tmp_path / "empty")
+    X.save_snapshot(frame(old).limit(0), empty)
+    assert {r["stored_id"] for r in X.screen_batch(spark, empty, frame(new)).collect()} == {None}
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", norm(text))
     if not words:

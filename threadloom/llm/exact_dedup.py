@@ -15,6 +15,10 @@ shuffled for the rows with a repeated digest, which a second filter over the
 repeated digests finds at the scan. That filter is broadcast only while it has
 at most ``SCREEN_DIGESTS`` digests; beyond that, all texts take the join.
 
+``save_snapshot`` writes a snapshot's digests by bucket and its filters once, and
+``screen_batch`` holds any later batch against them; of the snapshot's digests
+only those are shuffled that some positive's filter let through.
+
 The query deals the table into a snapshot and a batch by the hash of the id and
 merges the groups of both; which rows come first doesn't change the result.
 
@@ -187,6 +191,38 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(run, schema)
 
 
+def save_snapshot(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_digests: int = BUCKET_DIGESTS) -> int:
+    """Write the snapshot ``df`` to the new folder ``path``: (digest, keep_id, n, bucket) and one filter a bucket; returns the buckets."""
+    rank = F.struct(F.col(id_col).alias("doc_key"), F.lit(0).cast("bigint").alias("row")).alias("rank")
+    groups = cut(digest_groups(df.select(sha256_digest(normalised(F.col(text_col))).alias("digest"), rank)))
+    buckets = max(1, math.ceil(groups.count() / bucket_digests))
+    placed = groups.select("digest", F.col("last.doc_key").alias("keep_id"), "n", bucket_of(F.col("digest"), buckets).alias("bucket"))
+    placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/digests")
+    build_filters(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+    return buckets
+
+
+def screen_batch(spark: SparkSession, path: str, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per distinct text of the batch: text_sha256, batch_id (largest), n, and stored_id, the snapshot's id of an equal text or null.
+
+    A text that the filters call new needs no look at the snapshot; positives join
+    the snapshot's digests. Equal digests count as equal texts here, for the
+    snapshot's texts are not kept.
+    """
+    filters = spark.read.parquet(f"{path}/filters")
+    first = filters.select("buckets").first()
+    buckets = first[0] if first else 1
+    rank = F.struct(F.col(id_col).alias("doc_key"), F.lit(0).cast("bigint").alias("row")).alias("rank")
+    own = digest_groups(batch.select(sha256_digest(normalised(F.col(text_col))).alias("digest"), rank)).select("digest", F.col("last.doc_key").alias("batch_id"), "n")
+    screened = cut(screen(own, filters.select("bucket", "filter"), buckets))
+    positive = screened.filter("seen").withColumn("bucket", bucket_of(F.col("digest"), buckets))
+    held = spark.read.schema(f"digest binary, keep_id {dict(own.dtypes)['batch_id']}, n bigint, bucket int").parquet(f"{path}/digests").select("bucket", "digest", F.col("keep_id").alias("stored_id"))
+    exact = positive.join(held, ["bucket", "digest"], "left")
+    new = screened.filter("NOT seen").withColumn("stored_id", F.lit(None).cast(dict(held.dtypes)["stored_id"]))
+    columns = [F.lower(F.hex("digest")).alias("text_sha256"), "batch_id", "n", "stored_id"]
+    return exact.select(*columns).unionByName(new.select(*columns))
+
+
 # --- groups -----------------------------------------------------------------
 
 

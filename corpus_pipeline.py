@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import exact_dedup, mixing, quality_trees, sentencepiece_codec, simhash
-from threadloom.llm.common import shared_folder
+from threadloom.sources.session import shared_folder
 
 STAGES = [
     ("quality_classifier", quality_trees.stage),

@@ -1,18 +1,20 @@
 """Digests on any partitioning, the SQL guard and functions, prefilters, evidence, sessions, references."""
 
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_goldens import messages
+from tests.test_goldens import edits, messages
 from threadloom.functions import digests, patterns, refs, text
-from threadloom.operators import analytics, fuzzy, search
-from threadloom.operators.filters import FilterError
+from threadloom.operators import analysis, analytics, files, fuzzy, search
+from threadloom.operators.filters import FileQuery, FilterError
 from threadloom.plans import sqlapi
 from threadloom.plans.queries import QUERIES
 from threadloom.sources import logs
+from threadloom.sources import tables as T
 
 
 def test_digest_is_of_the_rows_alone(spark):
@@ -193,3 +195,60 @@ def test_relative_age_and_prefix(spark):
     df = spark.createDataFrame([("2026-01-01 00:00:00",), (None,)], "t string").select(F.to_timestamp("t").alias("t"))
     now = F.lit("2026-01-03 05:00:00").cast("timestamp")
     assert [r[0] for r in df.select(text.relative_age(F.col("t"), now)).collect()] == ["2d ago", "-"]
+
+
+def test_quotas_go_round():
+    assert search.quotas([5, 1, 9], 9) == [4, 1, 4] and search.quotas([2, 2], 100) == [2, 2] and search.quotas([3, 3, 3], 4) == [2, 1, 1] and search.quotas([], 3) == [] and search.quotas([0, 4], 2) == [0, 2]
+    for sizes in ([7, 0, 3, 12], [1] * 9, [100, 1]):
+        for total in range(0, 30):
+            given, left = [0] * len(sizes), total
+            while left and any(g < n for g, n in zip(given, sizes)):
+                for i, n in enumerate(sizes):
+                    if left and given[i] < n:
+                        given[i], left = given[i] + 1, left - 1
+            assert search.quotas(sizes, total) == given
+
+
+def test_effective_request():
+    told = search.SearchRequest(query="a b", limit=7).effective()
+    assert told["query"] == ("a b", "given") and told["limit"] == (7, "given") and told["mode"] == ("literal", "default")
+
+
+def test_versions_are_published_restored_and_streamed(spark, tmp_path):
+    e = edits(spark)
+    q = FileQuery(glob="app.py")
+    receipt = files.publish_versions(e, q, str(tmp_path / "bundle"))
+    assert receipt["versions"]["rows"] == 4
+    with pytest.raises(FileExistsError):
+        files.publish_versions(e, q, str(tmp_path / "bundle"))
+    target = tmp_path / "app.py"
+    assert files.restore(e, "s1", "/a/app.py", str(target), 2) == len("line1\nLINE2\nline3") and target.read_text() == "line1\nLINE2\nline3"
+    with pytest.raises(FileExistsError):
+        files.restore(e, "s1", "/a/app.py", str(target), 1)
+    with pytest.raises(LookupError):
+        files.restore(e, "s1", "/a/none", str(tmp_path / "n"))
+    lines = [json.loads(x) for x in files.version_stream(e, q)]
+    assert [(x["session_id"], x["version"]) for x in lines] == [("s1", 1), ("s1", 2), ("s1", 3), ("s2", 1)]
+    framed = "".join(files.version_stream(e, q, "framed"))
+    for x in lines:
+        head, _, framed = framed.partition("\n")
+        n = json.loads(head)["bytes"]
+        assert framed.encode()[:n].decode() == x["content"]
+        framed = framed.encode()[n + 1 :].decode()
+    assert framed == ""
+
+
+def test_analysis_is_published(spark, tmp_path):
+    m = messages(spark, [{"content": "forgot the tests"}, {"session_id": "t", "content": "fine"}])
+    s = T.shaped(spark.createDataFrame([("s", "task", None), ("t", "Branch of task", "s")], "id string, title string, parent_session_id string"), T.SESSIONS)
+    rules = [analysis.Rule("technique", "tests", r"forgot the tests", "user_text", 7)]
+    branch = [analysis.Relationship("branch", "branch", r"^Branch of (?P<parent>.+)$")]
+    receipt = analysis.publish_analysis(analysis.run(s, m, rules, analysis.PhraseSpec(2, 2)), analysis.session_graph(s, branch), str(tmp_path / "a"))
+    assert {k: v["rows"] for k, v in receipt.items()} == {"sessions": 2, "nodes": 2, "edges": 2, "groups": 0, "memberships": 0, "taxonomy": 2}
+
+
+def test_titles_that_many_share_are_ambiguous(spark):
+    rows = [(f"s{i}", "same") for i in range(5)] + [("b", "Branch of same"), ("c", "Branch of Branch of c"), ("d", "Branch of none")]
+    s = T.shaped(spark.createDataFrame(rows, "id string, title string"), T.SESSIONS)
+    got = {r["session_id"]: (r["candidates"], r["parent"], r["resolution"]) for r in analysis.relationship_hints(s, [analysis.Relationship("x", "branch", r"^Branch of (?P<parent>.+)$")]).collect()}
+    assert got == {"b": (5, None, "ambiguous"), "c": (0, None, "unresolved"), "d": (0, None, "unresolved")}

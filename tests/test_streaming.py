@@ -91,6 +91,10 @@ def test_snapshots_and_failed_runs(spark, tmp_path, monkeypatch):
     with pytest.raises(FileExistsError):
         ingest.publish(spark, store, {}, first)
     assert ingest.refresh(spark, {"claude": str(folder)}, store, policy="before_query", max_age_seconds=3600) == dict.fromkeys(["new", "changed_file", "changed_parser", "current"], 0)
+    ingest.compact(spark, store)
+    assert contents(spark, store) == full(spark, folder)
+    assert ingest.Refresh(spark, {"claude": str(folder)}, store).wait(120)["counts"]["current"] == 2
+    assert ingest.Refresh(spark, {"claude": str(tmp_path / "nowhere")}, store).wait(120)["state"] == "failed"
     assert ingest.vacuum(spark, store, keep=1)
     assert contents(spark, store) == full(spark, folder) and ingest.manifests(spark, store) == [ingest.snapshot(spark, store)]
 

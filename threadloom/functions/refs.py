@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Endings of names that are files rather than hosts.
 FILE_ENDINGS = (
-    "bash bat c cc cfg cjs conf cpp cs css csv dart db diff env fish go gradle h hpp htm html ini ipynb java jpeg jpg js json jsonl jsx kt lock log lua "
-    "md mdx mjs mod mp3 mp4 patch pdf php png ps1 py pyi r rb rs rst scala scss sh sql sqlite sum svg swift tex toml ts tsv tsx txt vue wasm webp xml yaml yml zip zsh"
+    "adoc astro awk bash bat bib c cc cfg clj cljs cmake conf cpp cr cs csh css csv dart diff env erb ex exs fish fs gemspec go graphql groovy h haml hbs heex hh hpp hs htm html "
+    "ini ipynb java js json jsonl jsonnet jsx kt kts less lhs lock lua m md mdx mk mm nix patch pdf php plist proto ps1 psm1 py pyi r rake rb rst rs scala scss sh sol sql svelte "
+    "svg swift tex toml twig ts tsx tsv txt vim vue wasm xml yaml yml zsh"
 ).split()
 
 ADDRESS = r"(?i)(?<![\w@.\-/])(?:[a-z][a-z0-9+.\-]*://[^\s<>\"'`]+|(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+[a-z]{2,}(?::\d+)?(?:/[^\s<>\"'`]*)?)"

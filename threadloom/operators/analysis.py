@@ -122,9 +122,11 @@ def checked_vocabulary(documents: DataFrame, spec: PhraseSpec) -> DataFrame:
 
 
 def relationship_hints(sessions: DataFrame, rules: list[Relationship]) -> DataFrame:
-    """(session_id, rule_id, kind, parent_title, resolution, parent_ids): a row per matched rule.
+    """(session_id, rule_id, kind, parent_title, candidates, parent, resolution): a row per matched rule.
 
-    resolution is resolved (one other session has the title), ambiguous or unresolved.
+    candidates are the other sessions with the title, parent is the only one;
+    resolution is resolved, ambiguous or unresolved. Titles are summed up before
+    the join, so a title that very many sessions share is one row.
     """
     parts = []
     for r in rules:
@@ -132,18 +134,22 @@ def relationship_hints(sessions: DataFrame, rules: list[Relationship]) -> DataFr
         names = _groups(r.pattern)
         parent = F.trim(F.regexp_extract("title", java, names.index("parent") + 1))
         parts.append(
-            sessions.filter(F.col("title").rlike(java)).select(F.col("id").alias("session_id"), F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), parent.alias("parent_title"))
+            sessions.filter(F.col("title").rlike(java)).select(F.col("id").alias("session_id"), F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), parent.alias("parent_title"), F.col("title").alias("own_title"))
         )
     if not parts:
         raise FilterError("no relationship rules")
     hints = parts[0]
     for p in parts[1:]:
         hints = hints.unionByName(p)
-    titled = sessions.select(F.col("title").alias("parent_title"), F.col("id").alias("candidate")).filter(F.col("parent_title").isNotNull())
-    own = F.when(F.col("candidate") != F.col("session_id"), F.col("candidate"))
-    joined = hints.join(titled, "parent_title", "left").groupBy("session_id", "rule_id", "kind", "parent_title").agg(F.array_sort(F.collect_set(own)).alias("parent_ids"))
-    n = F.size("parent_ids")
-    return joined.withColumn("resolution", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"))
+    titled = sessions.filter(F.col("title").isNotNull()).groupBy(F.col("title").alias("parent_title")).agg(
+        F.countDistinct("id").alias("__n"), F.min("id").alias("__first"), F.max("id").alias("__last")
+    )
+    own = F.coalesce((F.col("own_title") == F.col("parent_title")).cast("bigint"), F.lit(0))
+    joined = hints.distinct().join(titled, "parent_title", "left").withColumn("candidates", F.coalesce(F.col("__n") - own, F.lit(0)))
+    other = F.when(F.col("__first") != F.col("session_id"), F.col("__first")).otherwise(F.col("__last"))
+    n = F.col("candidates")
+    resolution = F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
+    return joined.select("session_id", "rule_id", "kind", "parent_title", "candidates", F.when(n == 1, other).alias("parent"), resolution.alias("resolution"))
 
 
 def _groups(pattern: str) -> list[str | None]:
@@ -154,7 +160,7 @@ def _groups(pattern: str) -> list[str | None]:
 
 def graph_edges(hints: DataFrame) -> DataFrame:
     """(source, target, kind, rule_id) of resolved hints: parent to session."""
-    return hints.filter("resolution = 'resolved'").select(F.col("parent_ids")[0].alias("source"), F.col("session_id").alias("target"), "kind", "rule_id").distinct()
+    return hints.filter("resolution = 'resolved'").select(F.col("parent").alias("source"), F.col("session_id").alias("target"), "kind", "rule_id").distinct()
 
 
 def graph_groups(sessions: DataFrame) -> DataFrame:
@@ -175,6 +181,35 @@ def graph_memberships(sessions: DataFrame) -> DataFrame:
     return per.join(graph_groups(sessions).select("dimension", "key"), ["dimension", "key"], "left_semi")
 
 
+@dataclass
+class SessionGraph:
+    """Sessions as nodes, parent links (started from, and by rule) as edges, shared places as groups."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    groups: DataFrame
+    memberships: DataFrame
+
+
+def session_graph(sessions: DataFrame, relationships: Sequence[Relationship] = ()) -> SessionGraph:
+    """The graph of all sessions; edges of kind spawn come from the logs, the others from the rules' resolved hints."""
+    spawned = child_sessions(sessions).select(F.col("parent").alias("source"), F.col("child").alias("target"), F.lit("spawn").alias("kind"), F.lit(None).cast("string").alias("rule_id"))
+    edges = spawned.unionByName(graph_edges(relationship_hints(sessions, list(relationships)))) if relationships else spawned
+    nodes = sessions.select("id", "provider", "title", "cwd", "repo_root", "parent_session_id", "created_at", "updated_at")
+    return SessionGraph(nodes, edges, graph_groups(sessions), graph_memberships(sessions))
+
+
+def publish_analysis(analysis: Analysis, graph: SessionGraph, path: str) -> dict:
+    """One bundle with the scores, the taxonomy (if asked for) and the graph as JSON lines, and a receipt of rows and digests."""
+    from ..sources.sinks import publish_bundle
+
+    tables = {"sessions": analysis.sessions.select("session_id", "score"), "nodes": graph.nodes, "edges": graph.edges, "groups": graph.groups, "memberships": graph.memberships}
+    order = {"sessions": ["session_id"], "nodes": ["id"], "edges": ["source", "target", "kind"], "groups": ["dimension", "key"], "memberships": ["dimension", "key", "id"]}
+    if analysis.vocabulary is not None:
+        tables["taxonomy"], order["taxonomy"] = analysis.vocabulary, ["phrase"]
+    return publish_bundle(tables, path, order)
+
+
 def documents_page(sessions: DataFrame, after: str | None = None, limit: int = 50) -> DataFrame:
     """Keyset page in order of id."""
     out = sessions.filter(F.col("id") > after) if after is not None else sessions

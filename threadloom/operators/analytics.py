@@ -71,6 +71,11 @@ def trigram_candidates(postings: DataFrame, groups: list[list[str]]) -> DataFram
     return out.distinct()
 
 
+def merged_candidates(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """(id, score): candidates by word and by trigram together, each id once with its better score."""
+    return words.select("id", "score").unionByName(grams.select("id", "score")).groupBy("id").agg(F.max("score").alias("score"))
+
+
 def phrase_rows(messages: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
     """(id, session_id, seq, phrase): the informative phrases of each message, once each."""
     # a column of its own: inside the windows' lambdas the expression would run once a window

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,35 @@ def history(edits: DataFrame, file_glob: str, limit: int = 50) -> DataFrame:
     return all_versions(edits.filter(FileQuery(glob=file_glob).predicate())).orderBy(F.desc_nulls_last("ts"), "session_id", "file_path", F.desc("version")).limit(limit)
 
 
+def publish_versions(edits: DataFrame, query: FileQuery, path: str) -> dict:
+    """All known versions of matching files as one bundle of JSON lines with a receipt; an existing path is never replaced."""
+    from ..sources.sinks import publish_bundle
+
+    known = all_versions(edits.filter(query.predicate())).filter(F.col("content").isNotNull())
+    return publish_bundle({"versions": known}, path, {"versions": ["session_id", "file_path", "version"]})
+
+
+def restore(edits: DataFrame, session_id: str, file_path: str, target: str, version: int | None = None) -> int:
+    """Write one version to the new file ``target``; returns its bytes. FileExistsError if it is there, LookupError if the version isn't known."""
+    content = reconstruct(edits, session_id, file_path, version)
+    if content is None:
+        raise LookupError(f"no known content of {file_path} in {session_id}")
+    with open(target, "x", encoding="utf-8", newline="") as f:
+        f.write(content)
+    return len(content.encode())
+
+
+def version_stream(edits: DataFrame, query: FileQuery, form: str = "jsonl") -> Iterator[str]:
+    """Known versions in order, one at a time: JSON lines, or ``framed`` by a head line with the length in bytes."""
+    if form not in ("jsonl", "framed"):
+        raise ValueError("form is jsonl or framed")
+    known = all_versions(edits.filter(query.predicate())).filter(F.col("content").isNotNull())
+    for r in known.orderBy("session_id", "file_path", "version").toLocalIterator():
+        head = {"session_id": r["session_id"], "file_path": r["file_path"], "version": r["version"]}
+        body = r["content"]
+        yield json.dumps(head | {"content": body}, ensure_ascii=False) + "\n" if form == "jsonl" else json.dumps(head | {"bytes": len(body.encode())}, ensure_ascii=False) + "\n" + body + "\n"
+
+
 def staged_edits(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Edits whose tool call has a successful result; they take the result's seq and time."""
     good = results.filter(~F.coalesce("is_error", F.lit(False))).select("session_id", "tool_call_id", F.col("seq").alias("result_seq"), F.col("ts").alias("result_ts"))

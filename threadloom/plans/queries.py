@@ -498,6 +498,17 @@ def bm25(spark, d):
     return analytics.bm25(T.conversation_messages(spark, d), "the tion").withColumn("score", F.round("score", 6))
 
 
+@query("merged_candidates", MESSAGES + f"""
+, t AS ({_TRIGRAMS}), g AS (SELECT id, 2 AS score FROM t WHERE term IN ('tio', 'ion') GROUP BY id HAVING count(*) = 2),
+w AS (SELECT DISTINCT id, 5 AS score FROM (SELECT id, unnest({_TOKENS.format('content')}) AS term FROM m) WHERE term = 'the')
+SELECT id, max(score) AS score FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY id""")
+def merged_candidates(spark, d):
+    m = T.conversation_messages(spark, d)
+    grams = analytics.trigram_candidates(analytics.trigram_postings(m), [["tio", "ion"]]).withColumn("score", F.lit(2))
+    words = m.filter(F.array_contains(text.tokens(F.col("content")), "the")).select("id", F.lit(5).alias("score"))
+    return analytics.merged_candidates(words, grams)
+
+
 # --- classification and analysis --------------------------------------------
 
 
@@ -565,6 +576,17 @@ def graph_edges(spark, d):
     return analysis.graph_edges(analysis.relationship_hints(branched_sessions(spark, d), _BRANCH))
 
 
+@query("session_graph", _BRANCHED + """
+SELECT 'node' AS part, id AS a, coalesce(title, '') AS b FROM b UNION ALL SELECT 'branch', parent, session_id FROM r WHERE n = 1
+UNION ALL SELECT 'spawn', p.id, c.id FROM s c JOIN s p ON c.parent_session_id = p.id UNION ALL SELECT dimension, key, CAST(n AS VARCHAR) FROM
+(SELECT 'working_directory' AS dimension, cwd AS key, count(*) AS n FROM s GROUP BY cwd HAVING count(*) > 1 UNION ALL SELECT 'repository', repo_root, count(*) FROM s GROUP BY repo_root HAVING count(*) > 1)""")
+def session_graph(spark, d):
+    g = analysis.session_graph(branched_sessions(spark, d), _BRANCH)
+    nodes = g.nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.coalesce("title", F.lit("")).alias("b"))
+    edges = g.edges.select(F.col("kind").alias("part"), F.col("source").alias("a"), F.col("target").alias("b"))
+    return nodes.unionByName(edges).unionByName(g.groups.select(F.col("dimension").alias("part"), F.col("key").alias("a"), F.col("sessions").cast("string").alias("b")))
+
+
 @query("graph_groups", SESSIONS + "SELECT 'working_directory' AS dimension, cwd AS key, count(*) AS sessions FROM s GROUP BY cwd HAVING count(*) > 1 UNION ALL SELECT 'repository', repo_root, count(*) FROM s GROUP BY repo_root HAVING count(*) > 1")
 def graph_groups(spark, d):
     return analysis.graph_groups(T.event_sessions(spark, d))

@@ -227,6 +227,7 @@ def claude(spark: SparkSession, path: str) -> Parsed:
     return Parsed(sessions, messages, transcripts, _file_edits(done, _ids(sessions), "claude"))
 
 
+#: Beginnings of user rows that a program put there.
 _INJECTED = (
     "The following is the Codex agent history", "# AGENTS.md instructions", "<goal_context", "<codex_internal_context", "<hook_prompt", "<environment_context", "<turn_aborted",
 )

@@ -25,6 +25,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,6 +199,47 @@ def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str
     return counts
 
 
+class Refresh:
+    """A refresh in the background: its state, counts, seconds and error, and a wait for its end."""
+
+    def __init__(self, spark: SparkSession, roots: dict[str, str], store: str, **options):
+        self.state, self.counts, self.error, self._began, self._took = "running", {}, None, time.monotonic(), None
+
+        def run() -> None:
+            try:
+                self.counts = refresh(spark, roots, store, **options)
+                self.state = "done"
+            except Exception as e:  # told by the report
+                self.error, self.state = f"{type(e).__name__}: {e}", "failed"
+            self._took = time.monotonic() - self._began
+
+        self._thread = InheritableThread(target=run, session=spark, daemon=True)
+        self._thread.start()
+
+    def report(self) -> dict:
+        took = time.monotonic() - self._began if self._took is None else self._took
+        return {"state": self.state, "counts": dict(self.counts), "seconds": round(took, 3), "error": self.error}
+
+    def wait(self, seconds: float | None = None) -> dict:
+        self._thread.join(seconds)
+        return self.report()
+
+
+def compact(spark: SparkSession, store: str) -> int:
+    """Every table's rows into one folder of its own, bucket by bucket; returns the new manifest's number."""
+    at = snapshot(spark, store)
+    held = manifest(spark, store, at)
+    run = f"run-{at + 1:010d}-{uuid.uuid4().hex[:8]}"
+    after = dict(held)
+    for name, (schema, key) in TABLES.items():
+        if held.get(name):
+            place = f"{store}/{name}/{run}"
+            rows = spark.read.schema(schema).parquet(*held[name].values()).withColumn("bucket", _bucket(key))
+            rows.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(place)
+            after[name] = {b: f"{place}/bucket={b}" for b in held[name]}
+    return publish(spark, store, after, at)
+
+
 def age_seconds(spark: SparkSession, store: str) -> float:
     """How long ago the store changed; infinite before the first refresh."""
     at = snapshot(spark, store)

@@ -8,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_goldens import edits, messages
-from threadloom.functions import digests, patterns, refs, text
-from threadloom.operators import analysis, analytics, files, fuzzy, search
+from threadloom.functions import dates, digests, patterns, refs, text
+from threadloom.operators import analysis, analytics, files, fuzzy, normalize, search
 from threadloom.operators.filters import FileQuery, FilterError
 from threadloom.plans import sqlapi
 from threadloom.plans.queries import QUERIES
-from threadloom.sources import logs
+from threadloom.sources import logs, sinks
 from threadloom.sources import tables as T
+from threadloom.streaming import windows
 
 
 def test_digest_is_of_the_rows_alone(spark):
@@ -252,3 +253,46 @@ def test_titles_that_many_share_are_ambiguous(spark):
     s = T.shaped(spark.createDataFrame(rows, "id string, title string"), T.SESSIONS)
     got = {r["session_id"]: (r["candidates"], r["parent"], r["resolution"]) for r in analysis.relationship_hints(s, [analysis.Relationship("x", "branch", r"^Branch of (?P<parent>.+)$")]).collect()}
     assert got == {"b": (5, None, "ambiguous"), "c": (0, None, "unresolved"), "d": (0, None, "unresolved")}
+
+
+def test_parts_of_mixed_content(spark):
+    part = lambda i, a, b, who: (i, a, b, who)
+    cases = [
+        ("abcdef", [part(0, 0, 2, "human"), part(1, 2, 6, "agent")], True), ("abcdef", [part(0, 0, 6, "human")], False), ("abcdef", [part(0, 0, 2, "human"), part(1, 3, 6, "agent")], False),
+        ("abcdef", [part(0, 0, 2, "human"), part(1, 2, 5, "agent")], False), ("abcdef", [part(0, 0, 2, "human"), part(1, 2, 6, "human")], False), ("abcdef", [part(1, 0, 2, "human"), part(0, 2, 6, "agent")], False),
+    ]
+    df = spark.createDataFrame([(c, p) for c, p, _ in cases], "c string, p array<struct<ordinal:int,start_char:long,end_char:long,authorship:string>>")
+    assert [r[0] for r in df.select(normalize.parts_valid(F.col("c"), F.col("p"))).collect()] == [ok for *_, ok in cases]
+
+
+def test_edits_wait_for_their_results(spark):
+    calls = spark.createDataFrame([("s", "a", 1, "x"), ("s", "b", 2, "y"), ("s", "c", 3, "z")], "session_id string, tool_call_id string, seq long, file_path string").withColumn("ts", F.lit(None).cast("timestamp"))
+    results = spark.createDataFrame([("s", "a", 5, None), ("s", "b", 6, True)], "session_id string, tool_call_id string, seq long, is_error boolean").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    assert [(r["file_path"], r["seq"], r["ts"].year) for r in files.staged_edits(calls, results).collect()] == [("x", 5, 2026)]
+
+
+def test_rendered_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "=a,b"), (2, None)], "n long, t string").coalesce(1)
+    assert sinks.render(df, "csv") == "n,t\n1,\"'=a,b\"\n2,\n" and sinks.render(df, "plain") == "1\t=a,b\n2\t\n"
+    assert json.loads(sinks.render(df, "json")) == [{"n": 1, "t": "=a,b"}, {"n": 2}] and "=a,b" in sinks.render(df, "table")
+    sinks.write_lines(df, "jsonl", str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    sinks.write_bucketed(df, str(tmp_path / "buckets"), "n", 4)
+    sinks.write_bucketed(df.filter("n = 1").withColumn("t", F.lit("new")), str(tmp_path / "buckets"), "n", 4)
+    assert {r["n"]: r["t"] for r in spark.read.parquet(str(tmp_path / "buckets")).collect()}[1] == "new"
+
+
+def test_date_forms_are_those_that_are_read():
+    for forms, _ in dates.reference():
+        for form in re.split(r"[ ,]+(?=\d|today|yesterday|last)", forms) if "ago" not in forms else ["today", "yesterday", "3 days ago", "last friday"]:
+            assert dates.parse_span(form).start <= dates.parse_span(form).end
+
+
+def test_first_of_each_key_in_a_stream(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long"
+    rows = [(1, "2024-01-01 10:00:00", 7), (2, "2024-01-01 10:00:05", 7), (3, "2024-01-01 10:00:06", 8)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = windows.first_seen(spark.readStream.schema(schema).json(str(tmp_path / "in")), ["user_id"], "1 hour")
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    assert sorted(r["user_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [7, 8]

@@ -21,7 +21,7 @@ from ..sources.session import cut
 SLICE_BYTES = 6 << 20
 
 #: Rows of numbers up to which one side of a join is broadcast (some 50 MB).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 #: The characters that end a word: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"

@@ -26,7 +26,8 @@ WORD_GAP = r"(?U)[^\p{IsAlphabetic}\p{N}]+"
 
 def fold(text: Column) -> Column:
     """Lower case with one small sigma, so caseless comparison treats all sigmas alike."""
-    return F.translate(F.lower(text), "ς", "σ")
+    # replace looks for bytes; translate would look up every letter
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
 def fold_literal(text: str) -> str:

@@ -99,7 +99,7 @@ def register_functions(spark: SparkSession) -> None:
     one of Java's with Unicode classes; where it is a literal, statements with
     look-around and back-references are refused. The last two work on Arrow batches.
     """
-    folded = "translate(lower({}), 'ς', 'σ')"
+    folded = "replace(lower({}), 'ς', 'σ')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION contains_caseless(t STRING, q STRING) RETURNS BOOLEAN RETURN coalesce(contains({folded.format('t')}, {folded.format('q')}), false)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION text_regexp(p STRING, t STRING) RETURNS BOOLEAN RETURN coalesce(t RLIKE ('(?U)' || p), false)")
 

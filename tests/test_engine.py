@@ -6,8 +6,8 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from test_goldens import edits, messages
 
-from tests.test_goldens import edits, messages
 from threadloom.functions import dates, digests, patterns, refs, text
 from threadloom.operators import analysis, analytics, files, fuzzy, normalize, search
 from threadloom.operators.filters import FileQuery, FilterError

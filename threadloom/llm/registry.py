@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, pseudonyms, quality_rules, quality_trees, sentencepiece_codec, simhash, token_counts, toxicity
+from . import (
+    conversation_repair,
+    exact_dedup,
+    importance,
+    language_id,
+    mixing,
+    packing,
+    pseudonyms,
+    quality_rules,
+    quality_trees,
+    sentencepiece_codec,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -17,6 +31,9 @@ def queries() -> dict:
         "op8_pii_pseudonyms": pseudonyms.query,
         "op9_token_counts": token_counts.query,
         "op10_quality_trees": quality_trees.query,
+        "op11_importance_resampling": importance.query,
+        "op12_conversation_repair": conversation_repair.query,
+        "op13_packing": packing.query,
     }
 
 

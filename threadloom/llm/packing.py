@@ -21,6 +21,7 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents, encode_words, list_parts, plain_strings, small_side, text_slices
+from .token_counts import PATTERN, byte_alphabet
 
 SIZE = 2048
 END_ID = 1
@@ -42,10 +44,13 @@ END_ID = 1
 #: Share of the sequences whose worth of padding is left rather than cutting more documents.
 SLACK = 0.005
 
-#: Bytes of text that the tokenizer gets as one string, about; bytes of ids that a worker remembers by chunk.
+#: Bytes of text that the tokenizer gets as one string, about; bytes that a worker remembers of chunks and their ids.
 PART_BYTES = 1 << 20
 REMEMBERED_BYTES = 64 << 20
 
+#: Chunks over so many bytes go to the tokenizer, whose time is not square in their length.
+LONG_CHUNK = 2048
+
 
 def default_model() -> str:
     import public_tokenizers
@@ -56,12 +61,21 @@ def default_model() -> str:
 def starts_and_sizes(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all ranges, one after the other."""
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) - np.repeat(ends - sizes - starts, sizes)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class Encoder:
-    """A tokenizer file, loaded once per Python worker; distinct blank-led chunks of a slice are encoded once."""
+    """A byte-level BPE file, loaded once per Python worker; distinct blank-led chunks are encoded once.
+
+    New chunks are joined and encoded in one go: each starts with a blank before
+    a non-blank, where a pre-token starts anyway, and since a token stands for
+    known bytes, the ids of each chunk follow from its place. Where the file's
+    merges are in the order of their ids, the same vocabulary in ranked form
+    encodes them (several times as fast); it is compared with the tokenizer over
+    the whole vocabulary when loaded, and not used if they differ anywhere.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -70,15 +84,82 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"]
+        if spec["model"]["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
+            raise ValueError(f"{path}: only byte-level BPE without normaliser or added blank")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that take in their surroundings")
+        vocab = spec["model"]["vocab"]
+        size = max(*vocab.values(), *(t["id"] for t in spec["added_tokens"])) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.n_bytes = np.zeros(size, dtype=np.int64)
+        self.n_bytes[list(vocab.values())] = [len(k) for k in vocab]  # a character of a token stands for a byte
+        self.ranked = self.ranked_form(spec["model"], path)
         self.at_blank = regex.compile(r" (?=\S)")
         self.white = regex.compile(r" (?:\s|\Z)")
-        self.known: dict[str, np.ndarray] = {}
-        self.held = 0
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.forget()
+
+    def ranked_form(self, model: dict, path: str):
+        import tiktoken
+
+        stand_in = byte_alphabet()
+        vocab = {k: i for k, i in model["vocab"].items() if set(k) <= stand_in.keys()}
+        made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model["merges"]]
+        if made != sorted(made):
+            return None
+        found = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks={bytes(stand_in[c] for c in k): i for k, i in vocab.items()}, special_tokens={})
+        spelled = [bytes(stand_in[c] for c in k).decode("utf-8", "replace") for k in vocab]
+        probe = [w for w in spelled if w not in self.added] + [a + b for a, b in zip(spelled, reversed(spelled)) if not any(t in a + b for t in self.added)]
+        same = all(e.ids == i for e, i in zip(self.tokenizer.encode_batch_fast(probe, add_special_tokens=False), map(found.encode_ordinary, probe)))
+        return found if same else None
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens."""
+        quick = self.ranked and len(text) <= LONG_CHUNK
+        return np.array(self.ranked.encode_ordinary(text), self.dtype) if quick else self.encode(text)
+
+    def led(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a blank before each, and the number of each one's."""
+        if not len(words):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        flat = self.ranked.encode_to_numpy(text, disallowed_special=()).astype(self.dtype) if self.ranked else self.encode(text)
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        last = np.searchsorted(np.cumsum(self.n_bytes[flat]), ends) + 1
+        return flat, np.diff(last, prepend=0)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each distinct blank-led word among the known ones; new ones are encoded."""
+        if self.flat.nbytes + self.known.nbytes > REMEMBERED_BYTES:
+            self.forget()
+        at = pc.index_in(words, value_set=self.known)
+        new = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            long = pc.greater(pc.binary_length(fresh), LONG_CHUNK)
+            short, rest = fresh.filter(pc.invert(long)), fresh.filter(long)
+            flat, sizes = self.led(short)
+            apart = [self.encode(" " + w) for w in rest.to_pylist()]
+            where = np.empty(len(fresh), dtype=np.int64)
+            is_long = long.to_numpy(zero_copy_only=False)
+            where[~is_long] = len(self.known) + np.arange(len(short))
+            where[is_long] = len(self.known) + len(short) + np.arange(len(rest))
+            at[new] = where
+            self.known = pa.concat_arrays([self.known, short, rest])
+            self.flat = np.concatenate([self.flat, flat, *apart])
+            self.sizes = np.concatenate([self.sizes, sizes, np.fromiter(map(len, apart), np.int64, len(apart))])
+        return at
 
     def parts(self, text: str) -> Iterator[str]:
         """``text`` in parts of about PART_BYTES; a blank before a non-blank always starts a pre-token."""
@@ -92,20 +173,10 @@ class Encoder:
         yield text[start:]
 
     def whole(self, text: str) -> np.ndarray:
-        return np.concatenate([ids for part in self.parts(text) for ids in self.encode([part])])
-
-    def chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        if self.held > REMEMBERED_BYTES:
-            self.known, self.held = {}, 0
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            made = self.encode(new)
-            self.known.update(zip(new, made))
-            self.held += sum(200 + len(c) + m.nbytes for c, m in zip(new, made))
-        return [self.known[c] for c in chunks]
+        return np.concatenate([self.encode(part) for part in self.parts(text)])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and n + 1 offsets, each text followed by nothing."""
+        """Flat ids of all texts and n + 1 offsets, in order."""
         n = len(texts)
         odd = pc.match_substring_regex(texts, r" (\s|[^\x00-\x7f]|$)")
         for token in self.added:
@@ -124,14 +195,13 @@ class Encoder:
         if len(even):
             words, offsets = list_parts(pc.split_pattern(texts.take(pa.array(even)), " "))
             codes, distinct = encode_words(words)
-            heads, head_words = encode_words(words.take(pa.array(offsets[:-1])))
-            codes = codes.astype(np.int64)
-            codes[offsets[:-1]] = heads + len(distinct)  # a text's first word has no blank
-            store = self.chunks([" " + w for w in distinct.to_pylist()]) + self.chunks(head_words.to_pylist())
-            lengths = np.fromiter(map(len, store), np.int64, len(store))
-            starts = np.cumsum(lengths) - lengths
-            per_word = lengths[codes]
-            flat = np.concatenate(store)[starts_and_sizes(starts[codes], per_word)]
+            heads = [self.plain(w) for w in words.take(pa.array(offsets[:-1])).to_pylist()]
+            # the first words, which have no blank, follow the known ones
+            place = self.places(distinct)[codes]
+            place[offsets[:-1]] = len(self.sizes) + np.arange(len(heads))
+            lengths = np.concatenate([self.sizes, np.fromiter(map(len, heads), np.int64, len(heads))])
+            per_word = lengths[place]
+            flat = np.concatenate([self.flat, *heads])[starts_and_sizes((np.cumsum(lengths) - lengths)[place], per_word)]
             sizes[even] = np.add.reduceat(per_word, offsets[:-1])
         for i, ids in apart.items():
             sizes[i] = len(ids)

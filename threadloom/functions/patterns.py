@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import linear, regextree
 from .text import fold, fold_literal
 
 #: POSIX class names and what Java calls them.
@@ -21,10 +22,6 @@ POSIX = {
 }
 
 
-#: An escape with its operands: code points, properties, classes and anchors, or a punctuation mark.
-ESCAPE = r"\\(?:x\{[^}]*\}|x[0-9A-Fa-f]{2}|[pP]\{[^}]*\}|[pP][A-Za-z]|[dDwWsSbBAzntrfvhH]|[^A-Za-z0-9])"
-
-
 class PatternError(ValueError):
     """The pattern is not in the dialect."""
 
@@ -73,35 +70,40 @@ def to_java(pattern: str) -> str:
     return "(?U)" + java
 
 
+def recursive(pattern: str) -> bool:
+    """Whether Java would match the pattern by recursion, which a long text doesn't survive."""
+    try:
+        return regextree.recurses(regextree.parse(pattern))
+    except regextree.Unparsed:
+        return bool(re.search(r"\)(?:[*+]|\{\d*(?:,\d*|\d{2,})\})", pattern))
+
+
 def regex_match(pattern: str, text: Column) -> Column:
-    """Whether the pattern occurs in the text; null text: false."""
-    return F.coalesce(text.rlike(to_java(pattern)), F.lit(False))
+    """Whether the pattern occurs in the text; null text: false. Patterns with repeated groups leave the JVM."""
+    java = to_java(pattern)
+    if recursive(pattern):
+        return linear.match(pattern, text)
+    return F.coalesce(text.rlike(java), F.lit(False))
+
+
+def regex_span(pattern: str, text: Column) -> tuple[Column, Column]:
+    """Start and end of the first match in code points; 0 and 0 without one."""
+    if recursive(pattern):
+        found = linear.span(pattern, text)
+        return F.coalesce(found["start"], F.lit(0)), F.coalesce(found["end"], F.lit(0))
+    java = F.lit(to_java(pattern))
+    start = F.greatest(F.regexp_instr(text, java) - 1, F.lit(0))
+    return start, start + F.coalesce(F.length(F.regexp_substr(text, java)), F.lit(0))
 
 
 def required_literals(pattern: str) -> list[str] | None:
-    """Literals of which a match must have one: runs of plain letters of each top alternative.
-
-    None if some alternative has no run of three or more, or an escape isn't a known
-    one; then no prefilter is safe. Anything optional, grouped or in a class ends a
-    run, and escapes and counts go with their operands.
-    """
-    if re.search(r"[()\[\]]|\(\?", pattern):
-        return None
-    if re.search(r"\\[A-Za-z0-9]", re.sub(ESCAPE, "\0", pattern, flags=re.S)):
-        return None
-    found = []
-    for alternative in pattern.split("|"):
-        runs = re.findall(r"(?:\w| (?! ))+", re.sub(rf"(?s:(?:{ESCAPE}|.)(?:[*?]|\{{[^}}]*\}})|{ESCAPE}|\{{[^}}]*\}}|[.^$+])", "\0", alternative))
-        best = max(runs, key=len, default="")
-        if len(best) < 3 or not best.isascii():
-            return None
-        found.append(best)
-    return found
+    """Literals of which a match must hold one, from the pattern's tree; None if no prefilter is safe."""
+    return regextree.required(pattern)
 
 
 def prefiltered_regex(pattern: str, text: Column) -> Column:
     """``regex_match`` behind a cheap literal test that each match passes."""
-    literals = required_literals(pattern) if not re.search(r"\(\?\w*i", pattern) else None
+    literals = required_literals(pattern)
     match = regex_match(pattern, text)
     if not literals:
         return match
@@ -145,6 +147,5 @@ def literal_trigrams(literal: str) -> list[str]:
 
 def regex_trigrams(pattern: str) -> list[list[str]] | None:
     """Groups of folded trigrams: a match has all of some group. None if the pattern demands none."""
-    literals = required_literals(pattern) if not re.search(r"\(\?\w*i", pattern) else None
-    groups = [literal_trigrams(x) for x in literals or []]
+    groups = [literal_trigrams(x) for x in regextree.required(pattern, folded=True) or []]
     return groups if groups and all(groups) else None

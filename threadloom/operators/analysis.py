@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import rows_digest
-from ..functions.patterns import to_java
+from ..functions.patterns import regex_match, to_java
 from ..functions.text import char_prefix, fold_literal, ngrams, phrase_words, prose_only, tokens
 from .classify import refuse_empty
 from .filters import FilterError, attributable_human
@@ -86,7 +86,7 @@ def rule_hits(documents: DataFrame, rules: list[Rule], max_chars: int | None = N
     for r in sorted(rules, key=lambda r: (r.dimension, r.label)):
         hit = F.lit(False)
         for c in columns[r.target]:
-            hit = hit | F.coalesce(c.rlike(to_java(r.pattern)), F.lit(False))
+            hit = hit | regex_match(r.pattern, c)
         parts.append(F.when(hit, F.struct(F.lit(r.dimension).alias("dimension"), F.lit(r.label).alias("label"), F.lit(r.weight).cast("bigint").alias("weight"))))
     found = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<struct<dimension:string,label:string,weight:bigint>>")
     return documents.withColumn("classifications", found).withColumn("score", F.aggregate("classifications", F.lit(0).cast("bigint"), lambda a, c: a + c["weight"]))

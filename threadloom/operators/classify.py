@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PatternError, to_java
+from ..functions.patterns import PatternError, regex_match, regex_span, to_java
 from .filters import FilterError, attributable_human
 
 #: The categories of corrections and their patterns, in order.
@@ -71,8 +71,8 @@ class Policy:
                 refuse_empty(p)
 
     def alternations(self) -> list[tuple[str, str]]:
-        """(category, Java pattern)."""
-        return [(name, to_java("(?i)" + "|".join(f"(?:{p})" for p in patterns))) for name, patterns in self.categories]
+        """(category, pattern of the dialect)."""
+        return [(name, "(?i)" + "|".join(f"(?:{p})" for p in patterns)) for name, patterns in self.categories]
 
 
 def refuse_empty(pattern: str) -> None:
@@ -93,17 +93,16 @@ def label(text: Column, policies: Sequence[Policy]) -> Column:
     """struct(policy, category, start, end, matched) of the first hit; null without one."""
     out = None
     for policy in policies:
-        for name, java in policy.alternations():
-            at = F.regexp_instr(text, F.lit(java))
-            found = F.regexp_substr(text, F.lit(java))
+        for name, pattern in policy.alternations():
+            start, end = regex_span(pattern, text)
             hit = F.struct(
                 F.lit(policy.id).alias("policy"),
                 F.lit(name).alias("category"),
-                (at - 1).cast("bigint").alias("start"),
-                (at - 1 + F.length(found)).cast("bigint").alias("end"),
-                found.alias("matched"),
+                start.cast("bigint").alias("start"),
+                end.cast("bigint").alias("end"),
+                F.substr(text, (start + 1).cast("int"), (end - start).cast("int")).alias("matched"),
             )
-            fits = text.rlike(java)
+            fits = regex_match(pattern, text)
             out = F.when(fits, hit) if out is None else out.when(fits, hit)
     return out
 

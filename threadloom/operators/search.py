@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonptr, refs
 from ..functions.digests import rows_digest
-from ..functions.patterns import literal_trigrams, prefiltered_regex, regex_trigrams, to_java
+from ..functions.patterns import literal_trigrams, prefiltered_regex, regex_span, regex_trigrams, to_java
 from ..functions.text import contains_caseless, fold, fold_literal, select_lines, snippet, truncate_for_display, unfolded_place
 from . import analytics, fuzzy
 from .filters import FilterError, MessageFilters, SessionFilters
@@ -141,10 +141,7 @@ def evidence(rows: DataFrame, request: SearchRequest) -> DataFrame:
         # a match that ends inside the folding of a letter has the whole letter
         start, end = unfolded_place(text, at - 1), unfolded_place(text, at - 2 + len(folded)) + 1
     elif request.mode == "regex":
-        java = F.lit(to_java(request.query))
-        at = F.regexp_instr(text, java)
-        start = F.greatest(at - 1, F.lit(0))
-        end = start + F.coalesce(F.length(F.regexp_substr(text, java)), F.lit(0))
+        start, end = regex_span(request.query, text)
     else:
         start, end = F.array_min("fuzzy_places"), F.array_max("fuzzy_places") + 1
         rows = rows.withColumn("match_ranges", fuzzy.match_ranges(F.col("fuzzy_places")))

@@ -46,7 +46,14 @@ REFUSED = [
     "SELECT * FROM `text`.`/etc/hosts`", "SELECT * FROM text.`/etc/hosts`", "SELECT * FROM own_view WHERE seq = (SELECT max(value) FROM text.`/etc/hosts`)", "SELECT * FROM strange_view",
     "SELECT 1 WHERE EXISTS (SELECT 1 FROM strange_view)", "WITH a AS (SELECT * FROM strange_view) SELECT * FROM a", "SELECT java_method('java.lang.System', 'lineSeparator')",
     "SELECT reflect('java.lang.System', 'lineSeparator')", "SELECT transform(array(1), x -> try_reflect('java.lang.System', 'lineSeparator'))", "SELECT TRANSFORM(seq) USING 'cat' FROM own_view",
-    "SELECT * FROM identifier('strange_view')", "EXECUTE IMMEDIATE 'SELECT 1'", "SHOW TABLES", "EXPLAIN SELECT 1", "SET x = 1", "SELECT input_file_name() FROM own_view", "SELECT 1; SELECT 2", "SELECT no_such_function(1)", "no sql",
+    "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'lineSeparator') FROM own_view",
+    "WITH strange_view AS (SELECT * FROM strange_view) SELECT * FROM strange_view", "SELECT seq FROM own_view UNION ALL SELECT * FROM (WITH strange_view AS (SELECT 1 AS seq) SELECT * FROM strange_view) UNION ALL SELECT id FROM strange_view",
+    "SELECT id FROM strange_view UNION ALL SELECT * FROM (WITH strange_view AS (SELECT 1 AS id) SELECT * FROM strange_view)", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+    "WITH a AS (WITH strange_view AS (SELECT 1 AS id) SELECT * FROM strange_view) SELECT * FROM a, strange_view", "SELECT (SELECT max(id) FROM strange_view) FROM own_view", "SELECT * FROM own_view, LATERAL (SELECT id FROM strange_view)",
+    "SELECT * FROM own_view WHERE seq IN (WITH x AS (SELECT id FROM strange_view) SELECT id FROM x)", "SELECT seq, max(seq) OVER (PARTITION BY (SELECT max(id) FROM strange_view)) FROM own_view", "SELECT * FROM IDENTIFIER('strange' || '_view')",
+    "SELECT IDENTIFIER('seq') FROM own_view", "SELECT * FROM own_view WHERE content RLIKE '(a|b)*c'", "SELECT regexp_replace(content, '(?:a.)+', '') FROM own_view", "SELECT content RLIKE content FROM own_view", "SELECT :x", "SELECT ?",
+    "SELECT * FROM own_view LATERAL VIEW java_method('java.lang.System', 'lineSeparator') AS x", "SELECT count(*) FILTER (WHERE reflect('java.lang.System', 'lineSeparator') = '') FROM own_view", "SELECT builtin.version()", "SELECT role FROM own_view WHERE 'humn' = role",
+    "SELECT kind FROM own_view WHERE kind IN ('conversation', 'tool-call')", "SELECT * FROM identifier('strange_view')", "EXECUTE IMMEDIATE 'SELECT 1'", "SHOW TABLES", "EXPLAIN SELECT 1", "SET x = 1", "SELECT input_file_name() FROM own_view", "SELECT 1; SELECT 2", "SELECT no_such_function(1)", "no sql",
 ]
 
 
@@ -60,6 +67,12 @@ ALLOWED = [
     "WITH a AS (SELECT * FROM own_view), b AS (SELECT seq FROM a) SELECT *, row_number() OVER (ORDER BY seq) FROM b WHERE seq IN (SELECT seq FROM own_view) ORDER BY 1 LIMIT 3 OFFSET 0",
     "SELECT role, count(*) FILTER (WHERE seq > 0) FROM own_view GROUP BY ROLLUP (role) HAVING count(*) > 0", "SELECT * FROM own_view m JOIN own_view k USING (seq)", "VALUES (1), (2)", "SELECT * FROM range(3)",
     "SELECT seq, x FROM own_view LATERAL VIEW explode(array(1, 2)) AS x", "SELECT seq FROM own_view UNION ALL SELECT seq FROM own_view EXCEPT SELECT 5L", "TABLE own_view", "SELECT kind FROM own_view WHERE kind = 'conversation'",
+    "SELECT 'kind = ''foo'' and role in (''x'')'", "WITH a AS (SELECT 1 AS x), b AS (SELECT x + 1 AS x FROM a) SELECT * FROM b, a", "WITH own_view AS (SELECT 7 AS x) SELECT x FROM own_view", "WITH RECURSIVE n AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM n WHERE x < 4) SELECT * FROM n",
+    "SELECT m.seq, k.n FROM own_view m, LATERAL (SELECT count(*) AS n FROM own_view k WHERE k.seq < m.seq) k", "SELECT seq FROM own_view WHERE content RLIKE 'a+' OR NOT content LIKE 'x%' OR content ILIKE 'h_%' OR seq NOT BETWEEN 1 AND 2", "SELECT text_regexp('(a|b)*c', content) FROM own_view",
+    "SELECT * FROM (SELECT role, seq FROM own_view) PIVOT (max(seq) FOR role IN ('user', 'assistant'))", "SELECT max(seq) OVER w, sum(seq) OVER (ORDER BY seq ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) FROM own_view WINDOW w AS (PARTITION BY role)",
+    "SELECT CASE WHEN seq > 1 THEN 'a' ELSE 'b' END, coalesce(role, 'x') || 'y', cast(seq AS string), try_cast('a' AS int), array(1, 2)[0], named_struct('a', 1).a, date '2020-01-01' + interval '1' day, extract(year FROM ts), -seq, +seq, seq % 2, seq div 2, current_date FROM own_view",
+    "SELECT filter(array(1, 2), x -> x > 1), trim(both 'x' FROM 'xax'), substring('abc' FROM 2 FOR 1), position('b' IN 'abc'), seq IS DISTINCT FROM 1, content IS NOT NULL, seq & 1, ~seq, percentile_cont(0.5) WITHIN GROUP (ORDER BY seq) OVER () FROM own_view",
+    "SELECT role, kind, count(DISTINCT seq), grouping(role) FROM own_view GROUP BY GROUPING SETS ((role), (kind), ()) ORDER BY ALL", "SELECT DISTINCT role FROM own_view ORDER BY 1 DESC NULLS LAST", "SELECT * EXCEPT (content) FROM own_view", "SELECT seq FROM own_view INTERSECT ALL SELECT 1L",
 ]
 
 
@@ -296,3 +309,9 @@ def test_first_of_each_key_in_a_stream(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     assert sorted(r["user_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [7, 8]
+
+
+def test_schema_names_registered_views_only(spark, guarded):
+    assert {r["table"] for r in sqlapi.schema(spark)} >= {"own_view"} and all(r["table"] != "strange_view" for r in sqlapi.schema(spark))
+    with pytest.raises(sqlapi.SqlRefused):
+        sqlapi.schema(spark, ["strange_view"])

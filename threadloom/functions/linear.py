@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -52,19 +53,35 @@ def spans(pattern: str, texts: pa.Array) -> list[tuple[int, int] | None]:
     return [(len(h), len(h) + len(m)) if ok and m is not None else None for h, m, ok in zip(heads, found, texts.is_valid().to_pylist())]
 
 
+def occurs(pattern: str, texts: pa.Array) -> pa.Array:
+    """Whether the pattern occurs in each text; null text: false."""
+    texts = texts.cast(pa.string())
+    engine = translated(pattern)
+    if engine is not None:
+        return pc.fill_null(pc.match_substring_regex(texts, engine), False)
+    heap = on_heap(pattern)
+    return pa.array([t is not None and heap.search(t, timeout=SECONDS) is not None for t in texts.to_pylist()], pa.bool_())
+
+
+def matches(patterns: pa.Array, texts: pa.Array) -> pa.Array:
+    """``occurs`` row by row, each pattern once over all of its rows; null pattern: false."""
+    coded = patterns.dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(texts), dtype=bool)
+    for code, pattern in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero(codes == code)
+        out[rows] = occurs(pattern, texts.take(pa.array(rows))).to_numpy(zero_copy_only=False)
+    return pa.array(out)
+
+
 def match(pattern: str, text: Column) -> Column:
     """Whether the pattern occurs in the text; null text: false."""
 
     @F.arrow_udf("boolean")
-    def occurs(texts: pa.Array) -> pa.Array:
-        texts = texts.cast(pa.string())
-        engine = translated(pattern)
-        if engine is not None:
-            return pc.fill_null(pc.match_substring_regex(texts, engine), False)
-        heap = on_heap(pattern)
-        return pa.array([t is not None and heap.search(t, timeout=SECONDS) is not None for t in texts.to_pylist()], pa.bool_())
-
-    return occurs(text)
+    def found(texts: pa.Array) -> pa.Array:
+        return occurs(pattern, texts)
+
+    return found(text)
 
 
 def span(pattern: str, text: Column) -> Column:

@@ -488,3 +488,16 @@ def test_nothing_to_learn_from(spark):
     empty = edge_frame(spark, [])
     for out in (Q.score(empty, Q.fit_on(empty, none, F.lit(True))), X.score(empty, X.fit_on(empty, none, F.lit(True))), L.predict(empty, L.fit(empty, F.lit(True)))):
         assert out.count() == 0
+
+
+def test_rows_that_share_an_id_are_rounded_in_groups(spark):
+    """Half without id, half with one id: no group is much larger than asked for, and the words still come near the target."""
+    rows = [(None if i % 2 else 7, f"s{i % 3}" if i % 5 else "s0", 20 + i % 50) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_key long, source string, size long")
+    rated = df.select("source", F.lit(0).cast("bigint").alias("part"), F.monotonically_increasing_id().alias("number"))
+    sizes = [r["count"] for r in M.rounding_groups(rated, 100).groupBy("source", "part", "spread").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == 6000
+    out = M.copies_of(df, group_rows=100).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert len(out) == 3
+    for r in out:
+        assert abs(r["taken"] - r["target"]) < 0.01 * r["target"] and r["most"] <= 3

@@ -15,8 +15,8 @@ Results at the edges: a null or empty text has size 0 and is taken 0 times; a
 source without words has target 0; a null source is a source of its own, the
 last; a document longer than its source's target is taken at most as often as
 the words owed allow; equal rows are rounded alike but for ties, which the row's
-hash and place in its group settle; a null id is an id of its own; no other
-column is read, whatever its name; an empty table gives an empty result.
+hash and place in its group settle; a null id is an id of its own; rows of an id
+that thousands share are rounded in groups dealt out by row; no other column is read, whatever its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,12 +134,25 @@ def round_group(table: pa.Table) -> pa.Table:
     return table.select(["doc_key"]).append_column("copies", pa.array(copies, pa.int64()))
 
 
+def rounding_groups(rated: DataFrame, group_rows: int) -> DataFrame:
+    """``rated`` with ``spread``, by which crowded groups (source, part) are dealt out; ``number`` is used up.
+
+    Rows without id, or with an id that very many share, are one group by their
+    hash; only those are dealt out by row number, others stay by id alone.
+    """
+    crowded = rated.groupBy("source", "part").agg(F.count("*").alias("rows")).filter(F.col("rows") > 4 * group_rows)
+    held = small_side(crowded.select(F.col("source").alias("__s"), F.col("part").alias("__p"), F.ceil(F.col("rows") / F.lit(group_rows)).alias("share")))
+    spread = F.when(F.col("share").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.lit(29), "number"), F.col("share")))
+    joined = rated.join(held, F.col("source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p")), "left")
+    return joined.withColumn("spread", spread).drop("__s", "__p", "share", "number")
+
+
 def copies_of(rows: DataFrame, cap: float = CAP, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Copies of each row; ``rows`` has (doc_key, source, size).
 
     Returns (doc_key, source, size, source_size, target, copies).
     """
-    rows = cut(rows)
+    rows, number = numbered(rows)
     histogram = cut(rows.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     counts = cut(sizes)
@@ -151,8 +164,9 @@ def copies_of(rows: DataFrame, cap: float = CAP, group_rows: int = GROUP_ROWS) -
     rated = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select(
         F.col("r.doc_key"), F.col("r.source"), F.col("r.size"), F.col("p.source_size"), F.col("p.target"),
         F.when(F.col("r.size") > 0, rate).otherwise(0.0).alias("rate"), salt.alias("hash"),
-        F.pmod(salt, F.ceil(F.col("p.n_docs") / F.lit(group_rows))).alias("part"),
+        F.pmod(salt, F.ceil(F.col("p.n_docs") / F.lit(group_rows))).alias("part"), F.col(f"r.{number}").alias("number"),
     )
+    rated = rounding_groups(rated, group_rows)
 
     names = ["doc_key", "source", "size", "source_size", "target", "copies"]
 
@@ -161,7 +175,7 @@ def copies_of(rows: DataFrame, cap: float = CAP, group_rows: int = GROUP_ROWS) -
 
     kinds = dict(rated.dtypes)
     schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names)
-    return rated.groupBy("source", "part").applyInArrow(run, schema)
+    return rated.groupBy("source", "part", "spread").applyInArrow(run, schema)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -207,3 +207,39 @@ def test_trie_join(budget):
     i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= budget)
     brute.link(i, j)
     assert np.array_equal(joined.roots(np.arange(len(values))), brute.roots(np.arange(len(values))))
+
+
+@pytest.mark.parametrize("crowded,together", [(3, 7), (50_000, 1)])
+def test_hot_keys_and_one_partition(spark, monkeypatch, crowded, together):
+    """Nine of ten texts empty, one shuffle partition, and every key counted as crowded: the same classes."""
+    rnd = random.Random(8)
+    words = "a b c d e f g h".split()
+    near = " ".join(rnd.choice(words) for _ in range(300))
+    texts = [""] * 900 + [near] * 30 + [near.replace("a b", f"b {i}", 1) for i in range(30)] + [f"alone {i} " * 30 for i in range(40)]
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts)]
+    for module in (X, H):
+        monkeypatch.setattr(module, "CROWDED_ROWS", crowded)
+    monkeypatch.setattr(H, "TOGETHER", together)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = spark.createDataFrame(rows, SCHEMA)
+        exact = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in X.dedup(df).collect()}
+        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in H.dedup(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert exact == brute_exact(rows)
+    fps = [fingerprint(t) for t in texts]
+    want = brute_components(list(range(len(texts))), fps)
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in range(len(texts))}
+
+
+def test_stored_bytes_decide(spark, tmp_path):
+    """Digests that collide don't make a text of the batch one of the snapshot."""
+    weak = lambda norm: F.substring(F.sha2(norm, 256), 1, 1).cast("binary")
+    old = [(i, f"text {i}", "x", "y") for i in range(40)]
+    new = [(100 + i, f"Text {i}", "x", "y") for i in range(20, 80)]
+    path = str(tmp_path / "weak")
+    X.save_snapshot(spark.createDataFrame(old, SCHEMA), path, bucket_digests=4, digest=weak)
+    got = {r["batch_id"]: r["stored_id"] for r in X.screen_batch(spark, path, spark.createDataFrame(new, SCHEMA), digest=weak).collect()}
+    assert got == {100 + i: i if i < 40 else None for i in range(20, 80)}

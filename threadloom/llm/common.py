@@ -23,6 +23,9 @@ SLICE_BYTES = 6 << 20
 #: Rows of numbers up to which one side of a join is broadcast (some 50 MB).
 BROADCAST_ROWS = 500_000
 
+#: Rows of one key from which a join spreads them over several tasks.
+CROWDED_ROWS = 50_000
+
 #: The characters that end a word: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
@@ -76,6 +79,18 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: st
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def split_join(big: DataFrame, small: DataFrame, key: str, spread: str, crowded: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by ``key``; the keys in ``crowded`` (key), which have very many rows in ``big``, are joined spread, the others plainly.
+
+    Without crowded keys it is the plain join.
+    """
+    if crowded.isEmpty():
+        return big.join(small, key, how)
+    hot = small_side(crowded)
+    cold = big.join(hot, key, "left_anti").join(small, key, how)
+    return cold.unionByName(salted_join(big.join(hot, key, "left_semi"), small.join(hot, key, "left_semi"), key, spread, how))
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

@@ -15,9 +15,9 @@ shuffled for the rows with a repeated digest, which a second filter over the
 repeated digests finds at the scan. That filter is broadcast only while it has
 at most ``SCREEN_DIGESTS`` digests; beyond that, all texts take the join.
 
-``save_snapshot`` writes a snapshot's digests by bucket and its filters once, and
-``screen_batch`` holds any later batch against them; of the snapshot's digests
-only those are shuffled that some positive's filter let through.
+``save_snapshot`` writes a snapshot's texts by bucket and its filters once, and
+``screen_batch`` holds any later batch against them; positives are compared
+with the stored texts byte by byte.
 
 The query deals the table into a snapshot and a batch by the hash of the id and
 merges the groups of both; which rows come first doesn't change the result.
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, documents, numbered, row_numbers, without_rows
+from .common import CROWDED_ROWS, columns_of, cut, documents, numbered, row_numbers, small_side, split_join, without_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -191,35 +191,46 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(run, schema)
 
 
-def save_snapshot(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_digests: int = BUCKET_DIGESTS) -> int:
-    """Write the snapshot ``df`` to the new folder ``path``: (digest, keep_id, n, bucket) and one filter a bucket; returns the buckets."""
+def texts_by_digest(df: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """(digest, norm, last, n): a row for each distinct text, so digests that collide have several."""
+    norm = normalised(F.col(text_col))
     rank = F.struct(F.col(id_col).alias("doc_key"), F.lit(0).cast("bigint").alias("row")).alias("rank")
-    groups = cut(digest_groups(df.select(sha256_digest(normalised(F.col(text_col))).alias("digest"), rank)))
-    buckets = max(1, math.ceil(groups.count() / bucket_digests))
-    placed = groups.select("digest", F.col("last.doc_key").alias("keep_id"), "n", bucket_of(F.col("digest"), buckets).alias("bucket"))
-    placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/digests")
-    build_filters(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+    marked = df.select(norm.alias("norm"), rank).withColumn("digest", digest(F.col("norm")))
+    return marked.groupBy("digest", "norm").agg(F.max("rank").alias("last"), F.count("*").alias("n"))
+
+
+def save_snapshot(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_digests: int = BUCKET_DIGESTS, digest=sha256_digest) -> int:
+    """Write the snapshot ``df`` to the new folder ``path``; returns the number of buckets.
+
+    ``texts`` has (bucket, digest, text, keep_id, n), a row for each distinct text,
+    in the order of buckets, so a reader of few buckets skips the other row groups;
+    ``filters`` has one filter a bucket.
+    """
+    texts = cut(texts_by_digest(df, id_col, text_col, digest))
+    digests = texts.select("digest").distinct()
+    buckets = max(1, math.ceil(digests.count() / bucket_digests))
+    placed = texts.select(bucket_of(F.col("digest"), buckets).alias("bucket"), "digest", F.col("norm").alias("text"), F.col("last.doc_key").alias("keep_id"), "n")
+    placed.repartitionByRange("bucket", "digest").sortWithinPartitions("bucket", "digest").write.parquet(f"{path}/texts")
+    build_filters(digests, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
     return buckets
 
 
-def screen_batch(spark: SparkSession, path: str, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def screen_batch(spark: SparkSession, path: str, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest) -> DataFrame:
     """Per distinct text of the batch: text_sha256, batch_id (largest), n, and stored_id, the snapshot's id of an equal text or null.
 
-    A text that the filters call new needs no look at the snapshot; positives join
-    the snapshot's digests. Equal digests count as equal texts here, for the
-    snapshot's texts are not kept.
+    A text that the filters call new needs no look at the snapshot. Positives join
+    the stored texts of their digest, and their bytes decide.
     """
     filters = spark.read.parquet(f"{path}/filters")
     first = filters.select("buckets").first()
     buckets = first[0] if first else 1
-    rank = F.struct(F.col(id_col).alias("doc_key"), F.lit(0).cast("bigint").alias("row")).alias("rank")
-    own = digest_groups(batch.select(sha256_digest(normalised(F.col(text_col))).alias("digest"), rank)).select("digest", F.col("last.doc_key").alias("batch_id"), "n")
-    screened = cut(screen(own, filters.select("bucket", "filter"), buckets))
-    positive = screened.filter("seen").withColumn("bucket", bucket_of(F.col("digest"), buckets))
-    held = spark.read.schema(f"digest binary, keep_id {dict(own.dtypes)['batch_id']}, n bigint, bucket int").parquet(f"{path}/digests").select("bucket", "digest", F.col("keep_id").alias("stored_id"))
-    exact = positive.join(held, ["bucket", "digest"], "left")
-    new = screened.filter("NOT seen").withColumn("stored_id", F.lit(None).cast(dict(held.dtypes)["stored_id"]))
-    columns = [F.lower(F.hex("digest")).alias("text_sha256"), "batch_id", "n", "stored_id"]
+    own = cut(texts_by_digest(batch, id_col, text_col, digest))
+    screened = cut(screen(own.select("digest").distinct(), filters.select("bucket", "filter"), buckets))
+    positive = small_side(screened.filter("seen").select("digest"))
+    held = spark.read.parquet(f"{path}/texts").select("digest", F.col("text").alias("norm"), F.col("keep_id").alias("stored_id"))
+    exact = own.join(positive, "digest", "left_semi").join(held, ["digest", "norm"], "left")
+    new = own.join(positive, "digest", "left_anti").withColumn("stored_id", F.lit(None).cast(dict(held.dtypes)["stored_id"]))
+    columns = [F.sha2("norm", 256).alias("text_sha256"), F.col("last.doc_key").alias("batch_id"), "n", "stored_id"]
     return exact.select(*columns).unionByName(new.select(*columns))
 
 
@@ -286,7 +297,8 @@ def classes(
     suspects = screen_rows(digested, repeated, screen_digests)
     by_bytes = suspects.groupBy("digest", "norm").agg(F.count("*").alias("n"))
     collided = cut(by_bytes.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"))
-    out = rows.join(groups, "digest").select("row", "doc_key", "digest", "last", "n")
+    crowded = groups.filter(F.col("n") > CROWDED_ROWS).select("digest")
+    out = split_join(rows, groups, "digest", "row", crowded).select("row", "doc_key", "digest", "last", "n")
     if collided.isEmpty():
         return out
     mixed = cut(digested.join(collided, "digest", "left_semi"))

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, documents, numbered, plain_strings, row_numbers, salted_join, text_slices, without_rows
+from .common import CROWDED_ROWS, columns_of, cut, documents, numbered, plain_strings, row_numbers, salted_join, split_join, text_slices, without_rows
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -58,6 +58,9 @@ BITS = 64
 #: Nodes of one subtree that one task takes; more are dealt out again.
 HOT_NODES = 8192
 
+#: Rows of whole subtrees that a task compares at once; a task holds these and one subtree more.
+TOGETHER = 200_000
+
 #: How often hot subtrees are dealt out by blocks of their free bits before they are cut into pages.
 LEVELS = 3
 
@@ -388,10 +391,9 @@ def links(nodes: DataFrame, budget: int = BUDGET, hot_nodes: int = HOT_NODES, le
         else:
             rows = dealt(again, budget)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    names = ["fp", "v", "fixed", "task"]
+
+    def linked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         fp, value = (table[c].to_numpy().view(np.uint64) for c in ("fp", "v"))
         fixed, of = table["fixed"].to_numpy(), table["task"].to_numpy()
@@ -400,7 +402,30 @@ def links(nodes: DataFrame, budget: int = BUDGET, hot_nodes: int = HOT_NODES, le
             a, b = task_forest(fp[own], of[own], value[own], int(shared), budget)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return tasks.repartition("task").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # subtrees come one after the other: held are TOGETHER rows of whole ones and the last, unfinished one
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rows + batch.num_rows > TOGETHER and held:
+                first = batch.column("task")[0].as_py()
+                of = batch.column("task").to_numpy()
+                ends = np.flatnonzero(of != first)
+                # the subtree that goes on from the last batch ends here, if it does
+                if held[-1].column("task")[-1].as_py() != first:
+                    yield from linked(held)
+                    held, rows = [], 0
+                elif len(ends):
+                    yield from linked([*held, batch.slice(0, int(ends[0]))])
+                    held, rows, batch = [], 0, batch.slice(int(ends[0]))
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield from linked(held)
+
+    return tasks.select(names).repartition("task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 # --- components -------------------------------------------------------------
@@ -413,9 +438,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     label; it ends when no edge has two labels.
     """
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"))
+    seen = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n")))
+    labels = seen.select(F.col("a").alias("node"), "root")
+    # each link is there both ways, so a node has as many rows at b as at a; the middle of a star has very many
+    crowded = cut(seen.filter(F.col("n") > CROWDED_ROWS).select(F.col("a").alias("b")))
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        near = split_join(both, labels.select(F.col("node").alias("b"), "root"), "b", "a", crowded).groupBy("a").agg(F.min("root").alias("near"))
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"))
         # what a label learns goes to all that carry it: roots hook to lower roots
         lower = labels.join(hooked.select("node", F.col("root").alias("new")), "node").groupBy(F.col("root").alias("old")).agg(F.min("new").alias("low"))
@@ -437,13 +465,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     marked = cut(fingerprints(rows, keep=("row", "doc_key")))
     # null ids come last
     rank = F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "row")
-    nodes = cut(marked.groupBy("fp").agg(F.min(rank).alias("least")))
+    nodes = cut(marked.groupBy("fp").agg(F.min(rank).alias("least"), F.count("*").alias("n")))
     labels = components(links(nodes.select("fp"), budget))
     rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # single nodes name themselves; one root may stand for a third of the others, so its rows are spread
     shared = rooted.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("nodes")).filter("nodes > 1").select("root", "best")
     named = cut(salted_join(rooted, shared, "root", "fp", "left").select("fp", F.coalesce("best", "least").alias("best")))
-    return marked.join(named, "fp").select("row", "doc_key", "fp", F.col("best.doc_key").alias("component"), F.col("best.row").alias("first_row"))
+    crowded = nodes.filter(F.col("n") > CROWDED_ROWS).select("fp")
+    return split_join(marked, named, "fp", "row", crowded).select("row", "doc_key", "fp", F.col("best.doc_key").alias("component"), F.col("best.row").alias("first_row"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

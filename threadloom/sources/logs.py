@@ -96,21 +96,32 @@ def _exploded(parsed: DataFrame, *arrays: Column) -> DataFrame:
     return parsed.select("path", "line_no", F.explode(F.array_compact(F.concat(*arrays))).alias("e")).select("path", "line_no", "e.*")
 
 
-def _file_sessions(parsed: DataFrame, **columns: Column) -> DataFrame:
-    """A row a file, malformed lines counted; ``columns`` are aggregates."""
+#: How facts of a file's lines are put together: the first one, the least, the greatest.
+_FOLDS = {"first": lambda c: _first(c), "least": F.min, "greatest": F.max}
+
+#: Columns that a file's session has even where the format knows nothing of them.
+_DEFAULTS = (("provider_session_id", "string"), ("title", "string"), ("cwd", "string"), ("created_at", "timestamp"), ("updated_at", "timestamp"), ("parent_session_id", "string"), ("agent_label", "string"))
+
+
+def accumulated(parsed: DataFrame, facts: dict[str, tuple[str, Column]]) -> DataFrame:
+    """A row a file: path, mtime, malformed, line_count, valid_count and ``facts``, name: (how, column)."""
     bad = F.count_if(F.col("v").isNull() & (F.trim("line") != ""))
-    defaults = {c: F.lit(None).cast(k) for c, k in (("title", "string"), ("cwd", "string"), ("created_at", "timestamp"), ("updated_at", "timestamp"), ("parent_session_id", "string"), ("agent_label", "string"))}
-    made = {**defaults, **columns}
-    out = parsed.groupBy("path").agg(
-        F.max("mtime").alias("mtime"),
-        F.when(bad > 0, F.concat(bad.cast("string"), F.lit(" malformed JSONL lines"))).alias("parse_warning"),
-        F.to_json(F.struct(F.count("*").alias("line_count"), F.count("v").alias("valid_record_count"))).alias("raw_metadata_json"),
-        *[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in made.items() if k in columns],
-    )
-    for c in defaults:
-        if c not in columns:
-            out = out.withColumn(c, defaults[c])
-    return out.withColumn("repo_root", F.lit(None).cast("string"))
+    return parsed.groupBy("path").agg(
+        F.max("mtime").alias("mtime"), bad.alias("malformed"), F.count("*").alias("line_count"), F.count("v").alias("valid_count"),
+        *[_FOLDS[how](c).alias(k) for k, (how, c) in facts.items()],
+    )
+
+
+def described(acc: DataFrame) -> DataFrame:
+    """``accumulated`` rows with the warning, the counts as JSON and all columns of a file's session."""
+    warn = F.when(F.col("malformed") > 0, F.concat(F.col("malformed").cast("string"), F.lit(" malformed JSONL lines")))
+    out = acc.withColumns({"parse_warning": warn, "raw_metadata_json": F.to_json(F.struct("line_count", F.col("valid_count").alias("valid_record_count")))})
+    missing = {c: F.lit(None).cast(k) for c, k in _DEFAULTS if c not in acc.columns}
+    return out.withColumns({**missing, "repo_root": F.lit(None).cast("string")}).drop("malformed", "line_count", "valid_count")
+
+
+def _file_sessions(parsed: DataFrame, **facts: tuple[str, Column]) -> DataFrame:
+    return described(accumulated(parsed, facts))
 
 
 def _stem(path: Column) -> Column:
@@ -177,10 +188,27 @@ def _confirmed(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.drop("line_no").join(good, ["path", "id"]).withColumn("ts", F.coalesce("result_ts", "ts"))
 
 
-def claude(spark: SparkSession, path: str) -> Parsed:
+@dataclass
+class Told:
+    """What a line format makes of lines: events, facts of files and how they name sessions, and confirmed file edits."""
+
+    raw: DataFrame
+    events: DataFrame
+    facts: dict[str, tuple[str, Column]]
+    named: Callable[[DataFrame], DataFrame]
+    edits: DataFrame
+
+
+def _whole(told: Told, provider: str) -> Parsed:
+    """Whole files, from what their lines tell."""
+    files = told.named(described(accumulated(told.raw, told.facts)))
+    sessions, messages, transcripts = N.finished(told.events, files, provider)
+    return Parsed(sessions, messages, transcripts, _file_edits(told.edits, _ids(sessions), provider))
+
+
+def claude_lines(raw: DataFrame) -> Told:
     """Anthropic-style session files; files named agent-* or below subagents/ are spawned sessions."""
     v = F.col("v")
-    raw = lines(spark, path)
     ts = time_at(v, "$.timestamp")
     message = F.try_variant_get(v, "$.message", "variant")
     text = F.when(message.isNotNull(), content_text(v, "$.message.content")).otherwise(F.coalesce(trimmed(text_at(v, "$.content")), F.lit("")))
@@ -207,15 +235,14 @@ def claude(spark: SparkSession, path: str) -> Parsed:
     nested = F.regexp_extract("path", r"/([^/]+)/subagents/", 1)
     sub = (nested != "") | F.col("path").rlike(r"/agent-[^/]*\.jsonl$")
     talk = F.when(role.isin("user", "assistant") & ~notice & (F.size(result) == 0), ts)
-    files = _file_sessions(
-        raw, provider_session_id=_first(session_id), cwd=_first(text_at(v, "$.cwd")), created_at=F.min(talk), updated_at=F.max(talk),
-        agent_label=_first(text_at(v, "$.agentId")), title=F.lit(None).cast("string"),
-    )
-    parent = F.when(nested != "", nested).otherwise(F.col("provider_session_id"))
-    files = files.withColumn("parent_session_id", F.when(sub & parent.isNotNull(), F.concat(F.lit("claude:"), parent)))
-    own_id = F.when(sub, F.concat_ws("/", parent, _stem(F.col("path")))).otherwise(F.coalesce("provider_session_id", _stem(F.col("path"))))
-    files = files.withColumns({"provider_session_id": own_id, "agent_label": F.when(sub, F.col("agent_label"))})
-    sessions, messages, transcripts = N.finished(events, files, "claude")
+    facts = {"provider_session_id": ("first", session_id), "cwd": ("first", text_at(v, "$.cwd")), "created_at": ("least", talk), "updated_at": ("greatest", talk), "agent_label": ("first", text_at(v, "$.agentId"))}
+
+    def named(files: DataFrame) -> DataFrame:
+        parent = F.when(nested != "", nested).otherwise(F.col("provider_session_id"))
+        files = files.withColumn("parent_session_id", F.when(sub & parent.isNotNull(), F.concat(F.lit("claude:"), parent)))
+        own_id = F.when(sub, F.concat_ws("/", parent, _stem(F.col("path")))).otherwise(F.coalesce("provider_session_id", _stem(F.col("path"))))
+        return files.withColumns({"provider_session_id": own_id, "agent_label": F.when(sub, F.col("agent_label"))})
+
     blocks = raw.select("path", "line_no", ts.alias("ts"), F.posexplode(array_at(v, "$.message.content")).alias("part", "b"))
     calls = blocks.filter(text_at(F.col("b"), "$.type") == "tool_use").select(
         "path", "line_no", "part", "ts", text_at(F.col("b"), "$.id").alias("id"), text_at(F.col("b"), "$.name").alias("tool"), _edit_payload(text_at(F.col("b"), "$.name"), F.col("b"), "$.input").alias("m")
@@ -223,8 +250,11 @@ def claude(spark: SparkSession, path: str) -> Parsed:
     results = blocks.filter(text_at(F.col("b"), "$.type") == "tool_result").select(
         "path", "line_no", "ts", text_at(F.col("b"), "$.tool_use_id").alias("id"), F.try_variant_get(F.col("b"), "$.is_error", "boolean").alias("is_error")
     )
-    done = _confirmed(calls.filter("m IS NOT NULL").select("path", "line_no", "part", "ts", "id", "tool", "m.*"), results)
-    return Parsed(sessions, messages, transcripts, _file_edits(done, _ids(sessions), "claude"))
+    return Told(raw, events, facts, named, _confirmed(calls.filter("m IS NOT NULL").select("path", "line_no", "part", "ts", "id", "tool", "m.*"), results))
+
+
+def claude(spark: SparkSession, path: str) -> Parsed:
+    return _whole(claude_lines(lines(spark, path)), "claude")
 
 
 #: Beginnings of user rows that a program put there.
@@ -233,10 +263,9 @@ _INJECTED = (
 )
 
 
-def codex(spark: SparkSession, path: str) -> Parsed:
+def codex_lines(raw: DataFrame) -> Told:
     """Rollout files: session_meta first, then response items with calls and their outputs."""
     v = F.col("v")
-    raw = lines(spark, path)
     ts, kind = time_at(v, "$.timestamp"), text_at(v, "$.payload.type")
     item = text_at(v, "$.type") == "response_item"
     raw = raw.withColumns({"__ts": ts, "__kind": kind, "__role": text_at(v, "$.payload.role"), "__text": content_text(v, "$.payload.content")})
@@ -261,14 +290,16 @@ def codex(spark: SparkSession, path: str) -> Parsed:
     meta = text_at(v, "$.type") == "session_meta"
     spawn = F.try_parse_json(text_at(v, "$.payload.source"))
     ended = F.when(item & ((kind == "message") | is_output), ts)
-    files = _file_sessions(
-        raw, provider_session_id=_first(F.when(meta, text_at(v, "$.payload.id"))), cwd=_first(F.when(meta, text_at(v, "$.payload.cwd"))),
-        created_at=_first(F.when(meta, time_at(v, "$.payload.timestamp"))), updated_at=F.max(ended),
-        parent_session_id=F.concat(F.lit("codex:"), _first(F.when(meta, text_at(spawn, "$.subagent.thread_spawn.parent_thread_id")))),
-        agent_label=_first(F.when(meta, F.coalesce(text_at(spawn, "$.subagent.thread_spawn.agent_nickname"), text_at(spawn, "$.subagent.other")))),
-    )
-    files = files.withColumn("provider_session_id", F.coalesce("provider_session_id", _stem(F.col("path"))))
-    sessions, messages, transcripts = N.finished(events, files, "codex")
+    facts = {
+        "provider_session_id": ("first", F.when(meta, text_at(v, "$.payload.id"))), "cwd": ("first", F.when(meta, text_at(v, "$.payload.cwd"))),
+        "created_at": ("first", F.when(meta, time_at(v, "$.payload.timestamp"))), "updated_at": ("greatest", ended),
+        "parent_session_id": ("first", F.concat(F.lit("codex:"), F.when(meta, text_at(spawn, "$.subagent.thread_spawn.parent_thread_id")))),
+        "agent_label": ("first", F.when(meta, F.coalesce(text_at(spawn, "$.subagent.thread_spawn.agent_nickname"), text_at(spawn, "$.subagent.other")))),
+    }
+
+    def named(files: DataFrame) -> DataFrame:
+        return files.withColumn("provider_session_id", F.coalesce("provider_session_id", _stem(F.col("path"))))
+
     patch = F.coalesce(text_at(v, "$.payload.input"), text_at(F.try_parse_json(args_text), "$.input"), text_at(F.try_parse_json(args_text), "$.patch"))
     staged = raw.filter(item & is_call & (name == "apply_patch")).select("path", "line_no", ts.alias("ts"), call_id.alias("id"), F.lit("apply_patch").alias("tool"), F.posexplode(N.patch_files(patch)).alias("part", "f"))
     out = F.coalesce(F.try_parse_json(text_at(v, "$.payload.output")), F.try_variant_get(v, "$.payload.output", "variant"))
@@ -278,8 +309,11 @@ def codex(spark: SparkSession, path: str) -> Parsed:
     rendered = plain.startswith("Exit code: 0\n") & plain.contains("\nOutput:\nSuccess. Updated the following files:")
     ok = F.coalesce(F.when(code.isNotNull(), structured).otherwise(rendered), F.lit(False))
     results = raw.filter(item & is_output).select("path", "line_no", ts.alias("ts"), call_id.alias("id"), (~ok).alias("is_error"))
-    done = _confirmed(staged.select("path", "line_no", "part", "ts", "id", "tool", "f.file_path", "f.new_content"), results)
-    return Parsed(sessions, messages, transcripts, _file_edits(done, _ids(sessions), "codex"))
+    return Told(raw, events, facts, named, _confirmed(staged.select("path", "line_no", "part", "ts", "id", "tool", "f.file_path", "f.new_content"), results))
+
+
+def codex(spark: SparkSession, path: str) -> Parsed:
+    return _whole(codex_lines(lines(spark, path)), "codex")
 
 
 def cursor(spark: SparkSession, path: str) -> Parsed:
@@ -302,7 +336,7 @@ def cursor(spark: SparkSession, path: str) -> Parsed:
     events = _exploded(raw, F.coalesce(calls, F.array().cast("array<struct<part:int,role:string,kind:string,ts:timestamp,tool_name:string,tool_call_id:string,content:string,authorship:string,authority:string,event_id:string,in_transcript:boolean>>")), F.array(own))
     parent = F.regexp_extract("path", r"/([^/]+)/subagents/", 1)
     folder = F.regexp_extract("path", r"/projects/([^/]+)/", 1)
-    files = _file_sessions(raw, provider_session_id=F.max(F.lit("")), updated_at=F.max("mtime"))
+    files = _file_sessions(raw, updated_at=("greatest", F.col("mtime")))
     own_id = F.when(parent != "", F.concat_ws("/", parent, _stem(F.col("path")))).otherwise(_stem(F.col("path")))
     files = files.withColumns(
         {
@@ -348,7 +382,7 @@ def antigravity(spark: SparkSession, path: str) -> Parsed:
     )
     events = _exploded(raw, F.array(own), calls)
     cwd = F.try_element_at(F.array_compact(F.transform(array_at(v, "$.tool_calls"), lambda c: F.coalesce(text_at(c, "$.args.Cwd"), text_at(c, "$.args.cwd")))), F.lit(1))
-    files = _file_sessions(raw, provider_session_id=F.max(F.lit("")), cwd=_first(cwd), created_at=F.min(ts), updated_at=F.max(ts))
+    files = _file_sessions(raw, cwd=("first", cwd), created_at=("least", ts), updated_at=("greatest", ts))
     files = files.withColumn("provider_session_id", F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+/[^/]+$", 1))
     sessions, messages, transcripts = N.finished(events, files, "antigravity")
     n = F.length("content")
@@ -359,10 +393,9 @@ def antigravity(spark: SparkSession, path: str) -> Parsed:
     return Parsed(sessions, messages, transcripts, empty)
 
 
-def pi(spark: SparkSession, path: str, provider: str = "pi") -> Parsed:
+def pi_lines(raw: DataFrame, provider: str = "pi") -> Told:
     """Session header, then messages whose calls are toolCall blocks and whose results are rows of their own."""
     v = F.col("v")
-    raw = lines(spark, path)
     ts, kind, role = time_at(v, "$.timestamp"), text_at(v, "$.type"), text_at(v, "$.message.role")
     text = content_text(v, "$.message.content")
     event = {"part": F.lit(10_000), "ts": ts, "authority": F.lit(provider), "event_id": F.when(F.trim(text_at(v, "$.id")) != "", text_at(v, "$.id"))}
@@ -381,9 +414,11 @@ def pi(spark: SparkSession, path: str, provider: str = "pi") -> Parsed:
     events = _exploded(raw, calls, F.array(own))
     head, talk = kind == "session", F.when((kind == "session") | ((kind == "message") & role.isin("user", "assistant") & (text != "")), ts)
     ended = F.when((kind == "message") & role.isin("user", "assistant", "toolResult") & (text != ""), ts)
-    files = _file_sessions(raw, provider_session_id=_first(F.when(head, text_at(v, "$.id"))), cwd=_first(F.when(head, text_at(v, "$.cwd"))), created_at=F.min(talk), updated_at=F.max(ended))
-    files = files.withColumn("provider_session_id", F.coalesce("provider_session_id", _stem(F.col("path"))))
-    sessions, messages, transcripts = N.finished(events, files, provider)
+    facts = {"provider_session_id": ("first", F.when(head, text_at(v, "$.id"))), "cwd": ("first", F.when(head, text_at(v, "$.cwd"))), "created_at": ("least", talk), "updated_at": ("greatest", ended)}
+
+    def named(files: DataFrame) -> DataFrame:
+        return files.withColumn("provider_session_id", F.coalesce("provider_session_id", _stem(F.col("path"))))
+
     b = F.col("b")
     name = F.lower(text_at(b, "$.name"))
     path_of = F.coalesce(text_at(b, "$.arguments.path"), text_at(b, "$.arguments.file_path"))
@@ -394,7 +429,11 @@ def pi(spark: SparkSession, path: str, provider: str = "pi") -> Parsed:
     )
     error = F.coalesce(F.try_variant_get(v, "$.message.isError", "boolean"), F.lit(True))
     results = raw.filter(result).select("path", "line_no", ts.alias("ts"), text_at(v, "$.message.toolCallId").alias("id"), error.alias("is_error"))
-    return Parsed(sessions, messages, transcripts, _file_edits(_confirmed(staged, results), _ids(sessions), provider))
+    return Told(raw, events, facts, named, _confirmed(staged, results))
+
+
+def pi(spark: SparkSession, path: str, provider: str = "pi") -> Parsed:
+    return _whole(pi_lines(lines(spark, path), provider), provider)
 
 
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -427,7 +466,7 @@ def gemini_cli(spark: SparkSession, path: str) -> Parsed:
     outcome = lambda c: F.coalesce(F.when(F.trim(text_at(c, "$.resultDisplay")) != "", trimmed(text_at(c, "$.resultDisplay"))), text_at(response(c), "$.functionResponse.response.output"), json_at(response(c), "$.functionResponse.response.output"))
     results = F.transform(calls, lambda c, i: F.when(outcome(c).isNotNull(), _event(part=2 * i + 2, role=F.lit("tool"), kind=F.lit("tool_result"), ts=at(c), tool_name=text_at(c, "$.name"), tool_call_id=text_at(c, "$.id"), content=outcome(c))))
     events = _exploded(turns, F.array(own), made, results)
-    files = _file_sessions(raw, provider_session_id=_first(text_at(v, "$.sessionId")), created_at=_first(time_at(v, "$.startTime")), updated_at=_first(time_at(v, "$.lastUpdated")))
+    files = _file_sessions(raw, provider_session_id=("first", text_at(v, "$.sessionId")), created_at=("first", time_at(v, "$.startTime")), updated_at=("first", time_at(v, "$.lastUpdated")))
     named = F.try_to_timestamp(F.nullif(F.regexp_extract("path", r"session-(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
     files = files.withColumns({"provider_session_id": F.coalesce("provider_session_id", _stem(F.col("path"))), "created_at": F.coalesce("created_at", named)})
     sessions, messages, transcripts = N.finished(events, files, "gemini_cli")
@@ -448,7 +487,7 @@ def aistudio(spark: SparkSession, path: str) -> Parsed:
     )
     whole = F.array(F.when(md & (F.trim("line") != ""), _event(part=F.lit(0), role=F.lit("user"), content=F.col("line"), in_transcript=F.lit(True))))
     events = _exploded(raw, F.when(md, whole).otherwise(chunks))
-    files = _file_sessions(raw, provider_session_id=F.max(F.lit("")))
+    files = _file_sessions(raw)
     files = files.withColumns({"provider_session_id": N.file_name(F.col("path")), "parse_warning": F.when(F.lower("path").endswith(".md"), F.lit(None)).otherwise(F.col("parse_warning"))})
     sessions, messages, transcripts = N.finished(events, files, "aistudio")
     return Parsed(sessions, messages, transcripts, spark.createDataFrame([], FILE_EDITS))
@@ -460,6 +499,10 @@ PARSERS: dict[str, Callable[[SparkSession, str], Parsed]] = {
 }
 
 
+#: Formats of lines that only ever grow, which can be parsed from a byte offset.
+LINE_FORMATS: dict[str, Callable[[DataFrame], Told]] = {"claude": claude_lines, "codex": codex_lines, "pi": pi_lines, "prime_agent": lambda raw: pi_lines(raw, "prime_agent")}
+
+
 def union(parsed: list[Parsed]) -> Parsed:
     """Several formats' rows together."""
     out = parsed[0]

@@ -168,12 +168,23 @@ def finished(events: DataFrame, sessions: DataFrame, provider: str) -> tuple[Dat
     updated_at, mtime, parse_warning, parent_session_id, agent_label, title.
     """
     from ..sources.sinks import transcripts
+
+    rows = sequenced(with_tool_names(events))
+    summed = titles(events).join(rows.groupBy("path").agg(F.count("*").alias("message_count")), "path", "full")
+    made, messages, said = stored_rows(rows, sessions.join(summed, "path", "left"), provider)
+    return made, messages, transcripts(said)
+
+
+def grown(events: DataFrame, since: DataFrame) -> DataFrame:
+    """Events from line ``from_line`` on, numbered from ``next_seq``; earlier ones only name tools."""
+    named = with_tool_names(events).join(since.select("path", "from_line", "next_seq"), "path").filter(F.col("line_no") >= F.col("from_line"))
+    return sequenced(named).withColumn("seq", F.col("seq") + F.col("next_seq")).drop("from_line", "next_seq")
+
+
+def stored_rows(seqd: DataFrame, base: DataFrame, provider: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, messages, the transcript's messages) of numbered events and files with their first and last user texts and message_count."""
     from ..sources.tables import MESSAGES, SESSIONS, shaped
 
-    named = with_tool_names(events)
-    seqd = sequenced(named)
-    counts = seqd.groupBy("path").agg(F.count("*").alias("message_count"))
-    base = sessions.join(titles(events), "path", "left").join(counts, "path", "left")
     made = base.select(
         F.concat(F.lit(f"{provider}:"), "provider_session_id").alias("id"),
         "path",
@@ -213,8 +224,7 @@ def finished(events: DataFrame, sessions: DataFrame, provider: str) -> tuple[Dat
         "in_transcript",
     )
     # only what a person and the model said to one another is in the transcript
-    lines = transcripts(messages.filter("in_transcript"))
-    return shaped(dated, SESSIONS), shaped(dated_events(messages, dated), MESSAGES), lines
+    return shaped(dated, SESSIONS), shaped(dated_events(messages, dated), MESSAGES), messages.filter("in_transcript")
 
 
 def file_name(path: Column) -> Column:

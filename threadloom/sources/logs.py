@@ -169,13 +169,13 @@ def _edit_payload(name: Column, b: Column, at: str) -> Column:
     return F.when(made["file_path"].isNotNull(), made)
 
 
-def _file_edits(mutations: DataFrame, ids: DataFrame, provider: str) -> DataFrame:
-    """Numbered edits of rows (path, line_no, part, ts, tool, file_path, new_content, edits)."""
+def _file_edits(mutations: DataFrame, ids: DataFrame, provider: str, first: str | None = None) -> DataFrame:
+    """Numbered edits of rows (path, line_no, part, ts, tool, file_path, new_content, edits), from 0 or from what the column ``first`` of ``ids`` says."""
     from pyspark.sql import Window
 
     seq = (F.row_number().over(Window.partitionBy("path").orderBy("line_no", "part")) - 1).cast("bigint")
-    named = mutations.withColumns({"seq": seq, "file_name": N.file_name(F.col("file_path")), "provider": F.lit(provider)})
-    return shaped(named.join(ids, "path"), FILE_EDITS)
+    named = mutations.withColumns({"seq": seq, "file_name": N.file_name(F.col("file_path")), "provider": F.lit(provider)}).join(ids, "path")
+    return shaped(named.withColumn("seq", F.col("seq") + F.col(first)) if first else named, FILE_EDITS)
 
 
 def _ids(sessions: DataFrame) -> DataFrame:

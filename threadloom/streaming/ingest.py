@@ -1,17 +1,27 @@
-"""Incremental ingest: what changed since last time, and its sessions replaced as wholes.
-
-State is a table of files seen (path, time, size, parser version). A refresh
-compares it with the folder, parses the new and changed files, and replaces their
-sessions in tables dealt out by session; files that have vanished keep their
-rows. The result is the one a full parse gives, because a changed file is parsed
-anew and a session is replaced whole.
-
-Nothing that is stored is ever overwritten. A refresh writes the buckets it
-touches into folders of its own and then one manifest, which names the folders
-of all tables; the manifest with the highest number is the store. So all tables
-change at once, a run that dies leaves no trace but unused folders, of two runs
-at a time the second fails instead of losing the first one's rows, and a reader
-that holds a manifest's number (``snapshot``) sees the same rows in every step.
+"""Incremental ingest: what changed since last time, and only that written.
+
+State is a table of files seen: time, size, parser version and, for logs of lines,
+the bytes parsed, the head's fingerprint and what the lines so far said of their
+session. A refresh compares it with the folder. A log that grew is parsed from
+its last byte on (``sources.tail``), its new rows are appended and its session's
+row is replaced; a new file, one whose head changed or that shrank is parsed as a
+whole and its sessions are replaced; files that have vanished keep their rows.
+The result is the one a full parse gives. Lists of files and their state stay in
+tables; only the names of files of whole documents come to the driver, where
+Spark's reader keeps them as well.
+
+The store is layers, merged when read. A refresh writes one layer: for each table
+the new rows, and the keys (sessions, files) whose older rows are dead. A row is
+seen unless its key died in a later layer. When there are FANOUT layers of a size
+they are merged into one, so a row is written anew a few times in all, and what a
+refresh writes is in proportion to what changed.
+
+Nothing that is stored is ever overwritten. A layer's folders are its own, and
+one manifest names the layers of all tables; the manifest with the highest number
+is the store. So all tables change at once, a run that dies leaves no trace but
+unused folders, of two runs at a time the second fails instead of losing the
+first one's rows, and a reader that holds a manifest's number (``snapshot``) sees
+the same rows in every step.
 
 ``follow`` does the same for a folder that gets new files, as a stream: Spark's
 checkpoint knows the files it has taken, and every micro-batch is one refresh
@@ -21,24 +31,43 @@ of the same store, files seen included.
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import logs
-from ..sources.tables import FILE_EDITS, MESSAGES, SESSIONS, TRANSCRIPTS
+from ..operators import normalize as N
+from ..sources import logs, tail
+from ..sources.session import cut
+from ..sources.sinks import transcripts
+from ..sources.tables import FILE_EDITS, MESSAGES, SESSIONS, shaped
 
-SEEN = "provider string, source_path string, mtime timestamp, size_bytes bigint, parse_version string"
-BUCKETS = 64
+#: What is known of a file's lines so far; null for files of whole documents.
+PROGRESS = (
+    "session_id string, parsed_bytes bigint, head string, next_seq bigint, next_edit bigint, undated bigint, first_user string, last_user string, "
+    "malformed bigint, line_count bigint, valid_count bigint, provider_session_id string, cwd string, created_at timestamp, updated_at timestamp, parent_session_id string, agent_label string"
+)
+SEEN = f"provider string, source_path string, mtime timestamp, size_bytes bigint, parse_version string, {PROGRESS}"
 
 #: Raised when a parser's rows change, so that files it parsed before are parsed again.
-PARSE_VERSION = "1"
+PARSE_VERSION = "2"
+
+#: A transcript is stored in pieces, one for each time its session grew.
+PIECES = "session_id string, seq bigint, transcript_text string"
+
+TABLES = {"sessions": (SESSIONS, "id"), "messages": (MESSAGES, "session_id"), "transcripts": (PIECES, "session_id"), "file_edits": (FILE_EDITS, "session_id"), "files_seen": (SEEN, "source_path")}
 
-TABLES = {"sessions": (SESSIONS, "id"), "messages": (MESSAGES, "session_id"), "transcripts": (TRANSCRIPTS, "session_id"), "file_edits": (FILE_EDITS, "session_id")}
+#: So many layers of a size are merged; sizes grow by the same factor from SMALL_BYTES on.
+FANOUT = 4
+SMALL_BYTES = 16 << 20
+
+#: Dead keys up to which they are broadcast to a reader (some 50 MB).
+BROADCAST_DEAD = 500_000
 
 
 #: File names of the formats that are not JSON lines or JSON alone.
@@ -66,13 +95,7 @@ def changes(discovered: DataFrame, seen: DataFrame) -> DataFrame:
     return discovered.join(old, ["provider", "source_path"], "left").withColumn("state", state).drop("__mtime", "__size", "__version")
 
 
-def merged_seen(discovered: DataFrame, seen: DataFrame) -> DataFrame:
-    """The files seen after a refresh; vanished ones stay."""
-    gone = seen.join(discovered.select("provider", "source_path"), ["provider", "source_path"], "left_anti")
-    return gone.unionByName(discovered.select(*gone.columns))
-
-
-# --- the store: immutable folders and numbered manifests ---------------------
+# --- the store: layers and numbered manifests ---------------------------------
 
 
 def _fs(spark: SparkSession, path: str):
@@ -94,24 +117,45 @@ def snapshot(spark: SparkSession, store: str) -> int:
     return max(manifests(spark, store), default=0)
 
 
-def manifest(spark: SparkSession, store: str, at: int | None = None) -> dict[str, dict[str, str]]:
-    """By table, the folder of each bucket."""
+@dataclass
+class Part:
+    """A table's share of a layer: the folder of its rows, and of the keys whose older rows are dead."""
+
+    rows: str | None = None
+    bytes: int = 0
+    dead: str | None = None
+    dead_rows: int = 0
+
+
+@dataclass
+class Layer:
+    number: int
+    parts: dict[str, Part] = field(default_factory=dict)
+
+    @property
+    def level(self) -> int:
+        size = sum(p.bytes for p in self.parts.values())
+        return 0 if size < SMALL_BYTES else 1 + int(math.log(size / SMALL_BYTES, FANOUT))
+
+
+def manifest(spark: SparkSession, store: str, at: int | None = None) -> list[Layer]:
+    """The layers of a manifest, oldest first."""
     at = snapshot(spark, store) if at is None else at
     if not at:
-        return {}
+        return []
     row = spark.read.text(f"{store}/_manifests/{at:010d}.json", wholetext=True).first()
-    return json.loads(row[0])
+    return [Layer(x["number"], {k: Part(**p) for k, p in x["parts"].items()}) for x in json.loads(row[0])]
 
 
-def publish(spark: SparkSession, store: str, held: dict[str, dict[str, str]], after: int) -> int:
-    """Make ``held`` the store, if ``after`` is still its manifest; raises FileExistsError if another run was faster.
+def publish(spark: SparkSession, store: str, held: list[Layer], after: int) -> int:
+    """Make the layers ``held`` the store, if ``after`` is still its manifest; raises FileExistsError if another run was faster.
 
     The file is written under a name of its own and renamed, so nobody reads half of it.
     """
     fs, target = _fs(spark, f"{store}/_manifests/{after + 1:010d}.json")
     _, aside = _fs(spark, f"{store}/_manifests/_{uuid.uuid4().hex}")
     out = fs.create(aside, False)
-    out.write(json.dumps(held, sort_keys=True).encode())
+    out.write(json.dumps([asdict(x) for x in held], sort_keys=True).encode())
     out.close()
     if fs.exists(target) or not fs.rename(aside, target):
         fs.delete(aside, False)
@@ -119,68 +163,220 @@ def publish(spark: SparkSession, store: str, held: dict[str, dict[str, str]], af
     return after + 1
 
 
+def visible(spark: SparkSession, layers: list[Layer], name: str) -> DataFrame:
+    """A table's rows in these layers, without those whose key died in a later one of them; with ``layer``."""
+    schema, key = TABLES[name]
+    parts = [x.parts[name] for x in layers if name in x.parts]
+    folders = [p.rows for p in parts if p.rows]
+    if not folders:
+        return spark.createDataFrame([], f"{schema}, layer bigint")
+    rows = spark.read.schema(f"{schema}, layer bigint").parquet(*folders)
+    if any(p.dead for p in parts):
+        dead = spark.read.schema("key string, layer bigint").parquet(*[p.dead for p in parts if p.dead]).groupBy("key").agg(F.max("layer").alias("__dead"))
+        dead = F.broadcast(dead) if sum(p.dead_rows for p in parts) <= BROADCAST_DEAD else dead
+        alive = F.col("__dead").isNull() | (F.col("layer") >= F.col("__dead"))
+        rows = rows.join(dead.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left").filter(alive).drop("__key", "__dead")
+    return rows
+
+
 def stored(spark: SparkSession, store: str, name: str, at: int | None = None) -> DataFrame:
     """A table of the store, by default the present one; empty before the first refresh."""
-    schema = SEEN if name == "files_seen" else TABLES[name][0]
-    folders = sorted(set(manifest(spark, store, at).get(name, {}).values()))
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*folders)
+    rows = visible(spark, manifest(spark, store, at), name).drop("layer")
+    if name != "transcripts":
+        return rows
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "transcript_text")))
+    return rows.groupBy("session_id").agg(F.array_join(F.transform(pieces, lambda x: x["transcript_text"]), "\n\n").alias("transcript_text"))
+
 
+def _written(spark: SparkSession, rows: DataFrame, place: str, *keys: str) -> int:
+    """Rows dealt out and sorted by key; Spark's adaptive plan makes as many files as their size asks for. Returns the bytes."""
+    rows.repartition(keys[0]).sortWithinPartitions(*keys).write.parquet(place)
+    fs, folder = _fs(spark, place)
+    return fs.getContentSummary(folder).getLength()
 
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
+def write_layer(spark: SparkSession, store: str, number: int, rows: dict[str, DataFrame], dead: dict[str, DataFrame], dead_layer: bool = True) -> Layer:
+    """A layer of ``rows`` and ``dead`` keys (key) by table; empty parts are left out."""
+    run = f"layer-{number:010d}-{uuid.uuid4().hex[:8]}"
+    out = Layer(number)
+    for name, (schema, key) in TABLES.items():
+        part = Part()
+        if name in rows:
+            place = f"{store}/{name}/{run}"
+            order = [key, "seq"] if " seq bigint" in schema else [key]
+            part.bytes = _written(spark, rows[name].withColumn("layer", F.lit(number).cast("bigint")), place, *order)
+            part.rows = place
+        if name in dead:
+            place = f"{store}/_dead/{name}/{run}"
+            part.bytes += _written(spark, dead[name].select("key").distinct().withColumn("layer", F.lit(number).cast("bigint")), place, "key")
+            part.dead, part.dead_rows = place, spark.read.parquet(place).count()
+        if part.rows or part.dead:
+            out.parts[name] = part
+    return out
+
+
+def merged(spark: SparkSession, store: str, layers: list[Layer], oldest: bool) -> Layer:
+    """Several neighbouring layers as one; what died in the ``oldest`` ones needs no more mention."""
+    rows = {name: visible(spark, layers, name).drop("layer") for name in TABLES if any(name in x.parts and x.parts[name].rows for x in layers)}
+    dead = {}
+    for name in TABLES:
+        folders = [x.parts[name].dead for x in layers if name in x.parts and x.parts[name].dead]
+        if folders and not oldest:
+            dead[name] = spark.read.schema("key string, layer bigint").parquet(*folders)
+    return write_layer(spark, store, layers[-1].number, rows, dead)
+
+
+def due(layers: list[Layer], fanout: int = FANOUT) -> int | None:
+    """From which layer on all are to be merged: the last ones, if ``fanout`` of a size are among them."""
+    for level in range(max((x.level for x in layers), default=-1) + 1):
+        first = len(layers)
+        while first and layers[first - 1].level <= level:
+            first -= 1
+        if sum(x.level == level for x in layers[first:]) >= fanout:
+            return first
+    return None
+
+
+def merge_due(spark: SparkSession, store: str, fanout: int = FANOUT) -> int:
+    """Merge layers for as long as any are due; returns the present manifest's number."""
+    at = snapshot(spark, store)
+    layers = manifest(spark, store, at)
+    while (first := due(layers, fanout)) is not None:
+        layers = layers[:first] + [merged(spark, store, layers[first:], first == 0)]
+        at = publish(spark, store, layers, at)
+    return at
+
+
+def compact(spark: SparkSession, store: str) -> int:
+    """All layers as one; returns the new manifest's number."""
+    at = snapshot(spark, store)
+    layers = manifest(spark, store, at)
+    return publish(spark, store, [merged(spark, store, layers, True)] if layers else [], at)
 
-def replaced_buckets(spark: SparkSession, store: str, name: str, fresh: DataFrame, ids: DataFrame, held: dict[str, dict[str, str]], run: str) -> dict[str, str]:
-    """Folders of a table in which the sessions ``ids`` (session_id) are replaced by ``fresh``; only their buckets are written."""
-    key = TABLES[name][1]
-    old = held.get(name, {})
-    touched = sorted(r[0] for r in ids.select(_bucket("session_id").alias("b")).distinct().collect())  # at most BUCKETS numbers
-    folders = [old[str(b)] for b in touched if str(b) in old]
-    rows = fresh
-    if folders:
-        kept = spark.read.schema(TABLES[name][0]).parquet(*folders).join(ids.select(F.col("session_id").alias(key)), key, "left_anti")
-        rows = kept.select(*fresh.columns).unionByName(fresh)
-    place = f"{store}/{name}/{run}"
-    rows.withColumn("bucket", _bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(place)
-    fs, _ = _fs(spark, place)
-    made = {str(b): f"{place}/bucket={b}" for b in touched if fs.exists(_fs(spark, f"{place}/bucket={b}")[1])}
-    return {b: f for b, f in old.items() if int(b) not in touched} | made
 
+# --- one refresh ----------------------------------------------------------------
 
-def parse_files(spark: SparkSession, provider: str, paths: list[str]) -> logs.Parsed:
-    """The given files alone, through the format's parser."""
-    return logs.PARSERS[provider](spark, paths)
 
+def _folded(how: str, old: Column, new: Column) -> Column:
+    return {"first": F.coalesce(old, new), "least": F.least(old, new), "greatest": F.greatest(old, new)}[how]
 
-def apply(spark: SparkSession, provider: str, paths: list[str], store: str, found: DataFrame) -> int:
-    """Parse files, replace their sessions and note the files ``found`` as seen, all in one new manifest; returns its number.
 
-    A session that a file no longer names goes with it.
+@dataclass
+class Delta:
+    """What one refresh adds: rows by table, and keys whose older rows die."""
+
+    rows: dict[str, DataFrame]
+    dead: dict[str, DataFrame]
+
+
+def lines_delta(spark: SparkSession, provider: str, work: DataFrame, store: str, at: int) -> Delta:
+    """Logs of lines: ``work`` has the columns of SEEN, what is known of each file, and ``again``, true for those to be parsed as a whole.
+
+    Lines are parsed once: they are cut as variants, which all tables are made from.
+    """
+    known = work.withColumnsRenamed({"source_path": "path", "size_bytes": "size", "head": "known_head"})
+    probed = tail.probe(known)
+    goes_on = F.coalesce(~F.col("again") & F.col("same_head") & (F.col("size") >= F.col("parsed_bytes")) & (F.col("undated") == 0) & F.col("provider_session_id").isNotNull(), F.lit(False))
+    since = cut(
+        probed.withColumn("goes_on", goes_on).withColumns(
+            {"from_line": F.when(F.col("goes_on"), F.col("parsed_bytes")).otherwise(0), **{c: F.when(F.col("goes_on"), F.col(c)).otherwise(0) for c in ("next_seq", "next_edit")}}
+        )
+    )
+    ranges = since.filter("problem IS NULL AND complete > from_line").select("path", "mtime", F.greatest(F.col("from_line") - tail.OVERLAP_BYTES, F.lit(0)).alias("start"), F.col("complete").alias("end"))
+    read = tail.lines(ranges)
+    raw = cut(read.withColumn("line", F.when(F.col("v").isNull(), F.trim("line")).otherwise("")))
+    told = logs.LINE_FORMATS[provider](raw)
+    events = cut(N.grown(told.events, since))
+    new = told.raw.join(since.select("path", "from_line"), "path").filter("line_no >= from_line")
+    acc = logs.accumulated(new, told.facts).alias("n")
+    summed = N.titles(events).join(events.groupBy("path").agg(F.count("*").alias("n_events"), F.count_if(F.col("ts").isNull()).alias("n_undated")), "path", "full")
+    old = since.alias("o")
+    before = lambda c: F.when(F.col("o.goes_on"), F.col(f"o.{c}"))
+    both = acc.join(old, "path").join(summed.alias("s"), "path", "left")
+    files = cut(
+        both.select(
+            "path", F.col("n.mtime").alias("mtime"),
+            *[(F.coalesce(before(c), F.lit(0)) + F.col(f"n.{c}")).alias(c) for c in ("malformed", "line_count", "valid_count")],
+            *[_folded(how, before(c), F.col(f"n.{c}")).alias(c) for c, (how, _) in told.facts.items()],
+            F.coalesce(before("first_user"), F.col("s.first_user")).alias("first_user"), F.coalesce(F.col("s.last_user"), before("last_user")).alias("last_user"),
+            (F.col("o.next_seq") + F.coalesce("s.n_events", F.lit(0))).alias("message_count"), F.coalesce("s.n_undated", F.lit(0)).alias("undated"),
+        )
+    )
+    sessions, messages, said = N.stored_rows(events, told.named(logs.described(files)), provider)
+    ids = cut(logs._ids(sessions).join(since.select("path", "goes_on", "next_edit"), "path"))
+    numbered = logs._file_edits(told.edits.join(since.select("path", "from_line"), "path").filter("line_no >= from_line").drop("from_line"), ids.select("path", "session_id", "next_edit"), provider, "next_edit")
+    edits = cut(numbered)
+    pieces = transcripts(said).join(said.groupBy("session_id").agg(F.min("seq").alias("seq")), "session_id")
+    # files that can't be read have a session that says so, unless they have one already
+    stubs = since.filter("problem IS NOT NULL AND session_id IS NULL").select(
+        F.concat(F.lit(f"{provider}:"), logs._stem(F.col("path"))).alias("id"), F.lit(provider).alias("provider"), logs._stem(F.col("path")).alias("provider_session_id"), F.col("path").alias("source_path"),
+        F.col("mtime").alias("created_at"), F.col("mtime").alias("updated_at"), F.lit(0).alias("message_count"), F.col("problem").alias("parse_warning"), F.lit(PARSE_VERSION).alias("parse_version"),
+    )
+    n_edits = edits.join(ids.select("path", "session_id"), "session_id").groupBy("path").agg(F.count("*").alias("n_edits"))
+    own = files.join(ids.select("path", "session_id"), "path", "left").join(n_edits, "path", "left").withColumnRenamed("mtime", "__mtime").alias("f")
+    facts = ("provider_session_id", "cwd", "created_at", "updated_at", "parent_session_id", "agent_label")
+    counts = ("undated", "first_user", "last_user", "malformed", "line_count", "valid_count")
+    kept = lambda c, now: F.when(F.col("f.line_count").isNotNull(), now).otherwise(F.when(F.col("o.goes_on"), F.col(f"o.{c}"))).alias(c)
+    seen = since.filter("problem IS NULL").alias("o").join(own, "path", "left").select(
+        "provider", F.col("path").alias("source_path"), F.col("o.mtime").alias("mtime"), F.col("o.size").alias("size_bytes"), F.lit(PARSE_VERSION).alias("parse_version"),
+        kept("session_id", F.col("f.session_id")), F.greatest("o.complete", "o.from_line").alias("parsed_bytes"), F.col("o.head").alias("head"),
+        kept("next_seq", F.col("f.message_count")), kept("next_edit", F.col("o.next_edit") + F.coalesce("f.n_edits", F.lit(0))),
+        *[kept(c, F.col(f"f.{c}")) for c in counts], *[kept(c, F.col(f"f.{c}") if c in told.facts else F.lit(None)) for c in facts],
+    )
+    replaced = ids.filter("NOT goes_on").select(F.col("session_id").alias("key"))
+    gone = stored(spark, store, "sessions", at).join(since.filter("NOT goes_on AND problem IS NULL").select(F.col("path").alias("source_path")), "source_path", "left_semi").select(F.col("id").alias("key"))
+    whole = cut(replaced.unionByName(gone).distinct())
+    return Delta(
+        {"sessions": sessions.unionByName(shaped(stubs, SESSIONS)), "messages": messages, "transcripts": pieces.select("session_id", "seq", "transcript_text"), "file_edits": edits, "files_seen": shaped(seen, SEEN)},
+        {"sessions": whole.unionByName(ids.select(F.col("session_id").alias("key"))), "messages": whole, "transcripts": whole, "file_edits": whole, "files_seen": seen.select(F.col("source_path").alias("key"))},
+    )
+
+
+def documents_delta(spark: SparkSession, provider: str, work: DataFrame, store: str, at: int) -> Delta:
+    """Files that are parsed as wholes, through the format's parser: their sessions are replaced."""
+    paths = sorted(r[0] for r in work.select("source_path").collect())
+    parsed = logs.PARSERS[provider](spark, paths)
+    sessions, messages = cut(parsed.sessions), cut(parsed.messages)
+    old = stored(spark, store, "sessions", at).join(sessions.select("source_path"), "source_path", "left_semi").select(F.col("id").alias("key"))
+    whole = cut(sessions.select(F.col("id").alias("key")).unionByName(old).distinct())
+    pieces = parsed.transcripts.withColumn("seq", F.lit(0).cast("bigint")).select("session_id", "seq", "transcript_text")
+    seen = shaped(work.select("provider", "source_path", "mtime", "size_bytes").withColumn("parse_version", F.lit(PARSE_VERSION)), SEEN)
+    dead = {name: whole for name in ("sessions", "messages", "transcripts", "file_edits")}
+    return Delta(
+        {"sessions": sessions, "messages": messages, "transcripts": pieces, "file_edits": parsed.file_edits, "files_seen": seen}, {**dead, "files_seen": seen.select(F.col("source_path").alias("key"))}
+    )
+
+
+def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, again: bool = False, repos: DataFrame | None = None) -> dict[str, int]:
+    """Take the files ``found`` into the store as one layer, those that it has seen as they are left out; returns files by state.
+
+    ``again`` parses all of them as wholes. With ``repos`` (path), known roots of
+    repositories, sessions get the one that their working folder lies in.
     """
     at = snapshot(spark, store)
-    held = manifest(spark, store, at)
-    run = f"run-{at + 1:010d}-{uuid.uuid4().hex[:8]}"
-    parsed = parse_files(spark, provider, paths)
-    named = spark.createDataFrame([(p,) for p in paths], "source_path string")
-    superseded = stored(spark, store, "sessions", at).join(named, "source_path", "left_semi").select(F.col("id").alias("session_id"))
-    aside = f"{store}/_ids/{run}"
-    superseded.unionByName(parsed.sessions.select(F.col("id").alias("session_id"))).distinct().write.parquet(aside)
-    ids = spark.read.parquet(aside)
-    after = {name: replaced_buckets(spark, store, name, getattr(parsed, name), ids, held, run) for name in TABLES}
-    seen = f"{store}/files_seen/{run}"
-    merged_seen(found, stored(spark, store, "files_seen", at)).write.parquet(seen)
-    after["files_seen"] = {"0": seen}
-    return publish(spark, store, after, at)
-
-
-def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0) -> dict[str, int]:
+    seen = stored(spark, store, "files_seen", at)
+    states = cut(changes(found, seen.limit(0) if again else seen))
+    counts = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
+    if not set(counts) - {"current"}:
+        return counts
+    names = [c.split(" ")[0] for c in PROGRESS.split(", ")]
+    work = states.filter("state <> 'current'").join(seen.select("source_path", *names), "source_path", "left").withColumn("again", (F.col("state") != "changed_file") | F.lit(again))
+    # all paths of a listing are in one kind of store
+    by_lines = provider in logs.LINE_FORMATS and tail.readable(work.select("source_path").first()[0])
+    delta = (lines_delta if by_lines else documents_delta)(spark, provider, work, store, at)
+    if repos is not None:
+        delta.rows["sessions"] = shaped(N.with_repo_roots(delta.rows["sessions"], repos), SESSIONS)
+    layer = write_layer(spark, store, at + 1, delta.rows, delta.dead)
+    publish(spark, store, [*manifest(spark, store, at), layer], at)
+    merge_due(spark, store)
+    return counts
+
+
+def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0, repos: DataFrame | None = None) -> dict[str, int]:
     """Bring the store up to date; returns how many files were in each state.
 
     policy ``existing_only`` leaves the store as it is; ``before_query`` does if its
-    manifest is younger than ``max_age_seconds``. Of a listing only the names of
-    changed files come to the driver, where Spark's reader keeps them as well.
+    manifest is younger than ``max_age_seconds``. ``full`` parses all files as wholes.
     """
     counts = {"new": 0, "changed_file": 0, "changed_parser": 0, "current": 0}
     if policy not in ("auto", "before_query", "existing_only"):
@@ -188,14 +384,8 @@ def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str
     if policy == "existing_only" or policy == "before_query" and age_seconds(spark, store) < max_age_seconds:
         return counts
     for provider, path in roots.items():
-        found = discover(spark, provider, path)
-        seen = stored(spark, store, "files_seen")
-        states = changes(found, seen.limit(0) if full else seen)
-        for r in states.groupBy("state").count().collect():
-            counts[r["state"]] += r["count"]
-        paths = sorted(r[0] for r in states.filter("state <> 'current'").select("source_path").collect())
-        if paths:
-            apply(spark, provider, paths, store, found)
+        for state, n in apply(spark, provider, discover(spark, provider, path), store, full, repos).items():
+            counts[state] += n
     return counts
 
 
@@ -225,21 +415,6 @@ class Refresh:
         return self.report()
 
 
-def compact(spark: SparkSession, store: str) -> int:
-    """Every table's rows into one folder of its own, bucket by bucket; returns the new manifest's number."""
-    at = snapshot(spark, store)
-    held = manifest(spark, store, at)
-    run = f"run-{at + 1:010d}-{uuid.uuid4().hex[:8]}"
-    after = dict(held)
-    for name, (schema, key) in TABLES.items():
-        if held.get(name):
-            place = f"{store}/{name}/{run}"
-            rows = spark.read.schema(schema).parquet(*held[name].values()).withColumn("bucket", _bucket(key))
-            rows.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(place)
-            after[name] = {b: f"{place}/bucket={b}" for b in held[name]}
-    return publish(spark, store, after, at)
-
-
 def age_seconds(spark: SparkSession, store: str) -> float:
     """How long ago the store changed; infinite before the first refresh."""
     at = snapshot(spark, store)
@@ -257,12 +432,12 @@ def vacuum(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
     if keep < 1:
         raise ValueError("the present manifest is always kept")
     numbers = manifests(spark, store)
-    runs = {f.split("/bucket=")[0].rsplit("/", 1)[1] for n in numbers[-keep:] for table in manifest(spark, store, n).values() for f in table.values()}
+    used = {folder for n in numbers[-keep:] for x in manifest(spark, store, n) for p in x.parts.values() for folder in (p.rows, p.dead) if folder}
     gone = []
-    for name in [*TABLES, "files_seen", "_ids"]:
-        fs, folder = _fs(spark, f"{store}/{name}")
+    for place in [f"{store}/{name}" for name in TABLES] + [f"{store}/_dead/{name}" for name in TABLES]:
+        fs, folder = _fs(spark, place)
         for f in fs.listStatus(folder) if fs.exists(folder) else ():
-            if f.getPath().getName() not in runs:
+            if f"{place}/{f.getPath().getName()}" not in used:
                 gone.append(f.getPath().toString())
                 fs.delete(f.getPath(), True)
     for n in numbers[:-keep]:
@@ -282,21 +457,13 @@ def follow(spark: SparkSession, provider: str, path: str, store: str, checkpoint
     )
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        take_files(spark, provider, (r["path"] for r in batch.select("path").distinct().collect()), store)
+        # a batch that runs twice changes nothing the second time: its files are seen as they are
+        found = batch.dropDuplicates(["path"]).select(
+            F.lit(provider).alias("provider"), F.col("path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.lit(PARSE_VERSION).alias("parse_version")
+        )
+        apply(batch.sparkSession, provider, found, store)
         if after:
             after(number)
 
-    return arriving.select("path").writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def take_files(spark: SparkSession, provider: str, paths: Iterable[str], store: str) -> None:
-    """Those of the files that the store hasn't seen as they are; a batch that runs twice changes nothing the second time."""
-    paths = sorted(paths)
-    if not paths:
-        return
-    found = discover(spark, provider, paths, "*")
-    fresh = changes(found, stored(spark, store, "files_seen")).filter("state <> 'current'").select("source_path")
-    left = sorted(r[0] for r in fresh.collect())
-    if left:
-        apply(spark, provider, left, store, found)
+    listed = arriving.select("path", "modificationTime", "length")
+    return listed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

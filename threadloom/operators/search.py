@@ -19,7 +19,8 @@ from ..functions import jsonptr, refs
 from ..functions.digests import rows_digest
 from ..functions.patterns import literal_trigrams, prefiltered_regex, regex_span, regex_trigrams, to_java
 from ..functions.text import contains_caseless, fold, fold_literal, select_lines, snippet, truncate_for_display, unfolded_place
-from . import analytics, fuzzy
+from ..sources import postings
+from . import fuzzy
 from .filters import FilterError, MessageFilters, SessionFilters
 
 FIELDS = ("content", "tool_name", "tool_argument")
@@ -259,20 +260,27 @@ def inspect(sessions: DataFrame, messages: DataFrame, edits: DataFrame | None =
     return out.fillna(0, [c for c in ("messages", "tool_calls", "tool_results", "references", "edits", "files", "user_rows", "assistant_rows", "tool_rows", "slash_rows") if c in out.columns])
 
 
-def indexed(messages: DataFrame, postings: DataFrame, request: SearchRequest, sessions: DataFrame | None = None) -> DataFrame:
-    """``matching`` of a content search by way of the trigram index: only messages with the trigrams that a match needs are read and tested.
+def needed_trigrams(request: SearchRequest) -> list[list[str]] | None:
+    """Groups of trigrams: a hit has all of some group. None if all rows must be tested (a short literal, an optional pattern, a fuzzy query, another field)."""
+    if request.query is None or request.field != "content":
+        return None
+    if request.mode == "regex":
+        return regex_trigrams(request.query)
+    if request.mode == "literal" and len(request.query) > 2:
+        return [literal_trigrams(request.query)]
+    return None
+
+
+def indexed(rows: DataFrame, lists: DataFrame, request: SearchRequest, sessions: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """``matching`` by way of stored posting lists (``sources.postings``): only rows with the trigrams that a match needs are tested.
 
-    A query that needs none (a short literal, an optional pattern, a fuzzy one) tests all rows.
+    ``rows`` have ``doc`` (and the columns ``also``) as numbered by the index. A
+    query that needs no trigram tests all rows.
     """
-    groups = None
-    if request.query is not None and request.field == "content":
-        if request.mode == "regex":
-            groups = regex_trigrams(request.query)
-        elif request.mode == "literal":
-            groups = [literal_trigrams(request.query)] if len(request.query) > 2 else None
+    groups = needed_trigrams(request)
     if groups:
-        messages = messages.join(analytics.trigram_candidates(postings, groups), "id", "left_semi")
-    return matching(messages, request, sessions)
+        rows = rows.join(postings.candidates(lists, groups, also), [*also, "doc"], "left_semi")
+    return matching(rows.drop("doc", *also), request, sessions)
 
 
 def context_of(messages: DataFrame, session_id: str, seq: int, before: int, after: int) -> DataFrame:

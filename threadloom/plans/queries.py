@@ -6,6 +6,7 @@ tables and says the operator's meaning by other means.
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +16,9 @@ from ..functions import dates, jsonptr, patterns, refs, text
 from ..functions.digests import framed_digest
 from ..operators import analysis, analytics, classify, files, fuzzy, normalize, search
 from ..operators.filters import FileQuery, MessageFilters, PathScope, SessionFilters, attributable_human
-from ..sources import sinks
+from ..sources import postings, sinks
 from ..sources import tables as T
+from ..sources.session import shared_folder
 from ..streaming import windows
 from . import sqlapi
 
@@ -145,16 +147,39 @@ def search_regex_repetition(spark, d):
     return search.matching(T.conversation_messages(spark, d), r).select("session_id", "seq")
 
 
+#: Folders of indexes by session and tables: an index is made once and then read.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def message_index(spark, d) -> tuple:
+    """(numbered messages, posting lists) of ``conversations``, stored in the shared folder by the first query that asks."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        postings.build(T.conversation_messages(spark, d), folder)
+        _INDEXES[key] = folder
+    return postings.opened(spark, _INDEXES[key])
+
+
 @query("search_indexed_regex", MESSAGES + "SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND regexp_matches(content, 'ation .*ing|ment[a-z]')")
 def search_indexed_regex(spark, d):
-    m = T.conversation_messages(spark, d)
-    return search.indexed(m, analytics.trigram_postings(m), search.SearchRequest(query="ation .*ing|ment[a-z]", mode="regex")).select("session_id", "seq")
+    return search.indexed(*message_index(spark, d), search.SearchRequest(query="ation .*ing|ment[a-z]", mode="regex")).select("session_id", "seq")
+
+
+@query("search_indexed_groups", MESSAGES + "SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND regexp_matches(content, '(?:ther|thou)(on|ed)[a-z]* (is|in)')")
+def search_indexed_groups(spark, d):
+    return search.indexed(*message_index(spark, d), search.SearchRequest(query="(?:ther|thou)(on|ed)[a-z]* (is|in)", mode="regex")).select("session_id", "seq")
 
 
 @query("search_indexed_literal", MESSAGES + f"SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND contains({FOLD.format('content')}, 'ation')")
 def search_indexed_literal(spark, d):
-    m = T.conversation_messages(spark, d)
-    return search.indexed(m, analytics.trigram_postings(m), search.SearchRequest(query="ATION")).select("session_id", "seq")
+    return search.indexed(*message_index(spark, d), search.SearchRequest(query="ATION")).select("session_id", "seq")
+
+
+@query("search_regex_groups", MESSAGES + "SELECT session_id, seq FROM m WHERE kind <> 'harness_notice' AND regexp_matches(content, '(?:(?:th|er|on|in)+ ){2}(a|e)[a-z]*\\.')")
+def search_regex_groups(spark, d):
+    request = search.SearchRequest(query=r"(?:(?:th|er|on|in)+ ){2}(a|e)[a-z]*\.", mode="regex")
+    return search.matching(T.conversation_messages(spark, d), request).select("session_id", "seq")
 
 
 @query("read_session", EVENT_MESSAGES + "SELECT seq, tool_name FROM m WHERE session_id = 'user:7'")

@@ -12,7 +12,8 @@ Spark's reader keeps them as well.
 
 The store is layers, merged when read. A refresh writes one layer: for each table
 the new rows, and the keys (sessions, files) whose older rows are dead. A row is
-seen unless its key died in a later layer. When there are FANOUT layers of a size
+seen unless its key died in a later layer. Messages have posting lists of their
+trigrams beside them, layer by layer (``search_stored``). When there are FANOUT layers of a size
 they are merged into one, so a row is written anew a few times in all, and what a
 refresh writes is in proportion to what changed.
 
@@ -42,7 +43,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import normalize as N
-from ..sources import logs, tail
+from ..operators.search import SearchRequest, indexed
+from ..sources import logs, postings, tail
 from ..sources.session import cut
 from ..sources.sinks import transcripts
 from ..sources.tables import FILE_EDITS, MESSAGES, SESSIONS, shaped
@@ -125,6 +127,8 @@ class Part:
     bytes: int = 0
     dead: str | None = None
     dead_rows: int = 0
+    #: Posting lists of the rows' texts.
+    lists: str | None = None
 
 
 @dataclass
@@ -164,13 +168,13 @@ def publish(spark: SparkSession, store: str, held: list[Layer], after: int) -> i
 
 
 def visible(spark: SparkSession, layers: list[Layer], name: str) -> DataFrame:
-    """A table's rows in these layers, without those whose key died in a later one of them; with ``layer``."""
-    schema, key = TABLES[name]
+    """A table's rows in these layers, without those whose key died in a later one of them; with ``layer`` (messages: and ``doc``)."""
+    key, schema = TABLES[name][1], f"{TABLES[name][0]}, layer bigint{', doc bigint' if name == 'messages' else ''}"
     parts = [x.parts[name] for x in layers if name in x.parts]
     folders = [p.rows for p in parts if p.rows]
     if not folders:
-        return spark.createDataFrame([], f"{schema}, layer bigint")
-    rows = spark.read.schema(f"{schema}, layer bigint").parquet(*folders)
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*folders)
     if any(p.dead for p in parts):
         dead = spark.read.schema("key string, layer bigint").parquet(*[p.dead for p in parts if p.dead]).groupBy("key").agg(F.max("layer").alias("__dead"))
         dead = F.broadcast(dead) if sum(p.dead_rows for p in parts) <= BROADCAST_DEAD else dead
@@ -181,21 +185,34 @@ def visible(spark: SparkSession, layers: list[Layer], name: str) -> DataFrame:
 
 def stored(spark: SparkSession, store: str, name: str, at: int | None = None) -> DataFrame:
     """A table of the store, by default the present one; empty before the first refresh."""
-    rows = visible(spark, manifest(spark, store, at), name).drop("layer")
+    rows = visible(spark, manifest(spark, store, at), name).drop("layer", "doc")
     if name != "transcripts":
         return rows
     pieces = F.array_sort(F.collect_list(F.struct("seq", "transcript_text")))
     return rows.groupBy("session_id").agg(F.array_join(F.transform(pieces, lambda x: x["transcript_text"]), "\n\n").alias("transcript_text"))
 
 
-def _written(spark: SparkSession, rows: DataFrame, place: str, *keys: str) -> int:
+def search_stored(spark: SparkSession, store: str, request: SearchRequest, at: int | None = None) -> DataFrame:
+    """``search.matching`` over the store's messages by way of their posting lists."""
+    layers = manifest(spark, store, at)
+    folders = [x.parts["messages"].lists for x in layers if "messages" in x.parts and x.parts["messages"].lists]
+    lists = spark.read.schema(f"{postings.POSTINGS}, layer bigint").parquet(*folders) if folders else spark.createDataFrame([], f"{postings.POSTINGS}, layer bigint")
+    return indexed(visible(spark, layers, "messages"), lists, request, stored(spark, store, "sessions", at), ("layer",))
+
+
+def _written(spark: SparkSession, rows: DataFrame, place: str, *keys: str, number: bool = False) -> int:
     """Rows dealt out and sorted by key; Spark's adaptive plan makes as many files as their size asks for. Returns the bytes."""
-    rows.repartition(keys[0]).sortWithinPartitions(*keys).write.parquet(place)
+    placed = rows.repartition(keys[0]).sortWithinPartitions(*keys)
+    (postings.numbered(placed) if number else placed).write.parquet(place)
+    return _bytes(spark, place)
+
+
+def _bytes(spark: SparkSession, place: str) -> int:
     fs, folder = _fs(spark, place)
     return fs.getContentSummary(folder).getLength()
 
 
-def write_layer(spark: SparkSession, store: str, number: int, rows: dict[str, DataFrame], dead: dict[str, DataFrame], dead_layer: bool = True) -> Layer:
+def write_layer(spark: SparkSession, store: str, number: int, rows: dict[str, DataFrame], dead: dict[str, DataFrame]) -> Layer:
     """A layer of ``rows`` and ``dead`` keys (key) by table; empty parts are left out."""
     run = f"layer-{number:010d}-{uuid.uuid4().hex[:8]}"
     out = Layer(number)
@@ -204,8 +221,13 @@ def write_layer(spark: SparkSession, store: str, number: int, rows: dict[str, Da
         if name in rows:
             place = f"{store}/{name}/{run}"
             order = [key, "seq"] if " seq bigint" in schema else [key]
-            part.bytes = _written(spark, rows[name].withColumn("layer", F.lit(number).cast("bigint")), place, *order)
+            layer = F.lit(number).cast("bigint").alias("layer")
+            part.bytes = _written(spark, rows[name].select("*", layer), place, *order, number=name == "messages")
             part.rows = place
+            if name == "messages":
+                part.lists = f"{store}/_lists/{run}"
+                postings.write(postings.posting_rows(spark.read.parquet(place)).select("*", layer), part.lists)
+                part.bytes += _bytes(spark, part.lists)
         if name in dead:
             place = f"{store}/_dead/{name}/{run}"
             part.bytes += _written(spark, dead[name].select("key").distinct().withColumn("layer", F.lit(number).cast("bigint")), place, "key")
@@ -217,7 +239,7 @@ def write_layer(spark: SparkSession, store: str, number: int, rows: dict[str, Da
 
 def merged(spark: SparkSession, store: str, layers: list[Layer], oldest: bool) -> Layer:
     """Several neighbouring layers as one; what died in the ``oldest`` ones needs no more mention."""
-    rows = {name: visible(spark, layers, name).drop("layer") for name in TABLES if any(name in x.parts and x.parts[name].rows for x in layers)}
+    rows = {name: visible(spark, layers, name).drop("layer", "doc") for name in TABLES if any(name in x.parts and x.parts[name].rows for x in layers)}
     dead = {}
     for name in TABLES:
         folders = [x.parts[name].dead for x in layers if name in x.parts and x.parts[name].dead]
@@ -432,9 +454,9 @@ def vacuum(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
     if keep < 1:
         raise ValueError("the present manifest is always kept")
     numbers = manifests(spark, store)
-    used = {folder for n in numbers[-keep:] for x in manifest(spark, store, n) for p in x.parts.values() for folder in (p.rows, p.dead) if folder}
+    used = {folder for n in numbers[-keep:] for x in manifest(spark, store, n) for p in x.parts.values() for folder in (p.rows, p.dead, p.lists) if folder}
     gone = []
-    for place in [f"{store}/{name}" for name in TABLES] + [f"{store}/_dead/{name}" for name in TABLES]:
+    for place in [f"{store}/{name}" for name in TABLES] + [f"{store}/_dead/{name}" for name in TABLES] + [f"{store}/_lists"]:
         fs, folder = _fs(spark, place)
         for f in fs.listStatus(folder) if fs.exists(folder) else ():
             if f"{place}/{f.getPath().getName()}" not in used:

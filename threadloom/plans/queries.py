@@ -81,35 +81,39 @@ def plain_time(c: str) -> Column:
     return F.col(c).cast("timestamp_ntz").alias(c)
 
 
-def noted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a person's notes, with commands and corrections by type of event."""
-    e = T.table(spark, sf_dir, "events")
-    kind = F.col("event_type")
-    note = (
-        F.when(kind == "click", F.lit("you forgot the tests, and you missed a step"))
-        .when(kind == "error", F.lit("That's wrong: it broke the build"))
-        .when(kind == "purchase", F.concat(F.lit("/plan item "), (F.col("user_id") % 5).cast("string")))
-        .when(kind == "signup", F.lit("/Users/name/file is no command; we still need docs"))
-        .otherwise(F.concat(F.lit("  /review:all\nplease see part "), (F.col("user_id") % 11).cast("string")))
-    )
+def said_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of ``conversations`` but the system's, whole texts, timed by their place; each third turn's first word is a command."""
+    c = T.table(spark, sf_dir, "conversations").filter("role <> 'system'")
+    author = F.when((F.col("role") == "user") & (F.col("conv_id") % 4 != 0), "human").otherwise("agent")
     return T.shaped(
-        e.select(
-            F.col("event_id").alias("id"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("session_id"),
-            (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint").alias("seq"),
-            F.lit("user").alias("role"), F.lit("conversation").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), note.alias("content"),
-            F.when(F.col("event_id") % 4 == 0, "agent").otherwise("human").alias("authorship"), F.lit("original").alias("record_relation"), F.lit("claude").alias("provider"),
+        c.select(
+            (F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").alias("seq"), "role",
+            F.lit("conversation").alias("kind"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).alias("ts"),
+            F.when(F.col("turn") % 3 == 0, F.concat(F.lit("/"), F.col("text"))).otherwise(F.col("text")).alias("content"), author.alias("authorship"), F.lit("original").alias("record_relation"), F.lit("claude").alias("provider"),
         ),
         T.MESSAGES,
     )
 
 
-NOTES = """
-WITH n AS (SELECT event_id AS id, user_id, 'user:' || user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, ts,
-                  CASE event_type WHEN 'click' THEN 'you forgot the tests, and you missed a step' WHEN 'error' THEN 'That''s wrong: it broke the build'
-                       WHEN 'purchase' THEN '/plan item ' || user_id % 5 WHEN 'signup' THEN '/Users/name/file is no command; we still need docs'
-                       ELSE '  /review:all' || chr(10) || 'please see part ' || user_id % 11 END AS content,
-                  CASE WHEN event_id % 4 = 0 THEN 'agent' ELSE 'human' END AS authorship
-           FROM events)
+def said_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session a conversation; every third was started by the next one."""
+    c = T.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    name = lambda n: F.concat(F.lit("conv:"), n.cast("string"))
+    n = F.col("conv_id")
+    return T.shaped(
+        c.select(
+            name(n).alias("id"), F.concat(F.lit("talk "), n.cast("string")).alias("title"), F.concat(F.lit("/home/c"), (n % 7).cast("string")).alias("repo_root"), F.when(n % 3 == 0, name(n + 1)).alias("parent_session_id")
+        ),
+        T.SESSIONS,
+    )
+
+
+SAID = """
+WITH n AS (SELECT conv_id * 100000 + turn AS id, 'conv:' || conv_id AS session_id, turn AS seq, role, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS ts,
+                  CASE WHEN turn % 3 = 0 THEN '/' || text ELSE text END AS content,
+                  CASE WHEN role = 'user' AND conv_id % 4 <> 0 THEN 'human' ELSE 'agent' END AS authorship
+           FROM conversations WHERE role <> 'system'),
+s AS (SELECT DISTINCT 'conv:' || conv_id AS id, 'talk ' || conv_id AS title, '/home/c' || conv_id % 7 AS repo_root, CASE WHEN conv_id % 3 = 0 THEN 'conv:' || (conv_id + 1) END AS parent_session_id FROM conversations)
 """
 
 
@@ -390,9 +394,9 @@ def filter_by_sessions(spark, d):
     return f.apply(T.event_messages(spark, d), T.event_sessions(spark, d)).select("id")
 
 
-@query("attributable_human", NOTES + "SELECT id, content FROM n WHERE authorship = 'human'")
+@query("attributable_human", SAID + "SELECT id, content FROM n WHERE authorship = 'human'")
 def attributable(spark, d):
-    return attributable_human(noted_messages(spark, d)).select("id", "content")
+    return attributable_human(said_messages(spark, d)).select("id", "content")
 
 
 @query("child_sessions", SESSIONS + "SELECT p.id AS parent, c.id AS child FROM s c JOIN s p ON c.parent_session_id = p.id")
@@ -408,19 +412,20 @@ def role_counts(spark, d):
     return analytics.role_counts(T.conversation_messages(spark, d))
 
 
-@query("command_usage", NOTES + ", " + SESSIONS.split("WITH ", 1)[1] + """
-, c AS (SELECT session_id, regexp_extract(content, '^\\s*(/\\w[\\w:.-]*)(\\s|$)', 1) AS command FROM n)
+_COMMANDS = ", c AS (SELECT session_id, regexp_extract(content, '^\\s*(/[\\p{L}\\p{N}_][\\p{L}\\p{N}_:.-]*)(\\s|$)', 1) AS command FROM n)"
+
+
+@query("command_usage", SAID + _COMMANDS + """
 SELECT command, count(*) AS uses, count(DISTINCT c.session_id) AS unique_sessions, count(DISTINCT s.repo_root) AS unique_projects
-FROM c LEFT JOIN s ON s.id = c.session_id WHERE command <> '' GROUP BY command""")
+FROM c LEFT JOIN s ON s.id = c.session_id WHERE command <> '' GROUP BY command ORDER BY uses DESC, command LIMIT 50""")
 def command_usage(spark, d):
-    return analytics.command_usage(noted_messages(spark, d), T.event_sessions(spark, d))
+    return analytics.command_usage(said_messages(spark, d), said_sessions(spark, d))
 
 
-@query("command_usage_filtered", NOTES + """
-, c AS (SELECT session_id, regexp_extract(content, '^\\s*(/\\w[\\w:.-]*)(\\s|$)', 1) AS command FROM n)
-SELECT command, count(*) AS uses, count(DISTINCT session_id) AS unique_sessions, 0::BIGINT AS unique_projects FROM c WHERE regexp_matches(command, '(?i)PLAN') GROUP BY command""")
+@query("command_usage_filtered", SAID + _COMMANDS + """
+SELECT command, count(*) AS uses, count(DISTINCT session_id) AS unique_sessions, 0::BIGINT AS unique_projects FROM c WHERE regexp_matches(command, '(?i)TH.*ing') GROUP BY command""")
 def command_usage_filtered(spark, d):
-    return analytics.command_usage(noted_messages(spark, d), patterns=("PLAN",))
+    return analytics.command_usage(said_messages(spark, d), patterns=("TH.*ing",), limit=None)
 
 
 _TOKENS = "list_filter(string_split_regex(translate(lower({}), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '')"
@@ -456,21 +461,28 @@ g AS (SELECT DISTINCT id, session_id, seq, list_slice(w, i, i + n - 1) AS p FROM
 """
 
 
-@query("repeated_phrases", NOTES + _NGRAMS.format(tokens=_TOKENS.format("content"), source="n", least=2, most=4) + f"""
-, f AS (SELECT id, session_id, array_to_string(p, ' ') AS phrase, len(p) AS words FROM g
+_REPEATED = SAID + _NGRAMS.format(tokens=_TOKENS.format("content"), source="n", least=2, most=4) + f"""
+, f AS (SELECT id, session_id, seq, array_to_string(p, ' ') AS phrase, len(p) AS words FROM g
         WHERE NOT regexp_matches(array_to_string(p, ' '), '[0-9]') AND p[1] NOT IN ({_STOP}) AND p[-1] NOT IN ({_STOP})
           AND len(list_filter(p, lambda x: strlen(x) >= 4 AND x NOT IN ({_STOP}))) > 0),
-s AS (SELECT phrase, words, count(*) AS matches, count(DISTINCT session_id) AS sessions, list(id ORDER BY id) AS ids FROM f GROUP BY phrase, words HAVING count(*) >= 2)
-SELECT phrase, words::BIGINT AS words, matches, sessions FROM s
-WHERE NOT EXISTS (SELECT 1 FROM s l WHERE l.words > s.words AND l.ids = s.ids AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' '))
-ORDER BY matches DESC, words DESC, phrase LIMIT 50""")
+s2 AS (SELECT phrase, words, count(*) AS matches, count(DISTINCT session_id) AS sessions, list(id ORDER BY id) AS ids FROM f GROUP BY phrase, words HAVING count(*) >= 2),
+top AS (SELECT phrase, words::BIGINT AS words, matches, sessions FROM s2
+        WHERE NOT EXISTS (SELECT 1 FROM s2 l WHERE l.words > s2.words AND l.ids = s2.ids AND contains(' ' || l.phrase || ' ', ' ' || s2.phrase || ' '))
+        ORDER BY matches DESC, words DESC, phrase LIMIT 50)
+"""
+
+
+@query("repeated_phrases", _REPEATED + "SELECT * FROM top")
 def repeated_phrases(spark, d):
-    return analytics.repeated_phrases(noted_messages(spark, d), least=2, most=4, max_examples=0).select("phrase", "words", "matches", "sessions")
+    return analytics.repeated_phrases(said_messages(spark, d), least=2, most=4, max_examples=0).select("phrase", "words", "matches", "sessions")
 
 
-@query("repeated_phrase_examples")
+@query("repeated_phrase_examples", _REPEATED + """
+, e AS (SELECT phrase, session_id, seq, row_number() OVER (PARTITION BY phrase ORDER BY session_id, seq) AS place FROM f SEMI JOIN top USING (phrase))
+SELECT phrase, matches, (SELECT string_agg(session_id || '/' || seq, ' ' ORDER BY session_id, seq) FROM e WHERE e.phrase = top.phrase AND place <= 3) AS places FROM top""")
 def repeated_phrase_examples(spark, d):
-    return analytics.repeated_phrases(noted_messages(spark, d), least=2, most=4)
+    found = analytics.repeated_phrases(said_messages(spark, d), least=2, most=4)
+    return found.select("phrase", "matches", F.array_join(F.transform("examples", lambda e: F.concat_ws("/", e["session_id"], e["seq"].cast("string"))), " ").alias("places"))
 
 
 @query("time_profile", EVENT_MESSAGES + """
@@ -537,42 +549,46 @@ def merged_candidates(spark, d):
 # --- classification and analysis --------------------------------------------
 
 
-@query("classify_corrections", NOTES + ", " + SESSIONS.split("WITH ", 1)[1] + """
-SELECT n.session_id, n.seq, CASE WHEN contains(content, 'broke the build') THEN 'regression' WHEN contains(content, 'you forgot') THEN 'skip_step' ELSE 'incomplete' END AS category,
-       CASE WHEN contains(content, 'broke the build') THEN 'broke the build' WHEN contains(content, 'you forgot') THEN 'you forgot' ELSE 'still need' END AS matched
-FROM n JOIN s ON s.id = n.session_id WHERE s.parent_session_id IS NULL AND authorship = 'human' AND (contains(content, 'broke the build') OR contains(content, 'you forgot') OR contains(content, 'still need'))
-ORDER BY ts DESC, n.session_id, n.seq LIMIT 50""")
+#: A policy whose patterns the tables' texts have.
+_WORDS = (("ending", ("[a-z]ing the ", "the [a-z]+ing ")), ("pair", (" and the ", " in is ")), ("question", (r"\? ", "^/th")))
+_POLICY = classify.Policy("words", _WORDS)
+_CASES = [(name, "(?i)" + "|".join(f"(?:{p})" for p in found)) for name, found in _WORDS]
+_HITS = f"""
+, h AS (SELECT session_id, seq, ts, parent_session_id, CASE {' '.join(f"WHEN regexp_matches(content, '{p}') THEN '{name}'" for name, p in _CASES)} END AS category,
+               CASE category {' '.join(f"WHEN '{name}' THEN regexp_extract(content, '{p}')" for name, p in _CASES)} END AS matched
+        FROM n JOIN s ON s.id = n.session_id WHERE authorship = 'human')
+"""
+
+
+@query("classify_corrections", SAID + _HITS + "SELECT session_id, seq, category, matched FROM h WHERE category IS NOT NULL AND parent_session_id IS NULL ORDER BY ts DESC, session_id, seq LIMIT 50")
 def classify_corrections(spark, d):
-    return classify.classify(noted_messages(spark, d), T.event_sessions(spark, d)).select("session_id", "seq", "category", "matched")
+    return classify.classify(said_messages(spark, d), said_sessions(spark, d), (_POLICY, classify.DEFAULT_POLICY)).select("session_id", "seq", "category", "matched")
 
 
-@query("classification_counts", NOTES + """
-SELECT 'corrections' AS policy, CASE WHEN contains(content, 'broke the build') THEN 'regression' WHEN contains(content, 'you forgot') THEN 'skip_step' ELSE 'incomplete' END AS category,
-       count(*) AS messages, count(DISTINCT session_id) AS sessions
-FROM n WHERE authorship = 'human' AND (contains(content, 'broke the build') OR contains(content, 'you forgot') OR contains(content, 'still need')) GROUP BY ALL""")
+@query("classification_counts", SAID + _HITS + "SELECT 'words' AS policy, category, count(*) AS messages, count(DISTINCT session_id) AS sessions FROM h WHERE category IS NOT NULL GROUP BY category")
 def classification_counts(spark, d):
-    return classify.category_counts(classify.classify(noted_messages(spark, d), limit=None))
+    return classify.category_counts(classify.classify(said_messages(spark, d), policies=(_POLICY, classify.DEFAULT_POLICY), limit=None))
 
 
-_RULES = [analysis.Rule("technique", "tests", r"forgot the tests", "user_text", 7), analysis.Rule("role", "planner", r"(?i)/plan", "any", 11), analysis.Rule("place", "home", r"^session of user 1", "title", 3)]
-_USER_TEXT = "u AS (SELECT session_id, string_agg(content, ' ' ORDER BY seq) AS t FROM n WHERE authorship = 'human' GROUP BY session_id)"
+_RULES = [analysis.Rule("technique", "endings", "ing the ", "user_text", 7), analysis.Rule("role", "planner", "(?i)/th[a-z]+", "any", 11), analysis.Rule("place", "home", "^talk 1", "title", 3)]
+_USER_TEXT = ", u AS (SELECT session_id, string_agg(content, ' ' ORDER BY seq) AS t FROM n WHERE authorship = 'human' GROUP BY session_id)"
 
 
-@query("analysis_scores", NOTES + ", " + SESSIONS.split("WITH ", 1)[1] + f", {_USER_TEXT}" + """
-SELECT s.id AS session_id, (CASE WHEN contains(t, 'forgot the tests') THEN 7 ELSE 0 END + CASE WHEN contains(lower(t), '/plan') THEN 11 ELSE 0 END + CASE WHEN starts_with(title, 'session of user 1') THEN 3 ELSE 0 END)::BIGINT AS score
+@query("analysis_scores", SAID + _USER_TEXT + """
+SELECT s.id AS session_id, (CASE WHEN contains(t, 'ing the ') THEN 7 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)/th[a-z]+') THEN 11 ELSE 0 END + CASE WHEN starts_with(title, 'talk 1') THEN 3 ELSE 0 END)::BIGINT AS score
 FROM s LEFT JOIN u ON u.session_id = s.id""")
 def analysis_scores(spark, d):
-    return analysis.run(T.event_sessions(spark, d), noted_messages(spark, d), _RULES).sessions.select("session_id", "score")
+    return analysis.run(said_sessions(spark, d), said_messages(spark, d), _RULES).sessions.select("session_id", "score")
 
 
-@query("analysis_vocabulary", NOTES + f", {_USER_TEXT}" + f"""
+@query("analysis_vocabulary", SAID + _USER_TEXT + f"""
 , w AS (SELECT session_id, {_TOKENS.format('t')} AS w FROM u),
 g AS (SELECT session_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, n AS words FROM w, unnest(generate_series(2, 3)) AS a(n), unnest(generate_series(1, len(w) - n + 1)) AS b(i)
       WHERE NOT regexp_matches(array_to_string(list_slice(w, i, i + n - 1), ' '), '\\p{{N}}') AND w[i] <> 'the')
 SELECT phrase, words::BIGINT AS words, count(DISTINCT session_id) AS documents, count(*) AS occurrences FROM g GROUP BY phrase, words""")
 def analysis_vocabulary(spark, d):
-    spec = analysis.PhraseSpec(2, 3, excluded=("the",))
-    return analysis.run(T.event_sessions(spark, d), noted_messages(spark, d), phrases=spec).vocabulary
+    spec = analysis.PhraseSpec(2, 3, excluded=("the",), max_unique=10**9)
+    return analysis.run(said_sessions(spark, d), said_messages(spark, d), phrases=spec).vocabulary
 
 
 def branched_sessions(spark: SparkSession, d: str) -> DataFrame:

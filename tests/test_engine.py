@@ -270,12 +270,6 @@ def test_parts_of_mixed_content(spark):
     assert [r[0] for r in df.select(normalize.parts_valid(F.col("c"), F.col("p"))).collect()] == [ok for *_, ok in cases]
 
 
-def test_edits_wait_for_their_results(spark):
-    calls = spark.createDataFrame([("s", "a", 1, "x"), ("s", "b", 2, "y"), ("s", "c", 3, "z")], "session_id string, tool_call_id string, seq long, file_path string").withColumn("ts", F.lit(None).cast("timestamp"))
-    results = spark.createDataFrame([("s", "a", 5, None), ("s", "b", 6, True)], "session_id string, tool_call_id string, seq long, is_error boolean").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
-    assert [(r["file_path"], r["seq"], r["ts"].year) for r in files.staged_edits(calls, results).collect()] == [("x", 5, 2026)]
-
-
 def test_rendered_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, "=a,b"), (2, None)], "n long, t string").coalesce(1)
     assert sinks.render(df, "csv") == "n,t\n1,\"'=a,b\"\n2,\n" and sinks.render(df, "plain") == "1\t=a,b\n2\t\n"
@@ -307,3 +301,24 @@ def test_schema_names_registered_views_only(spark, guarded):
     assert {r["table"] for r in sqlapi.schema(spark)} >= {"own_view"} and all(r["table"] != "strange_view" for r in sqlapi.schema(spark))
     with pytest.raises(sqlapi.SqlRefused):
         sqlapi.schema(spark, ["strange_view"])
+
+
+def test_versions_of_a_long_history(spark):
+    """Three thousand edits without a snapshot between them, replayed row by row."""
+    rnd = random.Random(6)
+    text, rows, want = "start " + "x" * 200, [], []
+    rows.append(("s", 0, text, []))
+    want.append(text)
+    for i in range(1, 3000):
+        old, new = rnd.choice(["x", "start", "é", f"<{i - 1}>", "nowhere"]), f"<{i}>" + rnd.choice(["x", "é", ""])
+        every = rnd.random() < 0.1
+        if i % 700 == 0:
+            text = f"again {i} xx"
+            rows.append(("s", i, text, []))
+        else:
+            rows.append(("s", i, None, [(old, new, every)]))
+            text = None if text is None or old not in text else text.replace(old, new) if every else text.replace(old, new, 1)
+        want.append(text)
+    df = spark.createDataFrame(rows, "session_id string, seq long, new_content string, edits array<struct<old:string,new:string,replace_all:boolean>>").selectExpr("*", "'/f' AS file_path", "'Edit' AS tool", "CAST(NULL AS TIMESTAMP) AS ts")
+    got = [r["content"] for r in files.all_versions(df, batch_bytes=1000).orderBy("version").collect()]
+    assert got == want and any(x is None for x in want)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_lines
@@ -31,40 +32,52 @@ def versions(edits: DataFrame) -> DataFrame:
     return edits.withColumn("version", F.row_number().over(Window.partitionBy("session_id", "file_path").orderBy("seq", "ts", "tool")))
 
 
-def apply_edit(content: Column, edit: Column) -> Column:
-    """The content after one replacement; null if it was null or has no such text."""
-    at = F.instr(content, edit["old"])
-    once = F.overlay(content, edit["new"], at, F.length(edit["old"]))
-    return F.when(content.isNull() | (edit["old"] == "") | (at == 0), F.lit(None)).when(edit["replace_all"], F.replace(content, edit["old"], edit["new"])).otherwise(once)
+def edited(content: str | None, edits: list[dict] | None) -> str | None:
+    """The content after replacements in order; null if it was null, or if a text to replace isn't there."""
+    if content is None or not edits:
+        return None
+    for e in edits:
+        if not e["old"] or e["old"] not in content:
+            return None
+        content = content.replace(e["old"], e["new"]) if e["replace_all"] else content.replace(e["old"], e["new"], 1)
+    return content
 
 
-def apply_step(content: Column, step: Column) -> Column:
-    """After one event: a snapshot replaces, edits are replayed in order, neither leaves a gap (null)."""
-    replayed = F.aggregate(step["edits"], content, lambda acc, e: apply_edit(acc, e))
-    return F.when(step["new_content"].isNotNull(), step["new_content"]).when(F.size(step["edits"]) > 0, replayed).otherwise(F.lit(None).cast("string"))
-
-
-def all_versions(edits: DataFrame) -> DataFrame:
+def all_versions(edits: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """(session_id, file_path, version, seq, ts, content, lines): every version, null where it can't be known.
 
-    The events of a (session, file) are cut at snapshots; a stretch from one
-    snapshot to the next is one fold, so a long history never meets whole.
+    A snapshot replaces the content, edits are replayed in order, neither leaves a
+    gap. The edits of a (session, file) come to a task in order and one by one; it
+    holds the present content and some ``batch_bytes`` of versions to give out, so
+    a history may be of any length.
     """
-    numbered = versions(edits)
-    order = Window.partitionBy("session_id", "file_path").orderBy("version")
-    stretch = F.sum(F.col("new_content").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    step = F.struct("version", "seq", "ts", "new_content", F.coalesce("edits", F.array().cast("array<struct<old:string,new:string,replace_all:boolean>>")).alias("edits"))
-    grouped = numbered.withColumn("stretch", stretch).groupBy("session_id", "file_path", "stretch").agg(F.array_sort(F.collect_list(step), lambda a, b: a["version"] - b["version"]).alias("steps"))
-    none = F.array().cast("array<struct<version:int,seq:bigint,ts:timestamp,content:string>>")
-
-    def fold(acc: Column, s: Column) -> Column:
-        after = apply_step(acc["content"], s)
-        row = F.struct(s["version"].alias("version"), s["seq"].alias("seq"), s["ts"].alias("ts"), after.alias("content"))
-        return F.struct(after.alias("content"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    done = F.aggregate("steps", F.struct(F.lit(None).cast("string").alias("content"), none.alias("out")), fold)["out"]
-    flat = grouped.select("session_id", "file_path", F.explode(done).alias("v")).select("session_id", "file_path", "v.*")
-    return flat.withColumn("lines", count_lines(F.col("content")))
+    order = ["session_id", "file_path", "seq", "ts", "tool"]
+    rows = edits.select(*order, "new_content", "edits").repartition("session_id", "file_path").sortWithinPartitions(*order)
+    names = ["session_id", "file_path", "version", "seq", "ts", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, version, content = None, 0, None
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in ("session_id", "file_path")] + [pa.int32(), pa.int64(), batch.schema.field("ts").type, pa.string()]
+            # a batch's rows are taken out a few at a time: each may hold a whole file
+            for start in range(0, batch.num_rows, 64):
+                for session, path, seq, ts, _, new, changes in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
+                    if (session, path) != key:
+                        key, version, content = (session, path), 0, None
+                    version += 1
+                    content = new if new is not None else edited(content, changes)
+                    held.append((session, path, version, seq, ts, content))
+                    size += 100 + len(content or "")
+                    if size >= batch_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
+    made = rows.mapInArrow(run, "session_id string, file_path string, version int, seq bigint, ts timestamp, content string")
+    return made.withColumn("lines", count_lines(F.col("content")))
 
 
 def reconstruct(edits: DataFrame, session_id: str, file_path: str, version: int | None = None) -> str | None:
@@ -108,9 +121,3 @@ def version_stream(edits: DataFrame, query: FileQuery, form: str = "jsonl") -> I
         head = {"session_id": r["session_id"], "file_path": r["file_path"], "version": r["version"]}
         body = r["content"]
         yield json.dumps(head | {"content": body}, ensure_ascii=False) + "\n" if form == "jsonl" else json.dumps(head | {"bytes": len(body.encode())}, ensure_ascii=False) + "\n" + body + "\n"
-
-
-def staged_edits(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Edits whose tool call has a successful result; they take the result's seq and time."""
-    good = results.filter(~F.coalesce("is_error", F.lit(False))).select("session_id", "tool_call_id", F.col("seq").alias("result_seq"), F.col("ts").alias("result_ts"))
-    return calls.join(good, ["session_id", "tool_call_id"]).drop("seq", "ts").withColumnsRenamed({"result_seq": "seq", "result_ts": "ts"})

@@ -501,3 +501,31 @@ def test_rows_that_share_an_id_are_rounded_in_groups(spark):
     assert len(out) == 3
     for r in out:
         assert abs(r["taken"] - r["target"]) < 0.01 * r["target"] and r["most"] <= 3
+
+
+def test_bound_of_very_many_trials():
+    """The fraction is as exact for millions of trials as the sum is for few, and quick."""
+    import time
+
+    began = time.perf_counter()
+    assert R.binomial_cdf(5_000_000, 10_000_000, 0.5) == pytest.approx(0.5, abs=2e-4)
+    assert R.binomial_cdf(9_800, 1_000_000, 0.01) == pytest.approx(0.0222, abs=5e-4)
+    assert R.binomial_cdf(0, 50, 0.1) == pytest.approx(0.9**50, rel=1e-10) and R.binomial_cdf(49, 50, 0.1) == pytest.approx(1 - 0.1**50, rel=1e-12)
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.parametrize("make", [lambda df, k: R.counts(df, k), lambda df, k: L.predict(df, None, k), lambda df, k: X.score(df, None, k), lambda df, k: Q.score(df, None, k)])
+def test_kept_columns_that_clash_are_refused(spark, make):
+    df = spark.createDataFrame([(1, "a", 2, 3, 4, 5)], "doc_id long, text string, SCORE int, N_words int, Lang_pred int, __text int")
+    for names in (("doc_id", "SCORE", "N_words"), ("doc_id", "__text"), ("doc_id", "doc_id")):
+        with pytest.raises(ValueError):
+            make(df, names)
+
+
+def test_languages_of_one_id(spark):
+    """An id with rows of two languages teaches each row's own language."""
+    rows = [(i % 50, ("the cat sat on the mat " if lang == "en" else "el gato se sienta en la alfombra ") * 5, lang) for i in range(100) for lang in ("en", "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, F.lit(True))
+    got = L.predict(df, model, ("doc_id", "lang")).filter("lang <> lang_pred").count()
+    assert got == 0

@@ -91,6 +91,13 @@ def split_join(big: DataFrame, small: DataFrame, key: str, spread: str, crowded:
     return cold.unionByName(salted_join(big.join(hot, key, "left_semi"), small.join(hot, key, "left_semi"), key, spread, how))
 
 
+def refuse_clash(keep: tuple[str, ...], *made: str) -> None:
+    """Kept columns must not have the names, in any case, of those that an operator makes or works with."""
+    wrong = [k for k in keep if k.lower() in {m.lower() for m in (*made, "__text", "__text_key")}]
+    if wrong or len({k.lower() for k in keep}) < len(keep):
+        raise ValueError(f"columns {wrong or list(keep)} cannot be kept beside those that are made: {', '.join(made)}")
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

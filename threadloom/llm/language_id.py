@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, encode_words, id_remainder, list_parts, plain_strings, segment_sums, small_side, text_slices
+from .common import documents, encode_words, id_remainder, list_parts, plain_strings, refuse_clash, segment_sums, small_side, text_slices
 
 FIT_ROWS = 8_000
 PROFILE = 40_000
@@ -192,7 +192,8 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS, profile: int =
     """Filters learned from the rows (doc_id, text, lang) for which ``learn`` holds."""
     ids = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     chosen, langs = language_sample(ids, fit_rows)
-    rows = docs.select("doc_id", "text").join(small_side(chosen), "doc_id")
+    # an id may have rows of several languages: each row has its own
+    rows = docs.select("doc_id", "lang", "text").join(small_side(chosen), ["doc_id", "lang"])
     counted = gram_counts(rows.select("lang", "text"))
     rate = counted.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     near = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= F.lit(SHARE) * F.col("top"))
@@ -205,6 +206,7 @@ def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS, profile: int =
 
 def predict(df: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep``, lang_pred and score of each row."""
+    refuse_clash(keep, "lang_pred", "score")
     source = df.select(*keep, F.col(text_col).alias("__text"))
     kinds = dict(source.dtypes)
     held = df.sparkSession.sparkContext.broadcast(model)

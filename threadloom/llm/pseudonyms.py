@@ -372,7 +372,7 @@ def iban(key: Column, m: Column) -> Column:
 
 
 def email(key: Column, m: Column) -> Column:
-    return F.concat(F.lit("p"), F.substring(keyed(key, F.lit("email"), F.lower(m)), 1, 12), F.lit("@pseudonym.invalid"))
+    return F.concat(F.lit("p"), F.substring(keyed(key, F.lit("email"), F.lower(m)), 1, 20), F.lit("@pseudonym.invalid"))
 
 
 def hex_key(key: Column, m: Column) -> Column:

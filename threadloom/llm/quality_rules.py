@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, plain_strings, read_table, text_slices
+from .common import cut, documents, plain_strings, read_table, refuse_clash, text_slices
 from .text_stats import _SYMBOL, _UPPER, TextSlice, line_stats
 
 #: Share of good documents that a stratum may lose, and the chance that one loses more.
@@ -64,6 +64,7 @@ TEXT_KEY = "__text_key"
 
 def counts(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep``, TEXT_KEY and COUNTS of each row."""
+    refuse_clash(keep, *COUNTS)
     source = df.select(*keep, F.xxhash64(F.lower(F.col(text_col))).alias(TEXT_KEY), F.col(text_col).alias("__text"))
     keep = (*keep, TEXT_KEY)
     kinds = dict(source.dtypes)
@@ -104,12 +105,35 @@ def band(n_words: Column) -> Column:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(Binomial(n, p) <= k), summed exactly in logarithms."""
+    """P(Binomial(n, p) <= k): the regularised incomplete beta function of 1 - p, by its continued fraction.
+
+    Some tens of terms are enough for any n, where the sum has k + 1.
+    """
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return math.exp(top) * sum(math.exp(x - top) for x in logs)
+    return beta_share(float(n - k), float(k + 1), 1.0 - p)
+
+
+def beta_share(a: float, b: float, x: float, tiny: float = 1e-300) -> float:
+    """I_x(a, b), the share of a beta distribution's mass up to x."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1) / (a + b + 2):
+        # there the fraction of the other tail converges fast
+        return 1.0 - beta_share(b, a, 1.0 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    out = d
+    # the terms needed grow with the root of the larger parameter
+    for m in range(1, 200 + int(10 * math.sqrt(max(a, b)))):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            c, d = 1.0 + term / c, 1.0 + term * d
+            c, d = c if abs(c) > tiny else tiny, 1.0 / (d if abs(d) > tiny else tiny)
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return front * out
 
 
 def choose(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int, limit: float, level: float) -> int | None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, id_remainder, plain_strings, read_table, text_slices
+from .common import bounded_sample, documents, id_remainder, plain_strings, read_table, refuse_clash, text_slices
 from .text_stats import FEATURES, features
 
 #: Labelled documents that the trees are fitted on, at most.
@@ -138,6 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 def feature_rows(df: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``keep`` and ``features`` (array<double>) of each row."""
+    refuse_clash(keep, "features")
     source = df.select(*keep, F.col(text_col).alias("__text"))
     kinds = dict(source.dtypes)
 
@@ -170,6 +171,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
 
 def score(df: DataFrame, model: Forest, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", cut_score: float = CUT_SCORE) -> DataFrame:
     """``keep``, score and predicted (1 from ``cut_score`` on) of each row."""
+    refuse_clash(keep, "score", "predicted")
     source = df.select(*keep, F.col(text_col).alias("__text"))
     kinds = dict(source.dtypes)
     held = df.sparkSession.sparkContext.broadcast(model)

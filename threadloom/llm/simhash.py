@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CROWDED_ROWS, columns_of, cut, documents, numbered, plain_strings, row_numbers, salted_join, split_join, text_slices, without_rows
+from .common import CROWDED_ROWS, columns_of, cut, documents, numbered, plain_strings, refuse_clash, row_numbers, salted_join, split_join, text_slices, without_rows
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -170,6 +170,7 @@ def fingerprint_texts(texts: list[str], step: int = 1 << 16, part_bytes: int = P
 
 def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` and fp, the fingerprint as a signed long."""
+    refuse_clash(keep, "fp")
     source = df.select(*keep, F.col(text_col).alias("__text"))
     kinds = dict(source.dtypes)
 

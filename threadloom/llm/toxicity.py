@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, encode_words, id_remainder, list_parts, plain_strings, read_table, text_slices
+from .common import bounded_sample, cut, documents, encode_words, id_remainder, list_parts, plain_strings, read_table, refuse_clash, text_slices
 
 FIT_TOXIC = 6_000
 FIT_OTHER = 12_000
@@ -202,7 +202,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
     other = bounded_sample(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", fit_other, salt=12)
     both = toxic.select("doc_id", F.lit(True).alias("positive")).unionByName(other.select("doc_id", F.lit(False).alias("positive")))
     # at most fit_toxic + fit_other ids, so they can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("doc_id", "text", "positive")
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("doc_id", "text", "positive"))
     # an id may be of several rows: all are counted, but only bounded numbers of rows come to the driver
     size = {r["positive"]: r["count"] for r in rows.groupBy("positive").count().collect()}
     n_p, n_u = max(1, size.get(True, 0)), max(1, size.get(False, 0))
@@ -210,7 +210,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
     counted = feature_documents(rows).filter((F.col("p") >= LEAST_TOXIC_DOCS) & (rate_p >= LEAST_RATIO * rate_u))
     best = counted.orderBy(F.desc(F.col("p") * F.log(rate_p / rate_u)), "feature").limit(FEATURES).select("feature").toArrow()
     names = np.sort(best["feature"].to_numpy().view(np.uint64))
-    found = known_features(rows, names)
+    found = cut(known_features(rows, names))
     drawn = lambda which, n: found.filter(which).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "places", "counts").limit(n)
     table = drawn("positive", fit_toxic).unionByName(drawn("NOT positive", fit_other)).toArrow()
     if not table.num_rows or not len(names):
@@ -228,6 +228,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
 
 def score(df: DataFrame, model: ToxicModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep``, score and predicted (1 from 0.5 on) of each row."""
+    refuse_clash(keep, "score", "predicted")
     source = df.select(*keep, F.col(text_col).alias("__text"))
     kinds = dict(source.dtypes)
     held = df.sparkSession.sparkContext.broadcast(model)

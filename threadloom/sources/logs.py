@@ -9,7 +9,7 @@ the splits of a large one.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,10 +206,15 @@ def _whole(told: Told, provider: str) -> Parsed:
     return Parsed(sessions, messages, transcripts, _file_edits(told.edits, _ids(sessions), provider))
 
 
-def claude_lines(raw: DataFrame) -> Told:
-    """Anthropic-style session files; files named agent-* or below subagents/ are spawned sessions."""
+def claude_lines(raw: DataFrame, provider: str = "claude") -> Told:
+    """Anthropic-style session files; files named agent-* or below subagents/ are spawned sessions.
+
+    The desktop application's files have a folder each, which names the session,
+    and times of their own.
+    """
     v = F.col("v")
-    ts = time_at(v, "$.timestamp")
+    desktop = provider == "claude_desktop"
+    ts = F.coalesce(time_at(v, "$._audit_timestamp"), time_at(v, "$.timestamp")) if desktop else time_at(v, "$.timestamp")
     message = F.try_variant_get(v, "$.message", "variant")
     text = F.when(message.isNotNull(), content_text(v, "$.message.content")).otherwise(F.coalesce(trimmed(text_at(v, "$.content")), F.lit("")))
     role = F.coalesce(text_at(v, "$.message.role"), text_at(v, "$.type"))
@@ -239,7 +244,9 @@ def claude_lines(raw: DataFrame) -> Told:
 
     def named(files: DataFrame) -> DataFrame:
         parent = F.when(nested != "", nested).otherwise(F.col("provider_session_id"))
-        files = files.withColumn("parent_session_id", F.when(sub & parent.isNotNull(), F.concat(F.lit("claude:"), parent)))
+        files = files.withColumn("parent_session_id", F.when(sub & parent.isNotNull(), F.concat(F.lit(f"{provider}:"), parent)))
+        if desktop:
+            return files.withColumn("provider_session_id", F.regexp_extract("path", r"/(?:local_(?=[^/]))?([^/]+)/[^/]+$", 1))
         own_id = F.when(sub, F.concat_ws("/", parent, _stem(F.col("path")))).otherwise(F.coalesce("provider_session_id", _stem(F.col("path"))))
         return files.withColumns({"provider_session_id": own_id, "agent_label": F.when(sub, F.col("agent_label"))})
 
@@ -257,6 +264,10 @@ def claude(spark: SparkSession, path: str) -> Parsed:
     return _whole(claude_lines(lines(spark, path)), "claude")
 
 
+def claude_desktop(spark: SparkSession, path: str) -> Parsed:
+    return _whole(claude_lines(lines(spark, path, "audit.jsonl"), "claude_desktop"), "claude_desktop")
+
+
 #: Beginnings of user rows that a program put there.
 _INJECTED = (
     "The following is the Codex agent history", "# AGENTS.md instructions", "<goal_context", "<codex_internal_context", "<hook_prompt", "<environment_context", "<turn_aborted",
@@ -494,13 +505,13 @@ def aistudio(spark: SparkSession, path: str) -> Parsed:
 
 
 PARSERS: dict[str, Callable[[SparkSession, str], Parsed]] = {
-    "claude": claude, "codex": codex, "cursor": cursor, "antigravity": antigravity, "pi": pi, "gemini_cli": gemini_cli, "aistudio": aistudio,
+    "claude": claude, "codex": codex, "cursor": cursor, "antigravity": antigravity, "pi": pi, "claude_desktop": claude_desktop, "gemini_cli": gemini_cli, "aistudio": aistudio,
     "prime_agent": lambda spark, path: pi(spark, path, "prime_agent"),
 }
 
 
 #: Formats of lines that only ever grow, which can be parsed from a byte offset.
-LINE_FORMATS: dict[str, Callable[[DataFrame], Told]] = {"claude": claude_lines, "codex": codex_lines, "pi": pi_lines, "prime_agent": lambda raw: pi_lines(raw, "prime_agent")}
+LINE_FORMATS: dict[str, Callable[[DataFrame], Told]] = {"claude": claude_lines, "codex": codex_lines, "pi": pi_lines, "prime_agent": lambda raw: pi_lines(raw, "prime_agent"), "claude_desktop": lambda raw: claude_lines(raw, "claude_desktop")}
 
 
 def union(parsed: list[Parsed]) -> Parsed:
@@ -512,5 +523,8 @@ def union(parsed: list[Parsed]) -> Parsed:
 
 
 def ingest(spark: SparkSession, roots: dict[str, str]) -> Parsed:
-    """All formats of ``roots`` (provider: folder)."""
-    return union([PARSERS[p](spark, path) for p, path in roots.items()])
+    """All formats of ``roots`` (provider: folder), with what the agents keep beside the logs."""
+    from . import sidecars
+
+    parsed = {p: PARSERS[p](spark, path) for p, path in roots.items()}
+    return union([replace(x, sessions=sidecars.enriched(spark, p, roots[p], x.sessions)) for p, x in parsed.items()])

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize as N
 from ..operators.search import SearchRequest, indexed
-from ..sources import logs, postings, tail
+from ..sources import logs, postings, sidecars, tail
 from ..sources.session import cut
 from ..sources.sinks import transcripts
 from ..sources.tables import FILE_EDITS, MESSAGES, SESSIONS, shaped
@@ -73,7 +73,7 @@ BROADCAST_DEAD = 500_000
 
 
 #: File names of the formats that are not JSON lines or JSON alone.
-GLOBS = {"aistudio": "*.{json,md}"}
+GLOBS = {"aistudio": "*.{json,md}", "claude": "*.jsonl", "codex": "*.jsonl", "claude_desktop": "audit.jsonl"}
 
 
 def discover(spark: SparkSession, provider: str, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -369,11 +369,12 @@ def documents_delta(spark: SparkSession, provider: str, work: DataFrame, store:
     )
 
 
-def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, again: bool = False, repos: DataFrame | None = None) -> dict[str, int]:
+def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, again: bool = False, repos: DataFrame | None = None, root: str | None = None) -> dict[str, int]:
     """Take the files ``found`` into the store as one layer, those that it has seen as they are left out; returns files by state.
 
-    ``again`` parses all of them as wholes. With ``repos`` (path), known roots of
-    repositories, sessions get the one that their working folder lies in.
+    ``again`` parses all of them as wholes. Sessions get what the agent keeps of them
+    below ``root`` (``sources.sidecars``) and, with ``repos`` (path), known roots of
+    repositories, the one that their working folder lies in.
     """
     at = snapshot(spark, store)
     seen = stored(spark, store, "files_seen", at)
@@ -386,6 +387,8 @@ def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, agai
     # all paths of a listing are in one kind of store
     by_lines = provider in logs.LINE_FORMATS and tail.readable(work.select("source_path").first()[0])
     delta = (lines_delta if by_lines else documents_delta)(spark, provider, work, store, at)
+    if root is not None:
+        delta.rows["sessions"] = shaped(sidecars.enriched(spark, provider, root, delta.rows["sessions"]), SESSIONS)
     if repos is not None:
         delta.rows["sessions"] = shaped(N.with_repo_roots(delta.rows["sessions"], repos), SESSIONS)
     layer = write_layer(spark, store, at + 1, delta.rows, delta.dead)
@@ -406,7 +409,7 @@ def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str
     if policy == "existing_only" or policy == "before_query" and age_seconds(spark, store) < max_age_seconds:
         return counts
     for provider, path in roots.items():
-        for state, n in apply(spark, provider, discover(spark, provider, path), store, full, repos).items():
+        for state, n in apply(spark, provider, discover(spark, provider, path), store, full, repos, path).items():
             counts[state] += n
     return counts
 
@@ -483,7 +486,7 @@ def follow(spark: SparkSession, provider: str, path: str, store: str, checkpoint
         found = batch.dropDuplicates(["path"]).select(
             F.lit(provider).alias("provider"), F.col("path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.lit(PARSE_VERSION).alias("parse_version")
         )
-        apply(batch.sparkSession, provider, found, store)
+        apply(batch.sparkSession, provider, found, store, root=path)
         if after:
             after(number)
 

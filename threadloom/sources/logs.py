@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.blocks import deep_text
 from ..operators import normalize as N
 from .tables import FILE_EDITS, shaped
 
@@ -80,8 +81,9 @@ def _block_text(b: Column, depth: int) -> Column:
 
 
 def content_text(v: Column, path: str, depth: int = 1) -> Column:
-    """Text of a string or of an array of blocks at the path."""
-    return F.coalesce(trimmed(text_at(v, path)), _join(F.transform(array_at(v, path), lambda b: _block_text(b, depth))))
+    """Text of a string or of blocks at the path, nested to any depth."""
+    shallow = F.coalesce(trimmed(text_at(v, path)), _join(F.transform(array_at(v, path), lambda b: _block_text(b, depth))))
+    return F.coalesce(deep_text(json_at(v, path)), shallow)
 
 
 def _event(**columns: Column) -> Column:
@@ -289,7 +291,7 @@ def codex_lines(raw: DataFrame) -> Told:
     # arguments are JSON text, input is plain text
     args_text = F.coalesce(text_at(v, "$.payload.arguments"), json_at(v, "$.payload.arguments"))
     args = F.coalesce(F.to_json(F.try_parse_json(args_text)), F.to_json(F.struct(text_at(v, "$.payload.input").alias("input"))))
-    output = F.coalesce(text_at(v, "$.payload.output"), _block_text(F.try_variant_get(v, "$.payload.output", "variant"), 1), F.lit(""))
+    output = F.coalesce(text_at(v, "$.payload.output"), deep_text(json_at(v, "$.payload.output")), _block_text(F.try_variant_get(v, "$.payload.output", "variant"), 1), F.lit(""))
     is_call, is_output = kind.isin("function_call", "custom_tool_call"), kind.isin("function_call_output", "custom_tool_call_output")
     own = (
         F.when(item & (kind == "message") & (role == "user") & injected, _event(**event, role=F.lit("user"), kind=F.lit("harness_notice"), content=text))

@@ -8,10 +8,14 @@ corpus. Coordinates are 0-based code points, ends excluded.
 
 from __future__ import annotations
 
+import queue
+import threading
+import uuid
 from collections.abc import Iterator
 from dataclasses import MISSING, dataclass, fields
 from dataclasses import field as attribute
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -351,19 +355,79 @@ def search(messages: DataFrame, request: SearchRequest, sessions: DataFrame | No
     return Page(rows, request.offset, next_offset, extent, context)
 
 
-def search_batches(messages: DataFrame, request: SearchRequest, batch_rows: int, sessions: DataFrame | None = None) -> Iterator[list[Row]]:
-    """All hits in order, in batches, one partition at a time on the driver."""
+class Batches(Iterator[list[Row]]):
+    """Rows of ``df`` in order, ``batch_rows`` at a time, fetched ``ahead`` batches before they are asked for.
+
+    One partition at a time comes to the driver, in a thread of its own. ``close``
+    (or the end of a ``with`` block) stops it and ends its jobs; so does an error.
+    """
+
+    def __init__(self, df: DataFrame, batch_rows: int, ahead: int = 2):
+        self._context, self._group = df.sparkSession.sparkContext, f"threadloom-{uuid.uuid4().hex}"
+        self._queue: queue.Queue = queue.Queue(maxsize=ahead)
+        self._stop, self._ended = threading.Event(), False
+
+        def put(item: object) -> bool:
+            while not self._stop.is_set():
+                try:
+                    self._queue.put(item, timeout=0.1)
+                    return True
+                except queue.Full:
+                    continue
+            return False
+
+        def run() -> None:
+            self._context.setJobGroup(self._group, "batches of rows", interruptOnCancel=True)
+            try:
+                held: list[Row] = []
+                for row in df.toLocalIterator(prefetchPartitions=True):
+                    held.append(row)
+                    if len(held) == batch_rows:
+                        if not put(held):
+                            return
+                        held = []
+                put(held)
+                put(None)
+            except Exception as e:  # raised to the caller
+                put(e)
+
+        self._thread = InheritableThread(target=run, session=df.sparkSession, daemon=True)
+        self._thread.start()
+
+    def __iter__(self) -> Batches:
+        return self
+
+    def __next__(self) -> list[Row]:
+        while not self._ended:
+            item = self._queue.get()
+            if item is None:
+                self.close()
+            elif isinstance(item, Exception):
+                self.close()
+                raise item
+            elif item:
+                return item
+        raise StopIteration
+
+    def close(self) -> None:
+        if not self._ended:
+            self._ended = True
+            self._stop.set()
+            self._context.cancelJobGroup(self._group)
+            self._thread.join()
+
+    def __enter__(self) -> Batches:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+def search_batches(messages: DataFrame, request: SearchRequest, batch_rows: int, sessions: DataFrame | None = None) -> Batches:
+    """All hits in order, in batches; closing them ends the search."""
     if batch_rows <= 0:
         raise FilterError("batch_rows is positive")
-    rows = enriched(ordered(matching(messages, request, sessions), request), request, sessions)
-    held: list[Row] = []
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == batch_rows:
-            yield held
-            held = []
-    if held:
-        yield held
+    return Batches(enriched(ordered(matching(messages, request, sessions), request), request, sessions), batch_rows)
 
 
 def corpus_count(messages: DataFrame, filters: MessageFilters, sessions: DataFrame | None = None) -> int:

@@ -48,6 +48,8 @@ from ..sources import logs, postings, sidecars, tail
 from ..sources.session import cut
 from ..sources.sinks import transcripts
 from ..sources.tables import FILE_EDITS, MESSAGES, SESSIONS, shaped
+from .lease import Lease, claim
+from .lease import file_system as _fs
 
 #: What is known of a file's lines so far; null for files of whole documents.
 PROGRESS = (
@@ -100,11 +102,6 @@ def changes(discovered: DataFrame, seen: DataFrame) -> DataFrame:
 # --- the store: layers and numbered manifests ---------------------------------
 
 
-def _fs(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def manifests(spark: SparkSession, store: str) -> list[int]:
     """Numbers of the store's manifests, in order."""
     fs, folder = _fs(spark, f"{store}/_manifests")
@@ -153,16 +150,8 @@ def manifest(spark: SparkSession, store: str, at: int | None = None) -> list[Lay
 
 def publish(spark: SparkSession, store: str, held: list[Layer], after: int) -> int:
     """Make the layers ``held`` the store, if ``after`` is still its manifest; raises FileExistsError if another run was faster.
-
-    The file is written under a name of its own and renamed, so nobody reads half of it.
     """
-    fs, target = _fs(spark, f"{store}/_manifests/{after + 1:010d}.json")
-    _, aside = _fs(spark, f"{store}/_manifests/_{uuid.uuid4().hex}")
-    out = fs.create(aside, False)
-    out.write(json.dumps([asdict(x) for x in held], sort_keys=True).encode())
-    out.close()
-    if fs.exists(target) or not fs.rename(aside, target):
-        fs.delete(aside, False)
+    if not claim(spark, f"{store}/_manifests/{after + 1:010d}.json", json.dumps([asdict(x) for x in held], sort_keys=True).encode()):
         raise FileExistsError(f"manifest {after + 1} of {store} is there already")
     return after + 1
 
@@ -397,12 +386,17 @@ def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, agai
     return counts
 
 
-def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0, repos: DataFrame | None = None) -> dict[str, int]:
+def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0, repos: DataFrame | None = None, lease_seconds: float | None = None) -> dict[str, int]:
     """Bring the store up to date; returns how many files were in each state.
 
     policy ``existing_only`` leaves the store as it is; ``before_query`` does if its
     manifest is younger than ``max_age_seconds``. ``full`` parses all files as wholes.
+    With ``lease_seconds`` one refresher works at a time: others stand in line and
+    then see its result, so they find nothing left to parse.
     """
+    if lease_seconds is not None:
+        with Lease(spark, store, lease_seconds):
+            return refresh(spark, roots, store, policy, full, max_age_seconds, repos)
     counts = {"new": 0, "changed_file": 0, "changed_parser": 0, "current": 0}
     if policy not in ("auto", "before_query", "existing_only"):
         raise ValueError("policy is auto, before_query or existing_only")

@@ -99,11 +99,13 @@ def tokens(text: Column) -> Column:
 def ngrams(words: Column, least: int, most: int) -> Column:
     """All windows of ``least`` to ``most`` words, joined by blanks, shorter windows first, in order."""
 
-    def of_width(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    def windows(w: Column) -> Column:
+        of_width = lambda n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        wide = F.sequence(F.lit(least), F.least(F.lit(max(least, most)), F.size(w)))
+        return F.when(F.size(w) >= least, F.flatten(F.transform(wide, of_width))).otherwise(F.array().cast("array<string>"))
 
-    wide = F.sequence(F.lit(least), F.least(F.lit(max(least, most)), F.size(words)))
-    return F.when(F.size(words) >= least, F.flatten(F.transform(wide, of_width))).otherwise(F.array().cast("array<string>"))
+    # the words are an element of an array, so they are made once and not once a window
+    return F.coalesce(F.transform(F.array(words), windows)[0], F.array().cast("array<string>"))
 
 
 def phrase_words(phrase: Column) -> Column:

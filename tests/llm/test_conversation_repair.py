@@ -6,6 +6,7 @@ import sys
 import zlib
 from functools import lru_cache
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -100,6 +101,17 @@ def test_whole_table(spark):
     assert result(cr.query(spark, folder)) == brute(brute_damage(rows))
 
 
+def test_sql_says_the_same(tmp_path):
+    """The recursive SQL against the plain recursion, over the table and over rows with nulls and ties."""
+    con = duckdb.connect()
+    for rows in ([tuple(r) for r in con.execute("SELECT conv_id, turn, role, text FROM '/root/testdata/sf0.01/conversations.parquet'").fetchall()], made(60, 24) + made(2, 60, 9)):
+        con.execute("CREATE OR REPLACE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        found = con.execute(cr.ORACLE_SQL)
+        assert [c[0] for c in found.description] == ["conv_id", *cr.RESULT]
+        assert {r[0]: tuple(r[1:]) for r in found.fetchall()} == brute(brute_damage(rows))
+
+
 def made(n_convs, longest, seed=3):
     rng = np.random.default_rng(seed)
     roles = ["user", "assistant", "system", "tool", "", None]

@@ -429,3 +429,50 @@ def repair(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: all conversations, damaged by hash and repaired."""
     return repair(damage(read_table(spark, sf_dir, "conversations")))
+
+
+#: The same by a recursive table over (rows read, last initial), with crc32 bit by bit.
+ORACLE_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::UBIGINT)), lambda acc, b:
+                      list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 20 AS fate FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM f, unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS tail FROM d),
+m AS (SELECT *, CASE WHEN tail = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(tail, '[.!?]$') THEN 3 ELSE 0 END AS fault,
+             substr(role, 1, 1) AS initial, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) AS before FROM o),
+-- the cheapest edits that read i rows and end in a state: 0 nothing written, else the last initial
+r AS (SELECT conv_id, 0::BIGINT AS i, '0' AS s, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS said FROM (SELECT DISTINCT conv_id FROM m)
+      UNION ALL
+      (SELECT conv_id, i, s, cost, audit, said FROM (
+         SELECT e.conv_id, m.i,
+                CASE a.edit WHEN 'D' THEN e.here WHEN 'K' THEN m.initial ELSE e.due END AS s,
+                e.cost + CASE a.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN a.edit <> 'D' AND m.fault = 3 THEN 1 ELSE 0 END AS cost,
+                e.audit || a.edit AS audit,
+                CASE a.edit WHEN 'D' THEN e.said WHEN 'K' THEN list_append(e.said, m.role || ':' || m.text)
+                            ELSE list_append(e.said, CASE e.due WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text) END AS said
+         FROM (SELECT *, CASE WHEN here = 'u' THEN 'a' ELSE 'u' END AS due FROM (
+                 SELECT conv_id, i, cost + 2 * n AS cost, audit || repeat('I', n) AS audit,
+                        CASE WHEN n = 0 THEN s WHEN (s = 'u') = (n = 1) THEN 'a' ELSE 'u' END AS here,
+                        CASE n WHEN 0 THEN said WHEN 1 THEN list_append(said, CASE WHEN s = 'u' THEN 'assistant:' ELSE 'user:' END)
+                               ELSE said || CASE WHEN s = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END END AS said
+                 FROM r, unnest([0, 1, 2]) AS u(n))) e
+         JOIN m ON m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.i = e.i + 1
+         JOIN (VALUES ('K'), ('R'), ('D')) AS a(edit)
+           ON a.edit = 'D' OR m.fault NOT IN (1, 2) AND (a.edit = 'R' OR m.initial = e.due OR e.here = '0' AND m.initial = 's'))
+       QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1)),
+ended AS (SELECT r.conv_id, cost + 2 * n AS cost, audit || repeat('I', n) AS audit,
+                 CASE n WHEN 0 THEN said WHEN 1 THEN list_append(said, 'assistant:') ELSE said || ['user:', 'assistant:'] END AS said
+          FROM r JOIN (SELECT conv_id, max(i) AS last FROM m GROUP BY conv_id) z ON z.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = z.last,
+               unnest(CASE s WHEN 'u' THEN [1] WHEN 's' THEN [2] ELSE [0] END) AS u(n)),
+best AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+             count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

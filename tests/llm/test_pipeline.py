@@ -111,5 +111,5 @@ def test_stages_take_odd_rows(spark, rows):
 
 def test_names_are_registered():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(names)

@@ -1,36 +1,58 @@
 """Fuzzy match: the letters of every word of the query in order, scored.
 
 Membership is exact: each blank-separated word of the query must be an ordered
-subsequence of the text, caseless, and plain letters also match accented ones.
+subsequence of the text, caseless, and letters also match their accented forms.
 The score follows the published affine-gap scheme for subsequence matches: 16 a
 character, bonuses at word starts, after separators and at case changes, less 3
-for the first and 1 for each further skipped character between matches.
+for the first and 1 for each further skipped character between matches. A
+character is a grapheme cluster, told by its first code point: a letter and its
+combining marks are one, and a match covers all code points of its clusters.
 
 Membership is a built-in predicate, so it runs before any Python: only rows
-that match reach the scorer, in Arrow batches.
+that match reach the scorer, in Arrow batches, all texts of a batch at once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH, GAP_START, GAP_MORE = 16, 3, 1
 BOUNDARY, AFTER_SPACE, CAMEL, CONSECUTIVE, FIRST = 8, 10, 7, 4, 2
+#: Code points scored at once; a longer text is scored alone.
+SLICE = 1_000_000
+
+
+@lru_cache(maxsize=65_536)
+def plain_letter(c: str) -> str:
+    """Lower case, without marks: only a letter followed by nothing but marks loses them."""
+    parts = unicodedata.normalize("NFD", c)
+    base = parts[0] if all(unicodedata.combining(m) for m in parts[1:]) else c
+    low = base.lower()
+    return low if len(low) == 1 else base
 
 
 def plain(text: str) -> str:
     """One character for each of the text's: lower case without accents."""
-    out = []
-    for c in text:
-        base = unicodedata.normalize("NFD", c)[0]
-        low = base.lower()
-        out.append(low if len(low) == 1 else base)
-    return "".join(out)
+    return "".join(map(plain_letter, text))
+
+
+@lru_cache(maxsize=1)
+def _forms() -> dict[str, str]:
+    """All characters that fold to a letter, by letter; those that only fold to themselves are left out."""
+    out: dict[str, str] = {}
+    for i in (*range(0x41, 0xAC00), *range(0xE000, 0x1F000), *range(0x2F800, 0x2FA20)):
+        low = plain_letter(chr(i))
+        if low != chr(i):
+            out[low] = out.get(low, "") + chr(i)
+    return out
 
 
 def words_of(query: str) -> list[str]:
@@ -38,9 +60,8 @@ def words_of(query: str) -> list[str]:
 
 
 def letter_class(letter: str) -> str:
-    """The inside of a pattern class: the letter and, for a plain one, its accented forms."""
-    forms = letter + "".join(chr(i) for i in range(0xC0, 0x250) if letter.isascii() and letter.isalpha() and plain(chr(i)) == letter)
-    return "".join("\\" + c if c in r"\^-[]&" else c for c in dict.fromkeys(forms + forms.upper()))
+    """The inside of a pattern class: the letter and all characters that fold to it."""
+    return "".join("\\" + c if c in r"\^-[]&" else c for c in letter + _forms().get(letter, ""))
 
 
 def membership(query: str, text: Column) -> Column:
@@ -101,26 +122,167 @@ def match_word(word: str, text: str, folded: str) -> tuple[int, list[int]] | Non
     return max(best.values(), key=lambda x: (x[0], -x[1][0])) if best else None
 
 
+def clusters(text: str) -> list[int]:
+    """Where each grapheme cluster begins, in code points, and the text's length."""
+    import regex
+
+    return [m.start() for m in regex.finditer(r"\X", text)] + [len(text)]
+
+
+#: Blocks without marks, joiners or conjoining letters, where each code point is a cluster.
+SIMPLE = re.compile("[\\0-\xac\xae-\u02ff\u0370-\u0482\u048a-\u058f\u2010-\u2027\u2030-\u205e\u20a0-\u20cf\u2100-\u2bff\u3000-\u3029\u3030-\u3098\u309b-\ua48c\uac00-\ud7a3\uff01-\uff9d]*")
+
+
+def single(text: str) -> bool:
+    """Whether each code point is surely a cluster."""
+    return (text.isascii() or SIMPLE.fullmatch(text) is not None) and "\r\n" not in text
+
+
 def match(query: str, text: str | None) -> tuple[int, list[int]] | None:
-    """Score and places of all words of the query, or None."""
+    """Score and places (code points of all matched clusters) of all words of the query, or None."""
     if text is None:
         return None
-    folded, total, places = plain(text), 0, set()
+    starts = list(range(len(text) + 1)) if single(text) else clusters(text)
+    units = "".join(text[i] for i in starts[:-1])
+    folded, total, places = plain(units), 0, set()
     for word in words_of(query):
-        found = match_word(plain(word), text, folded)
+        found = match_word(plain(word), units, folded)
         if found is None:
             return None
         total += found[0]
-        places |= set(found[1])
+        places |= {p for u in found[1] for p in range(starts[u], starts[u + 1])}
     return total, sorted(places)
 
 
+#: Code points below are looked up in a table, those above (hardly any are letters) one by one.
+TABLE = 0x3000
+
+
+def per_letter(units: np.ndarray, value: Callable[[str], int]) -> np.ndarray:
+    """``value`` of each unit, asked once for each code point."""
+    low = units < TABLE
+    out = table_of(value)[np.where(low, units, 0)]
+    if not low.all():
+        known, which = np.unique(units[~low], return_inverse=True)
+        out[~low] = np.fromiter((value(chr(c)) for c in known), np.int64, len(known))[which]
+    return out
+
+
+@lru_cache(maxsize=8)
+def table_of(value: Callable[[str], int]) -> np.ndarray:
+    return np.fromiter((value(chr(c)) for c in range(TABLE)), np.int64, TABLE)
+
+
+def folded_code(c: str) -> int:
+    return ord(plain_letter(c))
+
+
+def kinds_of(c: str) -> int:
+    return c.isalnum() | c.isspace() << 1 | c.islower() << 2 | c.isupper() << 3 | c.isdigit() << 4
+
+
+def bonuses(units: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``bonus_at`` for every unit; ``first`` marks those that begin a text."""
+    own = per_letter(units, kinds_of)
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[first] = kinds_of(" ")
+    turns = (before & 4 != 0) & (own & 8 != 0) | (own & 16 != 0) & (before & 16 == 0)
+    found = np.where(before & 2, AFTER_SPACE, np.where(before & 1, np.where(turns, CAMEL, 0), BOUNDARY))
+    return np.where(own & 1, found, 0)
+
+
+def word_scores(word: str, folded: np.ndarray, bonus: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each row its place in what follows (-1: no match); then, for matched rows, ``match_word``'s score and, letter by letter, the unit.
+
+    One step a letter over the places of that letter in all texts. The best place
+    before a gap is a running maximum; each row lifts its values above those of
+    the rows before it, so that none is taken over from another row.
+    """
+    spots = np.flatnonzero(folded == ord(word[0]))
+    score, origin = MATCH + bonus[spots] * FIRST, spots
+    trail: list[tuple[np.ndarray, np.ndarray]] = [(spots, np.empty(0, np.int64))]
+    lift, none = np.int64(4 * len(folded) + 64 * len(word) + 1024), np.iinfo(np.int64).min // 4
+    for c in word[1:]:
+        here = np.flatnonzero(folded == ord(c))
+        if not len(spots) or not len(here):
+            return np.full(rows, -1, np.int64), []
+        # the best score that ends at least two units before, its place added and later taken away
+        value = score + GAP_MORE * spots + lift * row[spots]
+        top = np.maximum.accumulate(value)
+        fresh = np.concatenate([[True], value[1:] > top[:-1]])
+        source = np.maximum.accumulate(np.where(fresh, np.arange(len(value)), 0))
+        last = np.searchsorted(spots, here - 1) - 1
+        far = source[np.maximum(last, 0)]
+        apart = (last >= 0) & (row[spots[far]] == row[here])
+        by_gap = np.where(apart, score[far] + GAP_MORE * spots[far] - GAP_MORE * here + 2 * GAP_MORE - GAP_START + MATCH + bonus[here], none)
+        close = np.minimum(np.searchsorted(spots, here - 1), len(spots) - 1)
+        beside = (spots[close] == here - 1) & (row[spots[close]] == row[here])
+        by_run = np.where(beside, score[close] + MATCH + np.maximum(bonus[here], CONSECUTIVE), none)
+        kept = np.flatnonzero(apart | beside)
+        parent = np.where(by_run > by_gap, close, far)[kept]
+        score, origin, spots = np.maximum(by_run, by_gap)[kept], origin[parent], here[kept]
+        trail.append((spots, parent))
+    found = np.full(rows, -1, np.int64)
+    if not len(spots):
+        return found, []
+    order = np.lexsort((spots, origin, -score, row[spots]))
+    best = order[np.concatenate([[True], np.diff(row[spots[order]]) > 0])]
+    matched = row[spots[best]]
+    found[matched] = np.arange(len(best))
+    taken, at = [], best
+    for places, parent in reversed(trail):
+        taken.append(places[at])
+        at = parent[at] if len(parent) else at
+    return found, [score[best], *reversed(taken)]
+
+
+def match_all(query: str, texts: list[str | None]) -> list[tuple[int, list[int]] | None]:
+    """``match`` of every text, in one run over slices of them all."""
+    out: list[tuple[int, list[int]] | None] = [None] * len(texts)
+    words = [plain(w) for w in words_of(query)]
+    for group in sliced(texts):
+        starts = [np.arange(len(texts[i]) + 1) if single(texts[i]) else np.array(clusters(texts[i])) for i in group]
+        codes = [np.frombuffer(texts[i].encode("utf-32-le"), np.uint32)[s[:-1]] for i, s in zip(group, starts)]
+        sizes = np.array([len(c) for c in codes])
+        units, row, base = np.concatenate(codes), np.repeat(np.arange(len(group)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        if not len(units):
+            continue
+        folded = per_letter(units, folded_code)
+        first = np.zeros(len(units), bool)
+        first[base[sizes > 0]] = True
+        bonus = bonuses(units, first)
+        results = [word_scores(w, folded, bonus, row, len(group)) for w in words]
+        for g, i in enumerate(group):
+            at = [found[g] for found, _ in results]
+            if min(at) < 0:
+                continue
+            taken = {int(t[k]) - int(base[g]) for (_, parts), k in zip(results, at) for t in parts[1:]}
+            out[i] = sum(int(parts[0][k]) for (_, parts), k in zip(results, at)), sorted(p for u in taken for p in range(int(starts[g][u]), int(starts[g][u + 1])))
+    return out
+
+
+def sliced(texts: list[str | None]) -> Iterator[list[int]]:
+    """Places of the texts that aren't null, in groups of at most ``SLICE`` code points or of one text."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        if group and size + len(text) > SLICE:
+            yield group
+            group, size = [], 0
+        group.append(i)
+        size += len(text)
+    if group:
+        yield group
+
+
 def scored(df: DataFrame, query: str, column: str) -> DataFrame:
     """Rows whose ``column`` matches, with fuzzy_score and fuzzy_places (0-based code points)."""
 
     @F.pandas_udf("struct<score:bigint,places:array<int>>")
     def score(texts: pd.Series) -> pd.DataFrame:
-        found = [match(query, t) for t in texts]
+        found = match_all(query, texts.tolist())
         return pd.DataFrame({"score": pd.array([f[0] if f else None for f in found], dtype="Int64"), "places": [f[1] if f else None for f in found]})
 
     hit = df.filter(membership(query, F.col(column))).withColumn("__f", score(F.col(column)))

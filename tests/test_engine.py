@@ -203,18 +203,6 @@ def test_relative_age_and_prefix(spark):
     assert [r[0] for r in df.select(text.relative_age(F.col("t"), now)).collect()] == ["2d ago", "-"]
 
 
-def test_quotas_go_round():
-    assert search.quotas([5, 1, 9], 9) == [4, 1, 4] and search.quotas([2, 2], 100) == [2, 2] and search.quotas([3, 3, 3], 4) == [2, 1, 1] and search.quotas([], 3) == [] and search.quotas([0, 4], 2) == [0, 2]
-    for sizes in ([7, 0, 3, 12], [1] * 9, [100, 1]):
-        for total in range(0, 30):
-            given, left = [0] * len(sizes), total
-            while left and any(g < n for g, n in zip(given, sizes)):
-                for i, n in enumerate(sizes):
-                    if left and given[i] < n:
-                        given[i], left = given[i] + 1, left - 1
-            assert search.quotas(sizes, total) == given
-
-
 def test_effective_request():
     told = search.SearchRequest(query="a b", limit=7).effective()
     assert told["query"] == ("a b", "given") and told["limit"] == (7, "given") and told["mode"] == ("literal", "default")

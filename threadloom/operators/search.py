@@ -203,24 +203,6 @@ def context_rows(messages: DataFrame, hits: DataFrame, before: int, after: int)
     return marked.withColumn("__near", F.max("__hit").over(reach)).filter("__near = 1").withColumn("is_match", F.col("__hit").isNotNull()).drop("__hit", "__near")
 
 
-def quotas(sizes: list[int], total: int) -> list[int]:
-    """How many rows each section may show of ``total``: one at a time in turn, none beyond its size."""
-    given, left = [0] * len(sizes), max(0, total)
-    open_ = [i for i, n in enumerate(sizes) if n > 0]
-    while open_ and left:
-        # as many full turns at once as the smallest open section allows
-        turns = min(min(sizes[i] - given[i] for i in open_), left // len(open_))
-        if not turns:
-            for i in open_[:left]:
-                given[i] += 1
-            break
-        for i in open_:
-            given[i] += turns
-        left -= turns * len(open_)
-        open_ = [i for i in open_ if given[i] < sizes[i]]
-    return given
-
-
 def read_session(messages: DataFrame, session_id: str, filters: MessageFilters | None = None, newest_first: bool = False) -> DataFrame:
     """One session's rows that the filters leave, in order of sequence; the session's filter reaches the scan."""
     own = messages.filter(F.col("session_id") == session_id)

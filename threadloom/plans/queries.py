@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, jsonptr, patterns, refs, text
 from ..functions.digests import framed_digest
-from ..operators import analysis, analytics, classify, files, fuzzy, normalize, search
+from ..operators import analysis, analytics, classify, evidence, files, fuzzy, normalize, search
 from ..operators.filters import FileQuery, MessageFilters, PathScope, SessionFilters, attributable_human
 from ..sources import postings, sinks
 from ..sources import tables as T
@@ -212,6 +212,56 @@ def inspect_files(spark, d):
     return search.inspect(s, spark.createDataFrame([], T.MESSAGES), e).select("id", "edits", "files")
 
 
+def _session_evidence(limit: int, latest: bool) -> str:
+    """SQL of ``inspect_evidence``: turns as a person's messages, events as tool calls, pages as results with 1 to 20 addresses, order lines as edits."""
+    way = "DESC" if latest else ""
+    return f"""
+WITH m AS (SELECT 'conv:' || conv_id AS session_id, turn AS seq, CASE WHEN role = 'system' THEN 'user' ELSE role END AS role, 'conversation' AS kind, NULL AS tool_name, coalesce(text, '') AS content, 0 AS n FROM conversations
+           UNION ALL SELECT 'conv:' || user_id, 1000000 + event_id, 'tool', 'tool_call', event_type, '{{"args":' || props || ',"kind":"tool_call"}}', 0 FROM events
+           UNION ALL SELECT 'conv:' || (page_id - page_id % 8), 1000000000 + page_id, 'tool', 'tool_result', 'fetch', array_to_string([url || '/' || i FOR i IN range(1, page_id % 20 + 2)], ' '), page_id % 20 + 1 FROM pages),
+p AS (SELECT session_id, 0 AS section, seq, NULL AS name, NULL AS kind, length(content) AS chars, 0 AS n, NULL::BIGINT AS edits FROM m WHERE role = 'user'
+      UNION ALL SELECT session_id, 1, seq, tool_name, CASE kind WHEN 'tool_call' THEN 'call' ELSE 'result' END, length(content), 0, NULL FROM m WHERE role = 'tool'
+      UNION ALL SELECT session_id, 2, seq, tool_name, role, length(content), n, NULL FROM m WHERE n > 0
+      UNION ALL SELECT 'conv:' || l_orderkey, 3, NULL, '/repo/src/part' || l_partkey || CASE WHEN l_partkey % 2 = 0 THEN '.rs' ELSE '.py' END AS name, 'claude', NULL, 0, count(*) FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, section ORDER BY seq {way}, name) AS rank FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank, section) <= {limit} AS shown FROM r),
+u AS (SELECT session_id, rank, unnest(range(n)) AS i FROM k WHERE shown AND section = 2),
+v AS (SELECT session_id, rank, row_number() OVER (PARTITION BY session_id ORDER BY i, rank) <= {limit} AS held FROM u),
+w AS (SELECT session_id, rank, count_if(held) AS refs, count_if(NOT held) AS lost FROM v GROUP BY ALL),
+t AS (SELECT session_id, bool_or(section = 0 AND NOT shown) AS a, bool_or(section = 1 AND NOT shown) AS b, bool_or(section = 2 AND NOT shown) AS c, bool_or(section = 3 AND NOT shown) AS e FROM k GROUP BY session_id),
+x AS (SELECT session_id, bool_or(lost > 0) AS d FROM w GROUP BY session_id)
+SELECT k.session_id, ['user_intent', 'tool_activity', 'reference_messages', 'changed_files'][section + 1] AS section, seq, name, kind, chars, CASE WHEN section = 2 THEN w.refs END AS refs, edits,
+       concat_ws(' ', CASE WHEN a THEN 'user_intent' END, CASE WHEN b THEN 'tool_activity' END, CASE WHEN c THEN 'reference_messages' END, CASE WHEN d THEN 'references' END, CASE WHEN e THEN 'changed_files' END) AS truncated
+FROM k JOIN t USING (session_id) LEFT JOIN x USING (session_id) LEFT JOIN w ON w.session_id = k.session_id AND w.rank = k.rank AND section = 2 WHERE shown"""
+
+
+def _active_messages(spark: SparkSession, d: str) -> DataFrame:
+    turns = T.conversation_messages(spark, d).withColumn("kind", F.lit("conversation"))
+    calls = T.event_messages(spark, d).withColumns({"session_id": F.regexp_replace("session_id", "^user:", "conv:"), "seq": F.col("id") + 1_000_000})
+    page = F.col("page_id")
+    links = F.array_join(F.transform(F.sequence(F.lit(1), (page % 20 + 1).cast("int")), lambda i: F.concat("url", F.lit("/"), i.cast("string"))), " ")
+    read = T.table(spark, d, "pages").select(
+        F.concat(F.lit("conv:"), (page - page % 8).cast("string")).alias("session_id"), (page + 1_000_000_000).alias("seq"), F.lit("tool").alias("role"), F.lit("tool_result").alias("kind"), F.lit("fetch").alias("tool_name"), links.alias("content")
+    )
+    return turns.unionByName(calls).unionByName(T.shaped(read, T.MESSAGES))
+
+
+def _evidence(spark: SparkSession, d: str, limit: int, window: str) -> DataFrame:
+    edits = T.lineitem_edits(spark, d).withColumn("session_id", F.regexp_replace("session_id", "^o:", "conv:"))
+    found = evidence.evidence(_active_messages(spark, d), edits, limit, window)
+    return found.select("session_id", "section", "seq", "name", "kind", "chars", F.size("refs").cast("bigint").alias("refs"), "edits", F.array_join("truncated", " ").alias("truncated"))
+
+
+@query("inspect_evidence", _session_evidence(12, False))
+def inspect_evidence(spark, d):
+    return _evidence(spark, d, 12, "first")
+
+
+@query("inspect_evidence_latest", _session_evidence(5, True))
+def inspect_evidence_latest(spark, d):
+    return _evidence(spark, d, 5, "latest")
+
+
 _FUZZY = "thing"
 _FUZZY_SQL = "".join("[^{0}]*[{0}]".format(fuzzy.letter_class(c)) for c in _FUZZY)
 

@@ -232,13 +232,14 @@ def file_name(path: Column) -> Column:
 
 
 def with_repo_roots(sessions: DataFrame, roots: DataFrame) -> DataFrame:
-    """Sessions with ``repo_root``: the longest of the known ``roots`` (path) that the working folder is or lies below.
+    """Sessions with ``repo_root``: the longest of the known ``roots`` (path; perhaps root, what to store for it) that the working folder is or lies below.
 
     Every folder above the working folder is looked up by equality, so no prefix is compared with all roots.
     """
     parts = F.split(F.regexp_replace("cwd", "/+$", ""), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     folders = sessions.filter(F.col("cwd").isNotNull()).select("id", F.explode(above).alias("path"))
-    known = roots.select(F.regexp_replace("path", "/+$", "").alias("path")).distinct()
-    found = folders.join(known, "path").groupBy("id").agg(F.max_by("path", F.length("path")).alias("__root"))
+    path = F.regexp_replace("path", "/+$", "")
+    known = roots.select(path.alias("path"), (F.col("root") if "root" in roots.columns else path).alias("__name")).dropDuplicates(["path"])
+    found = folders.join(known, "path").groupBy("id").agg(F.max_by("__name", F.length("path")).alias("__root"))
     return sessions.join(found, "id", "left").withColumn("repo_root", F.coalesce("__root", "repo_root")).drop("__root")

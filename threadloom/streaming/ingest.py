@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize as N
 from ..operators.search import SearchRequest, indexed
-from ..sources import logs, postings, sidecars, tail
+from ..sources import logs, places, postings, sidecars, tail
 from ..sources.session import cut
 from ..sources.sinks import transcripts
 from ..sources.tables import FILE_EDITS, MESSAGES, SESSIONS, shaped
@@ -79,12 +79,13 @@ GLOBS = {"aistudio": "*.{json,md}", "claude": "*.jsonl", "codex": "*.jsonl", "cl
 
 
 def discover(spark: SparkSession, provider: str, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Files below ``path`` with time and size; contents are not read."""
+    """Files below ``path`` with time and size, each once under whatever links it has; contents are not read."""
     glob = glob or GLOBS.get(provider, "*.json*")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return read.select(
+    listed = read.select(
         F.lit(provider).alias("provider"), F.col("path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size_bytes"), F.lit(PARSE_VERSION).alias("parse_version")
     )
+    return places.unique_sources(listed)
 
 
 def changes(discovered: DataFrame, seen: DataFrame) -> DataFrame:
@@ -358,12 +359,13 @@ def documents_delta(spark: SparkSession, provider: str, work: DataFrame, store:
     )
 
 
-def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, again: bool = False, repos: DataFrame | None = None, root: str | None = None) -> dict[str, int]:
+def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, again: bool = False, repos: DataFrame | str | None = None, root: str | None = None) -> dict[str, int]:
     """Take the files ``found`` into the store as one layer, those that it has seen as they are left out; returns files by state.
 
     ``again`` parses all of them as wholes. Sessions get what the agent keeps of them
     below ``root`` (``sources.sidecars``) and, with ``repos`` (path), known roots of
-    repositories, the one that their working folder lies in.
+    repositories, the one that their working folder lies in; ``repos`` "found" looks
+    for the roots above the working folders, which executors must be able to read.
     """
     at = snapshot(spark, store)
     seen = stored(spark, store, "files_seen", at)
@@ -378,6 +380,11 @@ def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, agai
     delta = (lines_delta if by_lines else documents_delta)(spark, provider, work, store, at)
     if root is not None:
         delta.rows["sessions"] = shaped(sidecars.enriched(spark, provider, root, delta.rows["sessions"]), SESSIONS)
+    if isinstance(repos, str):
+        if repos != "found":
+            raise ValueError('repos is a table of paths or "found"')
+        delta.rows["sessions"] = cut(delta.rows["sessions"])
+        repos = cut(places.repository_roots(delta.rows["sessions"]))
     if repos is not None:
         delta.rows["sessions"] = shaped(N.with_repo_roots(delta.rows["sessions"], repos), SESSIONS)
     layer = write_layer(spark, store, at + 1, delta.rows, delta.dead)
@@ -386,7 +393,7 @@ def apply(spark: SparkSession, provider: str, found: DataFrame, store: str, agai
     return counts
 
 
-def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0, repos: DataFrame | None = None, lease_seconds: float | None = None) -> dict[str, int]:
+def refresh(spark: SparkSession, roots: dict[str, str], store: str, policy: str = "auto", full: bool = False, max_age_seconds: float = 60.0, repos: DataFrame | str | None = None, lease_seconds: float | None = None) -> dict[str, int]:
     """Bring the store up to date; returns how many files were in each state.
 
     policy ``existing_only`` leaves the store as it is; ``before_query`` does if its

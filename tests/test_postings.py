@@ -132,3 +132,25 @@ def test_lists_follow_the_store(spark, tmp_path):
     assert check() == {"needle": 2, "(?:foo|bar)baz[0-9]": 2, "x": 1}
     ingest.vacuum(spark, store, keep=1)
     assert check()["needle"] == 2 and len(list(Path(store, "_lists").iterdir())) == 1
+
+
+def test_no_batch_holds_wide_lists(spark, tmp_path, monkeypatch):
+    """Workers get single postings and coded pieces of bounded lists, never arrays of numbers; the lists are those of the rows."""
+    plan = postings.posting_rows(spark.range(10).select(F.col("id").alias("doc"), F.lit("some text").alias("content")))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    monkeypatch.setattr(postings, "HELD", 50)
+    rnd = random.Random(9)
+    given = [("".join(rnd.choices("abé", k=3)), d >> 6, d) for d in rnd.sample(range(1000), 900)] + [("zzz", 2**40 >> 6, 2**40)]
+    kinds = pa.schema([("term", pa.string()), ("block", pa.int64()), ("doc", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in given[i : i + 7]], kinds) for i in range(0, len(given), 7)]
+    made = [r for p in postings.pieces(iter(batches)) for r in p.to_pylist()]
+    assert sum(r["n"] for r in made) == len(given) and max(r["n"] for r in made) <= 56
+    made.sort(key=lambda r: (r["term"], r["block"], r["first"]))
+    coded = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("docs", pa.binary())])
+    sorted_batches = [pa.RecordBatch.from_pylist([{c: r[c] for c in coded.names} for r in made[i : i + 11]], coded) for i in range(0, len(made), 11)]
+    got = [(r["term"], r["block"], r["n"], postings.decode(r["docs"]).tolist()) for p in postings.joined(iter(sorted_batches)) for r in p.to_pylist()]
+    want = {}
+    for term, block, doc in given:
+        want.setdefault((term, block), []).append(doc)
+    assert got == [(t, b, len(d), sorted(d)) for (t, b), d in sorted(want.items())]
+    assert list(postings.joined(iter([]))) == [] and list(postings.pieces(iter([]))) == []

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ POSTINGS = "term string, block bigint, n int, docs binary"
 #: Numbers of documents in a block: a power of two.
 BLOCK = 1 << 16
 
+#: Postings that a worker codes or decodes at once.
+HELD = 1 << 19
+
 #: Bytes of a row group of the index: small, so few terms share one.
 ROW_GROUP_BYTES = 1 << 20
 
@@ -54,15 +58,29 @@ def encode(lists: pa.ListArray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cuts), pa.py_buffer(out)])
 
 
+def differences(data: np.ndarray) -> np.ndarray:
+    """The numbers of the byte code."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
+
+
 def decode(raw: bytes) -> np.ndarray:
     """The numbers of one list."""
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         return np.zeros(0, dtype=np.int64)
-    ends = np.flatnonzero(data < 128) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
-    return np.cumsum(np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts))
+    return np.cumsum(differences(data))
+
+
+def decode_all(raw: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The numbers of many lists, none of them empty, one after another; ``n``: how many each has."""
+    gaps = differences(np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8))
+    # sums may pass 64 bits: what is taken away again is off by the same
+    total = np.cumsum(gaps)
+    heads = np.cumsum(n) - n
+    return total - np.repeat(total[heads] - gaps[heads], n)
 
 
 def cross(lists: list[np.ndarray]) -> np.ndarray:
@@ -80,21 +98,77 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def posting_rows(rows: DataFrame, text_col: str = "content") -> DataFrame:
-    """The index of written rows (doc, text): POSTINGS."""
+    """The index of written rows (doc, text): POSTINGS.
+
+    Each task codes its postings HELD at a time; only these pieces of lists are
+    shuffled and joined, in order, so no list or batch of lists is ever wide.
+    """
     block = F.shiftright("doc", BLOCK.bit_length() - 1)
     each = rows.select(F.explode(trigrams(F.col(text_col))).alias("term"), block.alias("block"), "doc")
-    # at most BLOCK numbers a list
-    lists = each.groupBy("term", "block").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                docs = part.column("docs")
-                n = pa.array(np.diff(docs.offsets.to_numpy()), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("term"), part.column("block"), n, encode(docs)], names=["term", "block", "n", "docs"])
-
-    return lists.mapInArrow(run, POSTINGS)
+    made = each.mapInArrow(pieces, "term string, block bigint, first bigint, n int, docs binary")
+    return made.repartition("term", "block").sortWithinPartitions("term", "block", "first").drop("first").mapInArrow(joined, POSTINGS)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (term, block, doc) the lists of each HELD postings by term and block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield piece(held)
+            held = []
+    if any(b.num_rows for b in held):
+        yield piece(held)
+
+
+def piece(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    terms = pa.concat_arrays([b.column("term") for b in held]).dictionary_encode()
+    code, block, docs = (np.concatenate(x) for x in ([terms.indices.to_numpy()], [b.column("block").to_numpy() for b in held], [b.column("doc").to_numpy() for b in held]))
+    order = np.lexsort((docs, code))
+    code, block, docs = code[order], block[order], docs[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(block) != 0)]))
+    offsets = np.append(starts, len(docs)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(docs))
+    named = terms.dictionary.take(pa.array(code[starts]))
+    return pa.RecordBatch.from_arrays([named, pa.array(block[starts]), pa.array(docs[starts]), pa.array(np.diff(offsets)), encode(lists)], names=["term", "block", "first", "n", "docs"])
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (term, block, n, docs) in order of term and block one list for each; HELD postings are decoded at once, or those of one list."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = np.cumsum(batch.column("n").to_numpy().astype(np.int64)) // HELD
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:]):
+            if start == end:
+                continue
+            whole = pa.concat_batches([*rest, batch.slice(start, end - start)])
+            last = int(list_starts(whole)[-1])
+            if last:
+                yield one_list_each(whole.slice(0, last))
+            # the last list may go on
+            rest = [whole.slice(last)]
+    if rest:
+        yield one_list_each(rest[0])
+
+
+def list_starts(part: pa.RecordBatch) -> np.ndarray:
+    """Where another term or block begins."""
+    term, block = part.column("term"), part.column("block").to_numpy()
+    other = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([[True], other.astype(bool) | (np.diff(block) != 0)]))
+
+
+def one_list_each(part: pa.RecordBatch) -> pa.RecordBatch:
+    starts, n = list_starts(part), part.column("n").to_numpy().astype(np.int64)
+    docs = decode_all(part.column("docs"), n)
+    offsets = np.append(np.cumsum(n)[starts] - n[starts], len(docs))
+    own = np.repeat(np.arange(len(starts)), np.diff(offsets))
+    if np.any((np.diff(docs) < 0) & (np.diff(own) == 0)):
+        docs = docs[np.lexsort((docs, own))]
+    at = pa.array(starts)
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(docs))
+    return pa.RecordBatch.from_arrays([part.column("term").take(at), part.column("block").take(at), pa.array(np.diff(offsets).astype(np.int32)), encode(lists)], names=["term", "block", "n", "docs"])
 
 
 def write(postings: DataFrame, folder: str) -> None:

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import analytics
+from threadloom.operators import analytics, files
 from threadloom.sources.tables import MESSAGES, shaped
 
 
@@ -25,3 +26,38 @@ def test_informative_ngrams_are_those_of_all(spark):
     w = spark.createDataFrame([(g,) for g in given], "w array<string>")
     made = w.select(text.informative_ngrams(F.col("w"), F.transform("w", text.word_mark), 2, 4).alias("got"), F.filter(text.ngrams(F.col("w"), 2, 4), text.informative).alias("want")).collect()
     assert all(x.got == x.want for x in made) and sum(len(x.got) for x in made) > 300
+
+
+def plain_replay(rows):
+    out, key, version, content = [], None, 0, None
+    for session, path, seq, new, edits in rows:
+        if (session, path) != key:
+            key, version, content = (session, path), 0, None
+        version += 1
+        if new is not None:
+            content = new
+        elif content is None or not edits:
+            content = None
+        else:
+            for e in edits:
+                if not e["old"] or e["old"] not in content:
+                    content = None
+                    break
+                content = content.replace(e["old"], e["new"], -1 if e["replace_all"] else 1)
+        out.append((session, path, version, seq, content))
+    return out
+
+
+def test_replay_of_batches(monkeypatch):
+    r = random.Random(3)
+    one = lambda: {"old": r.choice(["a", "b", "zz", "", None]), "new": r.choice(["b", "aa", ""]), "replace_all": r.random() < 0.5}
+    rows = []
+    for session in (None, "s", "t"):
+        for path in (None, "f", "g"):
+            rows += [(session, path, i, r.choice(["ab", "aab", "", None, None, None, None]), r.choice([None, [], [one()], [one(), one()]])) for i in range(r.randrange(1, 60))]
+    kinds = pa.schema([("session_id", pa.string()), ("file_path", pa.string()), ("seq", pa.int64()), ("new_content", pa.string()), ("edits", pa.list_(pa.struct([("old", pa.string()), ("new", pa.string()), ("replace_all", pa.bool_())]))), ("ts", pa.timestamp("us", tz="UTC"))])
+    for size, whole, most in ((7, 0, 250), (100, 1 << 20, 1 << 20), (1000, 1 << 20, 1)):
+        monkeypatch.setattr(files, "WHOLE_BATCH", whole)
+        batches = [pa.RecordBatch.from_pylist([{**dict(zip(kinds.names, x)), "ts": None} for x in rows[i : i + size]], kinds) for i in range(0, len(rows), size)]
+        got = [(x["session_id"], x["file_path"], x["version"], x["seq"], x["content"]) for b in files.replayed(iter(batches), most) for x in b.to_pylist()]
+        assert got == plain_replay(rows)

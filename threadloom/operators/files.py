@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,55 @@ def versions(edits: DataFrame) -> DataFrame:
     return edits.withColumn("version", F.row_number().over(Window.partitionBy("session_id", "file_path").orderBy("seq", "ts", "tool")))
 
 
-def edited(content: str | None, edits: list[dict] | None) -> str | None:
-    """The content after replacements in order; null if it was null, or if a text to replace isn't there."""
+def edited(content: str | None, edits: list[tuple[str | None, str, bool]]) -> str | None:
+    """The content after replacements (old, new, all of them or the first) in order; null if it was null, or if a text to replace isn't there."""
     if content is None or not edits:
         return None
-    for e in edits:
-        if not e["old"] or e["old"] not in content:
+    for old, new, every in edits:
+        if not old or old not in content:
             return None
-        content = content.replace(e["old"], e["new"]) if e["replace_all"] else content.replace(e["old"], e["new"], 1)
+        content = content.replace(old, new) if every else content.replace(old, new, 1)
     return content
 
 
+#: Bytes of a batch up to which its rows are taken out together; of a larger one 64 at a time.
+WHOLE_BATCH = 16 << 20
+
+
+def replayed(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Every version of rows (session_id, file_path, seq, ts, new_content, edits) in order; other columns stay Arrow's."""
+    key, version, content = None, 0, None
+    for batch in batches:
+        # a batch's rows are taken out a few at a time if they are wide: each may hold a whole file
+        step = max(batch.num_rows, 1) if batch.nbytes <= WHOLE_BATCH else 64
+        for part in (batch.slice(start, step) for start in range(0, batch.num_rows, step)):
+            kept = [part.column(c) for c in ("session_id", "file_path")]
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in kept]
+            fresh = [False, *((codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])).tolist()]
+            if (own := tuple(c[0].as_py() for c in kept)) != key:
+                fresh[0] = True
+            key = tuple(c[-1].as_py() for c in kept) if len(part) else own
+            changes = part.column("edits")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(changes), 0).to_numpy()).tolist()
+            flat = changes.flatten()
+            steps = list(zip(*(pc.struct_field(flat, c).to_pylist() for c in ("old", "new", "replace_all"))))
+            versions, contents, size, given, at = [], [], 0, 0, 0
+            for i, (starts, new, end) in enumerate(zip(fresh, part.column("new_content").to_pylist(), ends), 1):
+                if starts:
+                    version, content = 0, None
+                version += 1
+                content = new if new is not None else edited(content, steps[at:end])
+                at = end
+                versions.append(version)
+                contents.append(content)
+                size += 100 + len(content or "")
+                if size >= batch_bytes or i == part.num_rows:
+                    rows = part.slice(given, i - given)
+                    columns = [rows.column("session_id"), rows.column("file_path"), pa.array(versions, pa.int32()), rows.column("seq"), rows.column("ts"), pa.array(contents, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["session_id", "file_path", "version", "seq", "ts", "content"])
+                    versions, contents, size, given = [], [], 0, i
+
+
 def all_versions(edits: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """(session_id, file_path, version, seq, ts, content, lines): every version, null where it can't be known.
 
@@ -52,31 +92,8 @@ def all_versions(edits: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     a history may be of any length.
     """
     order = ["session_id", "file_path", "seq", "ts", "tool"]
-    rows = edits.select(*order, "new_content", "edits").repartition("session_id", "file_path").sortWithinPartitions(*order)
-    names = ["session_id", "file_path", "version", "seq", "ts", "content"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, version, content = None, 0, None
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            kinds = [batch.schema.field(c).type for c in ("session_id", "file_path")] + [pa.int32(), pa.int64(), batch.schema.field("ts").type, pa.string()]
-            # a batch's rows are taken out a few at a time: each may hold a whole file
-            for start in range(0, batch.num_rows, 64):
-                for session, path, seq, ts, _, new, changes in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
-                    if (session, path) != key:
-                        key, version, content = (session, path), 0, None
-                    version += 1
-                    content = new if new is not None else edited(content, changes)
-                    held.append((session, path, version, seq, ts, content))
-                    size += 100 + len(content or "")
-                    if size >= batch_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-                        held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-
-    made = rows.mapInArrow(run, "session_id string, file_path string, version int, seq bigint, ts timestamp, content string")
+    rows = edits.select(*order, "new_content", "edits").repartition("session_id", "file_path").sortWithinPartitions(*order).drop("tool")
+    made = rows.mapInArrow(lambda batches: replayed(batches, batch_bytes), "session_id string, file_path string, version int, seq bigint, ts timestamp, content string")
     return made.withColumn("lines", count_lines(F.col("content")))
 
 

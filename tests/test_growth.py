@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import analytics, files
-from threadloom.sources.tables import MESSAGES, shaped
+from threadloom.operators import analytics, evidence, files
+from threadloom.sources.tables import FILE_EDITS, MESSAGES, shaped
 
 
 def test_phrases_split_messages_once(spark):
@@ -61,3 +61,12 @@ def test_replay_of_batches(monkeypatch):
         batches = [pa.RecordBatch.from_pylist([{**dict(zip(kinds.names, x)), "ts": None} for x in rows[i : i + size]], kinds) for i in range(0, len(rows), size)]
         got = [(x["session_id"], x["file_path"], x["version"], x["seq"], x["content"]) for b in files.replayed(iter(batches), most) for x in b.to_pylist()]
         assert got == plain_replay(rows)
+
+
+def test_files_are_named_once_while_sorted(spark):
+    edits = shaped(spark.createDataFrame([("s", 1, "p1", "claude"), ("s", 2, None, "codex"), ("s", 3, "p1", "claude")], "session_id string, seq long, file_path string, provider string"), FILE_EDITS)
+    m = shaped(spark.createDataFrame([("s", 1, "user", "hello")], "session_id string, seq long, role string, content string"), MESSAGES)
+    rows = evidence.candidates(m, edits, 220, False).filter("section = 3")
+    assert rows.filter("name is not null or kind is not null").count() == 0
+    shown = evidence.evidence(m, edits, limit=5).filter("section = 'changed_files'").select("name", "kind", "edits").collect()
+    assert sorted(map(tuple, shown), key=str) == [("p1", "claude", 2), (None, "codex", 1)]

@@ -51,25 +51,23 @@ def fair_quotas(sizes: Column, total: int) -> Column:
 
 
 def candidates(messages: DataFrame, edits: DataFrame | None, preview_chars: int, newest: bool) -> DataFrame:
-    """All evidence, a row each: session_id, section (its number), by (order within the section) and what is shown."""
+    """All evidence, a row each: session_id, section (its number), by (order within the section; of files path and provider) and what is shown."""
     text = F.coalesce("content", F.lit(""))
     held = F.when(text.rlike(CANDIDATE), actionable(refs.extract(text))).otherwise(F.array().cast("array<struct<value:string,normalized_value:string,host:string>>"))
     sections = F.array_compact(F.array(F.when(F.col("role") == "user", 0), F.when(F.col("role") == "tool", 1), F.when(F.size("__refs") > 0, 2)))
     call = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in CALLS.items()], F.lit("other"))
     said = messages.select("session_id", "seq", "ts", "role", "kind", "tool_name", text.alias("content"), held.alias("__refs")).withColumn("section", F.explode(sections))
-    own = F.col("section") == 2
+    own, none = F.col("section") == 2, F.lit(None).cast("string")
     found = said.select(
-        "session_id", "section", F.struct((-F.col("seq") if newest else F.col("seq")).alias("seq"), F.lit("").alias("path"), F.lit("").alias("provider")).alias("by"), "seq", "ts",
+        "session_id", "section", F.struct((-F.col("seq") if newest else F.col("seq")).alias("seq"), none.alias("path"), none.alias("provider")).alias("by"), "seq", "ts",
         F.when(F.col("section") > 0, F.col("tool_name")).alias("name"), F.when(F.col("section") == 1, call).when(own, F.col("role")).alias("kind"), F.length("content").cast("bigint").alias("chars"),
         truncate_for_display(F.col("content"), preview_chars).alias("preview"), F.when(own, F.col("__refs")).alias("refs"), F.lit(None).cast("bigint").alias("edits"),
     )
     if edits is None:
         return found
     touched = edits.groupBy("session_id", "file_path", "provider").agg(F.count("*").alias("edits"))
-    path, provider = F.coalesce("file_path", F.lit("")), F.coalesce("provider", F.lit(""))
-    changed = touched.select(
-        "session_id", F.lit(3).alias("section"), F.struct(F.lit(0).cast("bigint").alias("seq"), path.alias("path"), provider.alias("provider")).alias("by"), F.col("file_path").alias("name"), F.col("provider").alias("kind"), "edits",
-    )
+    # a file's name and provider are in its order and stand nowhere else: most rows are files
+    changed = touched.select("session_id", F.lit(3).alias("section"), F.struct(F.lit(0).cast("bigint").alias("seq"), F.col("file_path").alias("path"), "provider").alias("by"), "edits")
     return found.unionByName(changed, allowMissingColumns=True)
 
 
@@ -106,8 +104,9 @@ def evidence(messages: DataFrame, edits: DataFrame | None = None, limit: int | N
             {"__quota": F.when(F.col("section") == 2, F.try_element_at("__quotas", F.col("__rank"))), "truncated": F.array_compact(F.array(*more[:3], nested, more[3]))}
         )
     named = F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section") + 1)
+    file = F.col("section") == 3
     out = shown.select(
-        "session_id", named.alias("section"), "seq", "ts", "name", "kind", "chars", "preview", F.slice("refs", F.lit(1), F.col("__quota")).alias("refs"),
+        "session_id", named.alias("section"), "seq", "ts", F.when(file, F.col("by.path")).otherwise(F.col("name")).alias("name"), F.when(file, F.col("by.provider")).otherwise(F.col("kind")).alias("kind"), "chars", "preview", F.slice("refs", F.lit(1), F.col("__quota")).alias("refs"),
         F.when(F.col("section") == 2, refs.summary(F.col("refs"))).alias("ref_summary"), "edits", "truncated",
     )
     if profile:

@@ -1,12 +1,14 @@
 """Steps whose work or memory grew faster than their input."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import analytics, evidence, files
+from threadloom.operators import analytics, evidence, files, fuzzy, search
 from threadloom.sources.tables import FILE_EDITS, MESSAGES, shaped
 
 
@@ -70,3 +72,34 @@ def test_files_are_named_once_while_sorted(spark):
     assert rows.filter("name is not null or kind is not null").count() == 0
     shown = evidence.evidence(m, edits, limit=5).filter("section = 'changed_files'").select("name", "kind", "edits").collect()
     assert sorted(map(tuple, shown), key=str) == [("p1", "claude", 2), (None, "codex", 1)]
+
+
+def test_fuzzy_page_scores_once(spark):
+    """The filter and the columns of a page read one score; before, each ran the scorer over all rows in workers of its own."""
+    m = shaped(spark.createDataFrame([("s", i, "user", "conversation", t) for i, t in enumerate(["enti on", "none", None, "e n t i o n"])], "session_id string, seq long, role string, kind string, content string"), MESSAGES)
+    r = search.SearchRequest(query="enti on", mode="fuzzy", limit=3)
+    found = search.page(search.matching(m, r), r).select("session_id", "seq", "fuzzy_score", "fuzzy_places")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(x.seq, (x.fuzzy_score, x.fuzzy_places)) for x in found.collect()] == [(i, fuzzy.match("enti on", t)) for i, t in ((3, "e n t i o n"), (0, "enti on"))]
+
+
+def test_fuzzy_scores_hold_one_slice():
+    """Besides the batch a scorer holds one slice of it; before, arrays over a million letters."""
+    r = random.Random(8)
+    given = [" ".join(r.choice(["then", "tion", "enter", "of", "Thion", "and"]) for _ in range(100)) for _ in range(6000)]
+    want = [fuzzy.match("enti on", t) for t in given[:50]]
+    tracemalloc.start()
+    got = fuzzy.match_all("enti on", given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:50] == want and len(got) == 6000 and sum(map(len, given)) > 2_000_000
+    assert peak < 30e6
+
+
+def test_slices_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(fuzzy, "SLICE", 10)
+    r = random.Random(4)
+    for sizes in [[], [0], [11], [0, 0, 10, 0, 1], *([r.choice([0, 1, 4, 10, 25]) for _ in range(40)] for _ in range(50))]:
+        runs = list(fuzzy.sliced(np.array(sizes, dtype=np.int32)))
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(sizes)))
+        assert all(b - a == 1 or sum(sizes[a:b]) <= 10 for a, b in runs)

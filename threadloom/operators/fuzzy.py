@@ -9,7 +9,8 @@ character is a grapheme cluster, told by its first code point: a letter and its
 combining marks are one, and a match covers all code points of its clusters.
 
 Membership is a built-in predicate, so it runs before any Python: only rows
-that match reach the scorer, in Arrow batches, all texts of a batch at once.
+that match reach the scorer, once, in Arrow batches. The texts of a slice are
+scored at once; besides its batch a worker holds one slice.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH, GAP_START, GAP_MORE = 16, 3, 1
 BOUNDARY, AFTER_SPACE, CAMEL, CONSECUTIVE, FIRST = 8, 10, 7, 4, 2
+KIND = pa.struct([("score", pa.int64()), ("places", pa.list_(pa.int32()))])
 #: Code points scored at once; a longer text is scored alone.
-SLICE = 1_000_000
+SLICE = 1 << 17
 
 
 @lru_cache(maxsize=65_536)
@@ -158,19 +161,19 @@ def match(query: str, text: str | None) -> tuple[int, list[int]] | None:
 TABLE = 0x3000
 
 
-def per_letter(units: np.ndarray, value: Callable[[str], int]) -> np.ndarray:
+def per_letter(units: np.ndarray, value: Callable[[str], int], kind: type = np.int32) -> np.ndarray:
     """``value`` of each unit, asked once for each code point."""
     low = units < TABLE
-    out = table_of(value)[np.where(low, units, 0)]
+    out = table_of(value, kind)[np.where(low, units, 0)]
     if not low.all():
         known, which = np.unique(units[~low], return_inverse=True)
-        out[~low] = np.fromiter((value(chr(c)) for c in known), np.int64, len(known))[which]
+        out[~low] = np.fromiter((value(chr(c)) for c in known), kind, len(known))[which]
     return out
 
 
 @lru_cache(maxsize=8)
-def table_of(value: Callable[[str], int]) -> np.ndarray:
-    return np.fromiter((value(chr(c)) for c in range(TABLE)), np.int64, TABLE)
+def table_of(value: Callable[[str], int], kind: type) -> np.ndarray:
+    return np.fromiter((value(chr(c)) for c in range(TABLE)), kind, TABLE)
 
 
 def folded_code(c: str) -> int:
@@ -183,13 +186,16 @@ def kinds_of(c: str) -> int:
 
 def bonuses(units: np.ndarray, first: np.ndarray) -> np.ndarray:
     """``bonus_at`` for every unit; ``first`` marks those that begin a text."""
-    own = per_letter(units, kinds_of)
+    own = per_letter(units, kinds_of, np.uint8)
     before = np.empty_like(own)
     before[1:] = own[:-1]
     before[first] = kinds_of(" ")
     turns = (before & 4 != 0) & (own & 8 != 0) | (own & 16 != 0) & (before & 16 == 0)
-    found = np.where(before & 2, AFTER_SPACE, np.where(before & 1, np.where(turns, CAMEL, 0), BOUNDARY))
-    return np.where(own & 1, found, 0)
+    found = np.where(turns, np.uint8(CAMEL), np.uint8(0))
+    found[before & 1 == 0] = BOUNDARY
+    found[before & 2 != 0] = AFTER_SPACE
+    found[own & 1 == 0] = 0
+    return found
 
 
 def word_scores(word: str, folded: np.ndarray, bonus: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -200,7 +206,7 @@ def word_scores(word: str, folded: np.ndarray, bonus: np.ndarray, row: np.ndarra
     the rows before it, so that none is taken over from another row.
     """
     spots = np.flatnonzero(folded == ord(word[0]))
-    score, origin = MATCH + bonus[spots] * FIRST, spots
+    score, origin = MATCH + bonus[spots].astype(np.int64) * FIRST, spots
     trail: list[tuple[np.ndarray, np.ndarray]] = [(spots, np.empty(0, np.int64))]
     lift, none = np.int64(4 * len(folded) + 64 * len(word) + 1024), np.iinfo(np.int64).min // 4
     for c in word[1:]:
@@ -215,7 +221,7 @@ def word_scores(word: str, folded: np.ndarray, bonus: np.ndarray, row: np.ndarra
         last = np.searchsorted(spots, here - 1) - 1
         far = source[np.maximum(last, 0)]
         apart = (last >= 0) & (row[spots[far]] == row[here])
-        by_gap = np.where(apart, score[far] + GAP_MORE * spots[far] - GAP_MORE * here + 2 * GAP_MORE - GAP_START + MATCH + bonus[here], none)
+        by_gap = np.where(apart, score[far] + GAP_MORE * spots[far] - GAP_MORE * here + 2 * GAP_MORE - GAP_START + MATCH + bonus[here].astype(np.int64), none)
         close = np.minimum(np.searchsorted(spots, here - 1), len(spots) - 1)
         beside = (spots[close] == here - 1) & (row[spots[close]] == row[here])
         by_run = np.where(beside, score[close] + MATCH + np.maximum(bonus[here], CONSECUTIVE), none)
@@ -237,55 +243,76 @@ def word_scores(word: str, folded: np.ndarray, bonus: np.ndarray, row: np.ndarra
     return found, [score[best], *reversed(taken)]
 
 
+def match_slice(words: list[str], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``match`` of all texts at once: which of them match, their scores, how many places each has, and the places one after another."""
+    given = [t or "" for t in texts]
+    starts = [None if single(t) else np.array(clusters(t)) for t in given]
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32)[slice(None) if s is None else s[:-1]] for t, s in zip(given, starts)]
+    sizes = np.array([len(c) for c in codes])
+    units, row, base = np.concatenate(codes), np.repeat(np.arange(len(given)), sizes), np.cumsum(sizes) - sizes
+    first = np.zeros(len(units), bool)
+    first[base[sizes > 0]] = True
+    folded, bonus = per_letter(units, folded_code), bonuses(units, first)
+    results = [word_scores(w, folded, bonus, row, len(given)) for w in words]
+    matched = np.array([t is not None for t in texts])
+    for found, _ in results:
+        matched &= found >= 0
+    rows = np.flatnonzero(matched)
+    score = sum((parts[0][found[rows]] for found, parts in results if len(rows)), np.zeros(len(rows), np.int64))
+    # the units of all words in order, one that several words took once
+    taken = [p[found[rows]] for found, parts in results if len(rows) for p in parts[1:]]
+    taken = np.sort(np.stack(taken, axis=1), axis=1) if taken else np.empty((len(rows), 0), np.int64)
+    kept = np.ones(taken.shape, bool)
+    kept[:, 1:] = taken[:, 1:] != taken[:, :-1]
+    counts, taken = kept.sum(axis=1), taken[kept]
+    if all(s is None for s in starts):
+        return rows, score, counts, taken - np.repeat(base[rows], counts)
+    # each unit's code points: where they begin in its text, and how many they are
+    begins = np.concatenate([np.arange(n) if s is None else s[:-1] for s, n in zip(starts, sizes)])[taken]
+    widths = np.concatenate([np.ones(n, np.int64) if s is None else np.diff(s) for s, n in zip(starts, sizes)])[taken]
+    within = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
+    counts = np.bincount(np.repeat(np.arange(len(rows)), counts), widths, len(rows)).astype(np.int64)
+    return rows, score, counts, np.repeat(begins, widths) + within
+
+
 def match_all(query: str, texts: list[str | None]) -> list[tuple[int, list[int]] | None]:
-    """``match`` of every text, in one run over slices of them all."""
-    out: list[tuple[int, list[int]] | None] = [None] * len(texts)
-    words = [plain(w) for w in words_of(query)]
-    for group in sliced(texts):
-        starts = [np.arange(len(texts[i]) + 1) if single(texts[i]) else np.array(clusters(texts[i])) for i in group]
-        codes = [np.frombuffer(texts[i].encode("utf-32-le"), np.uint32)[s[:-1]] for i, s in zip(group, starts)]
-        sizes = np.array([len(c) for c in codes])
-        units, row, base = np.concatenate(codes), np.repeat(np.arange(len(group)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        if not len(units):
-            continue
-        folded = per_letter(units, folded_code)
-        first = np.zeros(len(units), bool)
-        first[base[sizes > 0]] = True
-        bonus = bonuses(units, first)
-        results = [word_scores(w, folded, bonus, row, len(group)) for w in words]
-        for g, i in enumerate(group):
-            at = [found[g] for found, _ in results]
-            if min(at) < 0:
-                continue
-            taken = {int(t[k]) - int(base[g]) for (_, parts), k in zip(results, at) for t in parts[1:]}
-            out[i] = sum(int(parts[0][k]) for (_, parts), k in zip(results, at)), sorted(p for u in taken for p in range(int(starts[g][u]), int(starts[g][u + 1])))
+    """``match`` of every text, slice by slice."""
+    out: list[tuple[int, list[int]] | None] = []
+    for part in match_batch(query, pa.array(texts, pa.string())):
+        out += [None if f["score"] is None else (f["score"], f["places"]) for f in part.to_pylist()]
     return out
 
 
-def sliced(texts: list[str | None]) -> Iterator[list[int]]:
-    """Places of the texts that aren't null, in groups of at most ``SLICE`` code points or of one text."""
-    group, size = [], 0
-    for i, text in enumerate(texts):
-        if text is None:
-            continue
-        if group and size + len(text) > SLICE:
-            yield group
-            group, size = [], 0
-        group.append(i)
-        size += len(text)
-    if group:
-        yield group
+def match_batch(query: str, texts: pa.Array) -> Iterator[pa.StructArray]:
+    """struct(score, places) of every text, both null without a match, slice by slice; only a slice's texts are taken out of Arrow."""
+    words = [plain(w) for w in words_of(query)]
+    for start, end in sliced(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+        rows, score, counts, places = match_slice(words, texts.slice(start, end - start).to_pylist())
+        none, scores, offsets = np.ones(end - start, bool), np.zeros(end - start, np.int64), np.zeros(end - start + 1, np.int32)
+        none[rows], scores[rows], offsets[rows + 1] = False, score, counts
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(places.astype(np.int32)), mask=pa.array(none))
+        yield pa.StructArray.from_arrays([pa.array(scores, mask=none), lists], ["score", "places"])
+
+
+def sliced(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and end of the runs of texts of at most ``SLICE`` code points, or of one text."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = max(int(np.searchsorted(ends, ends[start] - sizes[start] + SLICE, "right")), start + 1)
+        yield start, end
+        start = end
 
 
 def scored(df: DataFrame, query: str, column: str) -> DataFrame:
     """Rows whose ``column`` matches, with fuzzy_score and fuzzy_places (0-based code points)."""
 
-    @F.pandas_udf("struct<score:bigint,places:array<int>>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        found = match_all(query, texts.tolist())
-        return pd.DataFrame({"score": pd.array([f[0] if f else None for f in found], dtype="Int64"), "places": [f[1] if f else None for f in found]})
+    @F.arrow_udf("struct<score:bigint,places:array<int>>")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = list(match_batch(query, texts))
+        return pa.concat_arrays(parts) if parts else pa.nulls(0, KIND)
 
-    hit = df.filter(membership(query, F.col(column))).withColumn("__f", score(F.col(column)))
+    # as a function of its arguments alone it would be run once for the filter and again for the columns, in workers of their own
+    hit = df.filter(membership(query, F.col(column))).withColumn("__f", score.asNondeterministic()(F.col(column)))
     return hit.filter(F.col("__f.score").isNotNull()).withColumns({"fuzzy_score": F.col("__f.score"), "fuzzy_places": F.col("__f.places")}).drop("__f")
 
 
